@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from leafmill.llm import mixing, sharding
+from leafmill.llm import language, mixing, sharding, tokens
 
 
 def queries():
     return {
         "op5_sharding": sharding.op5_sharding,
         "op6_mixing": mixing.op6_mixing,
+        "op7_token_counts": tokens.op7_token_counts,
+        "op8_language_id": language.op8_language_id,
     }
 
 
