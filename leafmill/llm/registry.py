@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from leafmill.llm import language, mixing, sharding, tokens
+from leafmill.llm import embeddings, language, mixing, sharding, tokens, toxicity
 
 
 def queries():
     return {
+        "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
         "op5_sharding": sharding.op5_sharding,
         "op6_mixing": mixing.op6_mixing,
         "op7_token_counts": tokens.op7_token_counts,
         "op8_language_id": language.op8_language_id,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql():
-    return {"op6_mixing": mixing.OP6_SQL}
+    return {"op3_embedding_near_dedup": embeddings.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
