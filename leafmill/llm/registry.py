@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leafmill.llm import embeddings, language, mixing, sharding, tokens, toxicity
+from leafmill.llm import decontaminate, embeddings, language, mixing, sharding, tokens, toxicity
 
 
 def queries():
     return {
+        "op1_decontamination": decontaminate.op1_decontamination,
         "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
         "op5_sharding": sharding.op5_sharding,
         "op6_mixing": mixing.op6_mixing,
@@ -17,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_embedding_near_dedup": embeddings.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {"op1_decontamination": decontaminate.OP1_SQL, "op3_embedding_near_dedup": embeddings.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
