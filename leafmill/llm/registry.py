@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import decontaminate, embeddings, language, mixing, sharding, tokens, toxicity
+from leafmill.llm import decontaminate, embeddings, language, mixing, sharding, suffix_family, tokens, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op6_mixing": mixing.op6_mixing,
         "op7_token_counts": tokens.op7_token_counts,
         "op8_language_id": language.op8_language_id,
+        "op9_suffix_array_dedup": suffix_family.op9_suffix_array_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
