@@ -71,4 +71,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if sums == last:
             break
         last = sums
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from leafmill.llm import decontaminate, embeddings, language, mixing, sharding, substring, suffix_family, tokens, toxicity
+from leafmill.llm import decontaminate, embeddings, jaccard, language, mixing, sharding, substring, suffix_family, tokens, toxicity
 
 
 def queries():
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
         "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
         "op4_substring_dedup": substring.op4_substring_dedup,
         "op5_sharding": sharding.op5_sharding,
