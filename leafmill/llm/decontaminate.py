@@ -63,9 +63,11 @@ def fingerprints(words: Column, window: int, gram: int, short: list[int]) -> Col
         return let(starts, lambda s: F.transform(s, lambda x, k: F.struct(x.alias("s"), F.coalesce(F.get(s, k + 1), F.size(m)).alias("e"), F.get(m, x).alias("h"), F.lit(window).alias("n"))))
 
     parts = [F.when(F.size(words) >= window, let(window_hashes(words, window, gram), runs)).otherwise(F.array().cast(_RUN)).cast(_RUN)]
-    for n in short:
-        every = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i, n=n: F.struct(i.alias("s"), (i + 1).alias("e"), F.xxhash64(F.slice(words, i + 1, n)).alias("h"), F.lit(n).alias("n")))
-        parts.append(F.when(F.size(words) >= n, every).otherwise(F.array().cast(_RUN)).cast(_RUN))
+    def every(n: int) -> Column:
+        at = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("s"), (i + 1).alias("e"), F.xxhash64(F.slice(words, i + 1, n)).alias("h"), F.lit(n).alias("n")))
+        return F.when(F.size(words) >= n, at).otherwise(F.array().cast(_RUN)).cast(_RUN)
+
+    parts += [every(n) for n in short]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
