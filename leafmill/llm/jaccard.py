@@ -1,14 +1,17 @@
 """Op 2. N-gram Jaccard join by PartEnum signatures, exact, with connected components.
 
-Sets are dealt into bands of nearly equal size. Within a band two sets of similarity t or more differ in at most k
-elements. The domain is cut by a hash into n1 parts; similar sets differ in at most one element in at least one part,
-and that part, cut into three, agrees in two: so each set has three signatures a part, and sufficiently similar sets
-share one. A set also signs for the next band if a partner can lie there.
-
-Parts of which few elements fall into a signature would bring together what has little in common. n1 is therefore
-larger than needed by a slack of d parts: similar sets then agree in 1 + d parts at least, and a set may leave out
-its signatures of up to c elements, as long as at most d of its parts have such ones. No link is lost by that, since the
-part of the larger c, left out by either side, lies among d parts.
+Sets are dealt into bands of nearly equal size. Two sets of similarity t or more, the smaller in a given band, differ in at
+most k elements. The domain is cut by a hash into n1 parts. From 90 % on, similar sets differ in at most one element in
+at least one part, and of that part's three cells two agree, so each set has a signature for each part and each two of
+its cells; below 90 %, where parts are small, there are more of them, one agrees as a whole, and each part has one
+signature. A set signs for its own band and, where a smaller partner can lie there, for the band below.
+
+A signature of few elements, or of none but frequent ones, would bring together what has little in common. n1 is
+therefore larger than needed by a slack of d parts: similar sets then agree in 1 + d parts at least, and a set may
+leave out its signatures with up to c elements that are not frequent, as long as at most d of its parts have such ones.
+No link is lost by that, since what either side leaves out lies among the d parts of the side with the larger c.
+Which elements are frequent is estimated on a share of the documents, and the list is bounded: it only has to be the
+same for all, and decides how much work there is, never the result.
 
 Sets that share a signature form candidate groups (components of a star for each signature). Within a group, equal sets
 are one class, and all classes of similar size are compared in blocks, as matrix products over the elements that occur
@@ -39,6 +42,8 @@ BLOCK_SETS, BLOCK_ELEMENTS = 1024, 1 << 20
 BROADCAST_COUNTS = 100_000
 SLACK = 0.2
 MOST_LEFT_OUT = 2
+#: A shingle counts as frequent if it stands in FREQUENT of one in SHARE documents; at most MOST_FREQUENT (4 MB) are told to all tasks.
+SHARE, FREQUENT, MOST_FREQUENT = 20, 8, 500_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -75,23 +80,25 @@ def bands(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def parts_of(largest: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Parts and slack of bands by their largest size; 0 parts if only equal sets are similar enough."""
-    k = 2 * largest * (100 - percent) // (100 + percent)
-    need = (k + 2) // 2
+    k = (100 - percent) * (largest + largest * 100 // percent) // (100 + percent)
+    need = (k + 2) // 2 if percent >= 90 else k + 1
     slack = np.ceil(need * SLACK).astype(np.int64) * (need > 2)
     return np.where(k == 0, 0, need + slack), slack
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the set and signature, for all signatures of all sets."""
     sizes = np.array([len(s) for s in sets], np.int64)
     where = np.flatnonzero(sizes)
     if not where.size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    cells_of_part = 3 if percent >= 90 else 1
     band, low, high = bands(sizes[where], percent)
-    upward = sizes[where] * 100 >= percent * low[np.minimum(band + 1, len(low) - 1)]
-    owner, band = np.concatenate([where, where[upward]]), np.concatenate([band, band[upward] + 1])
+    below = np.maximum(band - 1, 0)
+    downward = (band > 0) & (sizes[where] * percent <= 100 * high[below]) & (parts_of(high[below], percent)[0] > 0)
+    owner, band = np.concatenate([where, where[downward]]), np.concatenate([band, below[downward]])
     n1, slack = parts_of(high[band], percent)
-    total = n1 * 3
+    total = n1 * cells_of_part
     offset = np.concatenate([[0], np.cumsum(total)])
     elements = np.concatenate([sets[i] for i in owner])
     count = sizes[owner]
@@ -107,17 +114,20 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     if of.size:
         place = _join(raw, np.full(len(raw), 0x2545F491, np.uint64))
         part = ((place >> np.uint64(32)) % n1[of].astype(np.uint64)).astype(np.int64)
-        cell = offset[of] + part * 3 + ((place & np.uint64(0xFFFFFFFF)) % np.uint64(3)).astype(np.int64)
+        cell = offset[of] + part * cells_of_part + ((place & np.uint64(0xFFFFFFFF)) % np.uint64(cells_of_part)).astype(np.int64)
         number = np.bincount(cell, minlength=offset[-1])
+        rare = np.ones(len(raw))
+        if len(frequent):
+            rare[frequent[np.minimum(np.searchsorted(frequent, raw), len(frequent) - 1)] == raw] = 0
+        weight = np.bincount(cell, rare, offset[-1])
         order = np.argsort(cell, kind="stable")
         sums = np.zeros(offset[-1], np.uint64)
         begin = np.concatenate([[0], np.cumsum(number)[:-1]])
         filled = np.flatnonzero(number)
         sums[filled] = np.add.reduceat(mixed[order], begin[filled])
-        # two of the three cells of a part: the part without one
-        cells, sizes3 = sums.reshape(-1, 3), number.reshape(-1, 3)
-        value = cells.sum(1, dtype=np.uint64, keepdims=True) - cells
-        held = sizes3.sum(1, keepdims=True) - sizes3
+        value, held = sums.reshape(-1, cells_of_part), weight.reshape(-1, cells_of_part)
+        if cells_of_part > 1:  # all cells of a part but one
+            value, held = value.sum(1, dtype=np.uint64, keepdims=True) - value, held.sum(1, keepdims=True) - held
         part_owner = np.repeat(np.arange(len(owner)), n1)
         thin = held.min(1)
         limit = np.full(len(owner), -1)
@@ -125,10 +135,10 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
             limit[np.bincount(part_owner, thin <= c, len(owner)) <= slack] = c
         limit[slack == 0] = -1
         keep = held > limit[part_owner][:, None]
-        within = np.arange(len(part_owner)) - (offset[:-1] // 3)[part_owner]
+        within = np.arange(len(part_owner)) - (offset[:-1] // cells_of_part)[part_owner]
         tag = (band[part_owner].astype(np.uint64) << np.uint64(40)) + (within.astype(np.uint64) << np.uint64(2))
-        sig = _join(value, tag[:, None] + np.arange(3, dtype=np.uint64))
-        out_owner.append(np.repeat(owner[part_owner][:, None], 3, 1)[keep])
+        sig = _join(value, tag[:, None] + np.arange(cells_of_part, dtype=np.uint64))
+        out_owner.append(np.repeat(owner[part_owner][:, None], cells_of_part, 1)[keep])
         out.append(sig[keep])
     return np.concatenate(out_owner), np.concatenate(out)
 
@@ -214,16 +224,32 @@ def compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(a[a != c]), pa.array(c[a != c])], ["a", "b"])
 
 
+def frequent_shingles(usable: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles that stand in FREQUENT or more documents of one in SHARE, the MOST_FREQUENT first ones."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, part in _chunks(b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(part, shingle)).view(np.int64))], ["e"])
+
+    share = usable.where(F.pmod(F.xxhash64(F.lit("frequent"), "doc_id"), F.lit(SHARE)) == 0)
+    counts = share.mapInArrow(spell, "e long").groupBy("e").count().where(F.col("count") >= FREQUENT)
+    top = counts.orderBy(F.col("count").desc(), "e").limit(MOST_FREQUENT).select("e").toArrow()
+    return np.sort(top["e"].to_numpy().view(np.uint64))
+
+
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row: documents linked where 100 * intersection >= percent * union."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     usable = texts.where("doc_id is not null and text is not null")
 
+    frequent = frequent_shingles(usable, shingle)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, values = b.column(0).to_numpy(), b.column(1).to_pylist()
             for base, part in _chunks(values):
-                owner, sig = signatures(shingle_sets(part, shingle), percent)
+                owner, sig = signatures(shingle_sets(part, shingle), percent, frequent)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[base + owner])], ["sig", "doc_id"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
