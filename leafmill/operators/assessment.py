@@ -13,20 +13,12 @@ from leafmill.functions.values import default_value, normalise_value, parse_valu
 from leafmill.operators.summaries import distinct_snippets
 
 QUALITY_PROMPT = (
-    "Extract quality-assessment values for publication type: {publication_type}.\n"
-    "Return extraction classes exactly as field names listed below.\n"
-    "For each extraction, start extraction_text with the proposed value, then optional short evidence.\n"
-    "Use format: <value> :: <evidence>.\n"
-    "Use NA when the item is not available/not applicable/not reported.\n\n"
+    "Study type: {publication_type}.\n"
+    "For each field below, report what the text says about it; use the field's name as the extraction class.\n"
+    "Write the value first, then ` :: ` and a short quotation as evidence. Write NA for what is not reported or does not apply.\n\n"
     "{field_block}"
 )
-TYPE_PROMPT = (
-    "Classify the study design type for quality assessment.\n"
-    "Return extraction class 'publication_type' with one option exactly as listed below.\n"
-    "If uncertain, choose the closest fit.\n\n"
-    "Options:\n"
-    "{options}"
-)
+TYPE_PROMPT = "Name the study type with one extraction of class publication_type. Choose the nearest of these and spell it as it is here:\n{options}"
 
 
 def type_prompt(types: Sequence[str], template: str = TYPE_PROMPT) -> str:
@@ -47,6 +39,16 @@ def few_shot_fields(specs: DataFrame) -> DataFrame:
     return specs.groupBy("publication_type", "inferred_type").agg(F.min_by("field", "ord").alias("field"))
 
 
+def few_shot_examples(specs: DataFrame) -> DataFrame:
+    """publication_type, text, extractions: an example that names a binary and a categorical field, and one that names a binary and a
+    string field, for types that have such fields."""
+    fields = few_shot_fields(specs).groupBy("publication_type").pivot("inferred_type", ["binary_ordinal", "categorical", "string"]).agg(F.first("field"))
+    item = lambda c, t: F.struct(F.col(c).alias("extraction_class"), F.lit(t).alias("extraction_text"))
+    graded = F.when(F.col("categorical").isNotNull(), F.struct(F.lit("The aim was stated. The overall rating was fair.").alias("text"), F.array(item("binary_ordinal", "1 :: aim was stated"), item("categorical", "fair :: overall rating was fair")).alias("extractions")))
+    noted = F.when(F.col("string").isNotNull(), F.struct(F.lit("How patients were allocated is not reported.").alias("text"), F.array(item("binary_ordinal", "NA :: not reported"), item("string", "Allocation not reported")).alias("extractions")))
+    return fields.where("binary_ordinal is not null").select("publication_type", F.explode(F.array_compact(F.array(graded, noted))).alias("e")).select("publication_type", "e.text", "e.extractions")
+
+
 def detect_type(detections: DataFrame, texts: DataFrame, types: Sequence[str], override: str | None = None) -> DataFrame:
     """paper_id, publication_type, method, error. detections: (paper_id, pos, extraction_class, extraction_text); texts: (paper_id, text).
 

@@ -94,6 +94,37 @@ def run_quality(records: DataFrame, specs: DataFrame, extractor: extraction.Extr
     return out.withColumn("status", F.when(F.col("error").isNull(), "processed").otherwise("failed")).withColumn("generated_at_utc", utc_iso(F.current_timestamp()))
 
 
+def run_registry(spark: SparkSession, folders: dict[str, str], out: str | None = None, root: str = "", key: str = "Covidence") -> DataFrame:
+    """The artefact registry from folders and files, the last step of every other run.
+
+    folders: paths by name: references, manifest, files, text, text_trimmed, trim_rows, langextract, summary, quality_raw, quality_record.
+    A missing one counts as empty.
+    """
+    records = {"text": schemas.TEXT_RECORD_DDL, "text_trimmed": schemas.TRIMMED_RECORD_DDL, "langextract": schemas.EXTRACTION_RAW_DDL, "summary": schemas.SUMMARY_DDL, "quality_raw": schemas.QUALITY_RAW_DDL, "quality_record": schemas.QUALITY_RECORD_DDL}
+    nested = {"pages", "page_char_counts", "extraction_modes", "publication_type_detections", "extractions", "unmatched_extractions", "values", "evidence", "field_order", "ocr_trigger_reasons", "remaining_text_quality_flags"}
+
+    def found(name: str) -> DataFrame:
+        r = tables.json_records(spark, folders.get(name, "/nowhere"), records[name])
+        return r.select(F.col("_stem").alias("id"), F.regexp_replace("_path", "^file:(//)?", "").alias("path"), *[c for c in r.columns if c not in nested | {"_stem", "_path", "paper_id"}])
+
+    rows = registry.artifact_registry(
+        references=tables.keyed_csv(spark, folders.get("references", "/nowhere"), key, schemas.REFERENCE_COLUMNS).withColumnRenamed(key, "id").drop("_pos"),
+        manifest=tables.latest_events(spark, folders.get("manifest", "/nowhere")).withColumnRenamed("covidence_id", "id"),
+        pdfs=tables.files_by_prefix(tables.list_files(spark, folders.get("files", "/nowhere"), "*.pdf")).select("id", F.transform("paths", lambda p: F.regexp_replace(p, "^file:(//)?", "")).alias("paths")),
+        text=found("text"),
+        trimmed=found("text_trimmed"),
+        trim_rows=tables.keyed_csv(spark, folders.get("trim_rows", "/nowhere"), "paper_id", ("trim_status", "trim_reason")).withColumnRenamed("paper_id", "id"),
+        raw=found("langextract"),
+        summaries=found("summary"),
+        quality_raw=found("quality_raw"),
+        quality_records=found("quality_record"),
+        root=root,
+    )
+    if out:
+        sinks.write_registry(rows, out, rows.columns)
+    return rows
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Screen or trim text records, or rebuild the source registry.")
     p.add_argument("command", choices=["screen", "trim", "sources"])

@@ -335,6 +335,11 @@ def q_reference_cards(spark, sf):
     return acquisition.cards(c, "doc_id", "card").select("covidence_id", F.md5("label").alias("label_md5"))
 
 
+def q_few_shot_examples(spark, sf):
+    e = assessment.few_shot_examples(_specs(spark))
+    return e.select("publication_type", F.col("extractions")[0]["extraction_class"].alias("first_field"), F.col("extractions")[1]["extraction_class"].alias("second_field"))
+
+
 def q_html_text(spark, sf):
     return _t(spark, sf, "pages").select("page_id", F.md5(tables.html_text(F.col("html"))).alias("text_md5"))
 
@@ -552,5 +557,7 @@ select *, 'doi' as match_method from d union all select *, 'title' from e""",
         "filename_sanitize": r"""select page_id, case when lower(f) like '%.pdf' then f else f || '.pdf' end as filename from (select page_id, regexp_replace(trim(regexp_replace(url, '[<>:"/\\|?*]', '_', 'g')), '\.+$', '') as f from pages)""",
         "reference_cards": r"""with c as (select doc_id, (doc_id % 700 + 10)::varchar as cid, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '' and not regexp_matches(x, '(?i)^#\s*\d+|^view full text$|\.pdf$|^\d{4}$')) as l from documents)
 select cid as covidence_id, md5(min_by(coalesce(substr(l[1], 1, 240), ''), doc_id)) as label_md5 from c group by cid""",
+        "few_shot_examples": f"""with {_SPECS}, f as (select publication_type, min_by(field, ord) filter (inferred = 'binary_ordinal') as b, min_by(field, ord) filter (inferred = 'categorical') as c, min_by(field, ord) filter (inferred = 'string') as s from specs group by publication_type)
+            select publication_type, b as first_field, c as second_field from f where b is not null and c is not null union all select publication_type, b, s from f where b is not null and s is not null""",
         "id_order": "select distinct case when user_id % 3 = 0 then 'u' || user_id else user_id::varchar end as id from events",
     }

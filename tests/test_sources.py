@@ -101,3 +101,18 @@ def test_manifest_stream(spark, tmp_path):
     got = {r["covidence_id"]: r["status"] for r in manifest.read_latest(spark, table, ddl).collect()}
     assert got == {"1": "downloaded", "2": "downloaded"}
     assert manifest.read_latest(spark, str(tmp_path / "none"), ddl).count() == 0
+
+
+def test_run_registry(spark, tmp_path):
+    from leafmill.plans import pipelines
+
+    (tmp_path / "refs.csv").write_text("Covidence,Title\n1,One\n3,Three\n")
+    (tmp_path / "log.jsonl").write_text('{"covidence_id":"3","status":"failed","error":"e"}\n')
+    for d in ("files", "text", "quality"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "files/1_a.pdf").write_bytes(b"%PDF")
+    (tmp_path / "text/1.json").write_text(json.dumps({"paper_id": "1", "n_pages": 2, "needs_ocr": True, "pages": []}))
+    (tmp_path / "quality/x.json").write_text(json.dumps({"paper_id": "x", "missing_fields": ["a"]}))
+    rows = pipelines.run_registry(spark, {"references": f"{tmp_path}/refs.csv", "manifest": f"{tmp_path}/log.jsonl", "files": f"{tmp_path}/files", "text": f"{tmp_path}/text", "quality_record": f"{tmp_path}/quality"}, root=str(tmp_path)).collect()
+    got = [(r["paper_id"], r["download_status"], r["text_json_path"], r["text_n_pages"], r["text_needs_ocr"], r["quality_missing_field_count"], r["artifact_types_present"]) for r in rows]
+    assert got == [("1", "downloaded", "text/1.json", "2", "True", "0", "reference; pdf; text"), ("3", "failed", "", "", "", "0", "reference"), ("x", "missing", "", "", "", "1", "quality_record")]
