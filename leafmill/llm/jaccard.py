@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import connected_components, materialise, small_enough, table
-from leafmill.llm.passages import Words, _chunks, _join, gram_hashes
+from leafmill.llm.passages import Words, chunks, join, column_chunks, gram_hashes
 
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 1 << 20
 #: Rows of (group, band) counts that may be broadcast; only groups of more than one block have such rows.
@@ -50,7 +50,7 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the k-word shingles of each lower-cased text."""
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
-    for base, part in _chunks(texts):
+    for base, part in chunks(texts):
         _, hashes, _, first = Words.split([t.translate(_FOLD) for t in part])
         grams = gram_hashes(hashes, k)
         for i, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
@@ -103,16 +103,16 @@ def signatures(sets: list[np.ndarray], percent: int, frequent: np.ndarray) -> tu
     elements = np.concatenate([sets[i] for i in owner])
     count = sizes[owner]
     of = np.repeat(np.arange(len(owner)), count)
-    mixed = _join(elements, np.full(len(elements), 0x51ED270B, np.uint64))
+    mixed = join(elements, np.full(len(elements), 0x51ED270B, np.uint64))
     whole = np.add.reduceat(mixed, np.concatenate([[0], np.cumsum(count)[:-1]]))
     out_owner, out = [], []
     if (only := np.flatnonzero(n1 == 0)).size:
         out_owner.append(owner[only])
-        out.append(_join(whole[only], band[only].astype(np.uint64)))
+        out.append(join(whole[only], band[only].astype(np.uint64)))
     some = n1[of] > 0
     of, mixed, raw = of[some], mixed[some], elements[some]
     if of.size:
-        place = _join(raw, np.full(len(raw), 0x2545F491, np.uint64))
+        place = join(raw, np.full(len(raw), 0x2545F491, np.uint64))
         part = ((place >> np.uint64(32)) % n1[of].astype(np.uint64)).astype(np.int64)
         cell = offset[of] + part * cells_of_part + ((place & np.uint64(0xFFFFFFFF)) % np.uint64(cells_of_part)).astype(np.int64)
         number = np.bincount(cell, minlength=offset[-1])
@@ -137,7 +137,7 @@ def signatures(sets: list[np.ndarray], percent: int, frequent: np.ndarray) -> tu
         keep = held > limit[part_owner][:, None]
         within = np.arange(len(part_owner)) - (offset[:-1] // cells_of_part)[part_owner]
         tag = (band[part_owner].astype(np.uint64) << np.uint64(40)) + (within.astype(np.uint64) << np.uint64(2))
-        sig = _join(value, tag[:, None] + np.arange(cells_of_part, dtype=np.uint64))
+        sig = join(value, tag[:, None] + np.arange(cells_of_part, dtype=np.uint64))
         out_owner.append(np.repeat(owner[part_owner][:, None], cells_of_part, 1)[keep])
         out.append(sig[keep])
     return np.concatenate(out_owner), np.concatenate(out)
@@ -229,7 +229,7 @@ def frequent_shingles(usable: DataFrame, shingle: int) -> np.ndarray:
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, part in _chunks(b.column(1).to_pylist()):
+            for _, part in column_chunks(b.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(part, shingle)).view(np.int64))], ["e"])
 
     share = usable.where(F.pmod(F.xxhash64(F.lit("frequent"), "doc_id"), F.lit(SHARE)) == 0)
@@ -247,17 +247,18 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, values = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for base, part in _chunks(values):
+            ids = b.column(0).to_numpy()
+            for base, part in column_chunks(b.column(1)):
                 owner, sig = signatures(shingle_sets(part, shingle), percent, frequent)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[base + owner])], ["sig", "doc_id"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets([t or b"" for t in b.column(1).to_pylist()], shingle)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            h = [np.array([_join(s, np.full(len(s), c, np.uint64)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for c in (3, 5)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(h[0]), pa.array(h[1])], ["doc_id", "n_shingles", "h1", "h2"])
+            for base, part in column_chunks(b.column(1)):
+                sets = shingle_sets([t or b"" for t in part], shingle)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                h = [np.array([join(s, np.full(len(s), c, np.uint64)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for c in (3, 5)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(base, len(part)), pa.array(sizes), pa.array(h[0]), pa.array(h[1])], ["doc_id", "n_shingles", "h1", "h2"])
 
     told = materialise(texts.mapInArrow(measure, "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
     signed = usable.mapInArrow(sign, "sig long, doc_id long")
@@ -291,8 +292,8 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, values, keys = (b.column(k).to_pylist() for k in range(3))
-            for base, part in _chunks(values):
+            ids, keys = (b.column(k).to_pylist() for k in (0, 2))
+            for base, part in column_chunks(b.column(1)):
                 sets = [s.tobytes() for s in shingle_sets(part, shingle)]
                 rows = [(k["key"], k["role"], ids[base + i], s) for i, s in enumerate(sets) for k in keys[base + i]]
                 for lo in range(0, len(rows), 512):

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
 _POWERS = np.random.default_rng(21).integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
 
 
-def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * _M1
     x += b * _M2
     x ^= x >> np.uint64(29)
@@ -52,11 +53,11 @@ def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
     level, size, out, done = units, 1, None, 0
     while True:
         if k & size:
-            out = level[:n].copy() if out is None else _join(out, level[done : done + n])
+            out = level[:n].copy() if out is None else join(out, level[done : done + n])
             done += size
         if size * 2 > k:
             return out
-        level = _join(level[: len(level) - size], level[size:])
+        level = join(level[: len(level) - size], level[size:])
         size *= 2
 
 
@@ -104,7 +105,17 @@ class Words:
         return 1
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def column_chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """First row and texts of pieces of about CHUNK bytes, so that a batch is not held twice."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK, side="left")) + 1
+        yield start, column.slice(start, stop - start).to_pylist()
+        start = stop
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -119,7 +130,7 @@ def runs(texts: list[bytes], units, length: int, gram: int, within: bool) -> tup
     """For each run: index of its text, first window, windows, hash it keeps, hash of its whole text. within: the number of
     windows is negative where the kept gram stands in the run more than once, so that windows of it can be equal."""
     out = []
-    for base, part in _chunks(texts):
+    for base, part in chunks(texts):
         buf, hashes, at, first = units.split(part)
         if len(hashes) < length:
             continue
@@ -244,9 +255,10 @@ def repeated_spans(docs: DataFrame, units, length: int, gram: int, search: Searc
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, values = b.column(0).to_numpy(), b.column(1).to_pylist()
-            doc, pos, many, kept, whole = runs(values, units, length, gram, same_document)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kept.view(np.int64), whole.view(np.int64), ids[doc], pos, many)], ["hash", "whole", "doc_id", "pos", "windows"])
+            ids = b.column(0).to_numpy()
+            for base, part in column_chunks(b.column(1)):
+                doc, pos, many, kept, whole = runs(part, units, length, gram, same_document)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kept.view(np.int64), whole.view(np.int64), ids[base + doc], pos, many)], ["hash", "whole", "doc_id", "pos", "windows"])
 
     found = texts.mapInArrow(find, "hash long, whole long, doc_id long, pos long, windows long")
     told = found.repartition("hash").sortWithinPartitions("hash", "whole", "doc_id", "pos").mapInArrow(lambda b: classify(b, same_document), _CLASSIFIED)
