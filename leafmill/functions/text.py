@@ -40,18 +40,24 @@ def strip(c: Column) -> Column:
 
 
 def collapse_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    """Runs of white space become one space; single spaces are passed over."""
+    return F.trim(F.regexp_replace(c, rf"{SPACE}{{2,}}|[\t-\r\x1c-\x1f\x85\p{{Z}}&&[^ ]]", " "))
 
 
 def normalize_text(c: Column) -> Column:
     """Lower-case ASCII words joined by single spaces; accents are dropped. Null counts as empty."""
     source, target, several = _ascii_table()
     text = F.coalesce(c, F.lit(""))
-    spelled = text
-    for char, plain in several.items():
-        spelled = F.replace(spelled, F.lit(char), F.lit(plain))
-    spelled = F.when(text.rlike("[" + "".join(several) + "]"), spelled).otherwise(text)
-    folded = F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.regexp_replace(F.translate(spelled, source, target), r"[^\x00-\x7F]", ""))
+    ascii_only = lambda c: F.octet_length(c) == F.char_length(c)  # noqa: E731  cheap, and true of most texts at one of the two steps
+
+    def spelled(c: Column) -> Column:
+        out = c
+        for char, plain in several.items():
+            out = F.replace(out, F.lit(char), F.lit(plain))
+        return F.when(ascii_only(c), c).otherwise(F.regexp_replace(out, r"[^\x00-\x7F]", ""))
+
+    # the lambda keeps the translated text from being computed for each use
+    folded = F.when(ascii_only(text), text).otherwise(F.get(F.transform(F.array(F.translate(text, source, target)), spelled), F.lit(0)))
     return F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", " "))
 
 

@@ -26,7 +26,7 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents")
+    return tables.spread(_t(spark, sf, "documents"))
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:

@@ -18,6 +18,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than cores, dealt out over all cores; any other is left as it is.
+
+    A file of one row group is one task, whatever the number of cores. What is dealt out is bounded by SPREAD_BYTES; large inputs have more
+    files than cores and aren't shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
+
+
 def with_position(df: DataFrame, name: str = "_pos") -> DataFrame:
     """A column that rises in file order within a partition and over the partitions of one read."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -1,14 +1,17 @@
 """Compares a query with its SQL."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def shown(v):
-    if v is None or v != v:
+    if pd.isna(v):
         return "NULL"
-    return f"{v:.6g}" if isinstance(v, float) else str(v)
+    if isinstance(v, float):
+        return str(int(v)) if v.is_integer() else f"{v:.6g}"
+    return str(v)
 
 
 def rows(df):
