@@ -5,8 +5,8 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT}/tests:{os.environ.get('PYTHONPATH', '')}"  # for the Python workers
+sys.path[:0] = [str(ROOT), str(ROOT / "tests"), str(ROOT / "tests/llm")]
+os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT}/tests:{ROOT}/tests/llm:{os.environ.get('PYTHONPATH', '')}"  # for the Python workers
 
 SF = Path("/root/testdata/sf0.001")
 
