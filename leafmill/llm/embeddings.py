@@ -157,17 +157,29 @@ def _links_of_length(vectors: DataFrame, d: int, threshold: float) -> DataFrame:
     axes = principal_axes(sample)
     splits = build_tree(sample @ axes, math.ceil(total / TILE))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.ascontiguousarray(b.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, d)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(leaf_of(_unit(x) @ axes, splits))], ["class_id", "weight", "x", "leaf"])
-
-    dealt = vectors.select("class_id", "weight", "x").mapInArrow(deal, "class_id long, weight long, x binary, leaf long")
-    sizes = {r["leaf"]: r["count"] for r in dealt.groupBy("leaf").count().collect()}
+    def deal(chunks: np.ndarray | None):
+        """Leaf of each vector, and the chunk of the leaf by a hash; without chunks only the leaf."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x = np.ascontiguousarray(b.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, d)
+                    leaf = leaf_of(_unit(x) @ axes, splits)
+                    if chunks is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(leaf)], ["leaf"])
+                    else:
+                        chunk = b.column(3).to_numpy() % chunks[leaf]
+                        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(leaf), pa.array(chunk)], ["class_id", "weight", "x", "leaf", "chunk"])
+
+        return run
+
+    plain = vectors.select("class_id", "weight", "x", F.pmod(F.xxhash64(F.lit("chunk"), "class_id"), F.lit(1 << 31)).alias("u"))
+    sizes = plain.mapInArrow(deal(None), "leaf long").groupBy("leaf").count().collect()
     # a leaf that the sample underrates is cut further, by a hash
-    chunks = F.create_map(*[F.lit(v) for leaf, n in sizes.items() for v in (leaf, math.ceil(n / TILE))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "class_id"), chunks[F.col("leaf")].cast("long")))
+    chunks = np.ones(len(splits) + 1, np.int64)
+    for r in sizes:
+        chunks[r["leaf"]] = math.ceil(r["count"] / TILE)
+    dealt = plain.mapInArrow(deal(chunks), "class_id long, weight long, x binary, leaf long, chunk long")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf["x"]), np.float64).reshape(-1, d)
