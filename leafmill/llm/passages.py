@@ -176,10 +176,10 @@ _CLASSIFIED = "doc_id long, pos long, windows long, hash long, kind int"
 REPEAT, INDEXED, HOT = 0, 1, 2
 
 
-def classify(batches: Iterator[pa.RecordBatch], same_document: bool) -> Iterator[pa.RecordBatch]:
+def classify(batches: Iterator[pa.RecordBatch], same_document: bool, hot_runs: int = HOT_RUNS) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (hash, text hash, doc_id, pos): REPEAT for a run whose text came before; INDEXED, or HOT, for the
     others in groups of two or more distinct texts, and for those that can repeat windows of their own. same_document: whether a run can repeat one of its own document.
-    Holds HOT_RUNS rows at most besides a batch."""
+    Holds hot_runs rows at most besides a batch, or those of one document."""
     pending: list[np.ndarray] = []  # of the group that is open: rows that wait for a second text
     distinct, hot, last, lead = 0, False, None, 0
 
@@ -195,7 +195,7 @@ def classify(batches: Iterator[pa.RecordBatch], same_document: bool) -> Iterator
             yield told(rows, HOT)
             return
         pending.append(rows)
-        if distinct > 1 and sum(map(len, pending)) > HOT_RUNS:
+        if distinct > 1 and sum(map(len, pending)) > hot_runs:
             yield told(np.concatenate(pending), HOT)
             pending, hot = [], True
 
@@ -234,7 +234,7 @@ def classify(batches: Iterator[pa.RecordBatch], same_document: bool) -> Iterator
                 many = np.repeat(np.add.reduceat(wanted[lo:hi].astype(np.int64), at), size)
                 pick = wanted[lo:hi] & ((texts > 1) | (rows[lo:hi, 4] < 0))
                 if pick.any():
-                    yield told(rows[lo:hi][pick], np.where(many[pick] > HOT_RUNS, HOT, INDEXED))
+                    yield told(rows[lo:hi][pick], np.where(many[pick] > hot_runs, HOT, INDEXED))
             tail = starts[-1]
             yield from feed(rows[tail:][wanted[tail:]], int(new_text[tail:].sum()))
         last, lead = rows[-1:], int(first_doc[-1])
@@ -245,7 +245,7 @@ def classify(batches: Iterator[pa.RecordBatch], same_document: bool) -> Iterator
 Search = Callable[[np.ndarray, np.ndarray, list[bytes]], list[np.ndarray]]
 
 
-def repeated_spans(docs: DataFrame, units, length: int, gram: int, search: Search, same_document: bool, id_col: str, text_col: str) -> DataFrame:
+def repeated_spans(docs: DataFrame, units, length: int, gram: int, search: Search, same_document: bool, id_col: str, text_col: str, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, spans array<struct<s long, e long>>: what windows that repeat an earlier one cover, in units, not merged.
 
     search(doc_ids, starts, texts) gets runs in the order of doc_id and start, all that can share a window at once, and
@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, units, length: int, gram: int, search: Searc
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kept.view(np.int64), whole.view(np.int64), ids[base + doc], pos, many)], ["hash", "whole", "doc_id", "pos", "windows"])
 
     found = texts.mapInArrow(find, "hash long, whole long, doc_id long, pos long, windows long")
-    told = found.repartition("hash").sortWithinPartitions("hash", "whole", "doc_id", "pos").mapInArrow(lambda b: classify(b, same_document), _CLASSIFIED)
+    told = found.repartition("hash").sortWithinPartitions("hash", "whole", "doc_id", "pos").mapInArrow(lambda b: classify(b, same_document, hot_runs), _CLASSIFIED)
     told = materialise(told, "runs")
     span = F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("windows") + (length - 1)).alias("e"))
     repeats = told.where(F.col("kind") == REPEAT).select("doc_id", span.alias("x"))

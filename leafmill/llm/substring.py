@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import table
-from leafmill.llm.passages import Words, merged, repeated_spans
+from leafmill.llm.passages import HOT_RUNS, Words, merged, repeated_spans
 
 LENGTH, GRAM = 50, 8
 
@@ -151,14 +151,14 @@ def search(length: int):
     return run
 
 
-def repeated_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, spans (words covered by a window of that length that also stands in a document with a smaller id, not merged)."""
-    return repeated_spans(docs, Words, length, gram, search(length), False, id_col, text_col)
+    return repeated_spans(docs, Words, length, gram, search(length), False, id_col, text_col, hot_runs)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_words, spans array<struct<s, e>> (merged, in words), kept string for every row."""
-    spans = repeated_words(docs, length, gram, id_col, text_col)
+    spans = repeated_words(docs, length, gram, id_col, text_col, hot_runs)
     both = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     kind = both.select("doc_id").schema[0].dataType.simpleString()
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import table
-from leafmill.llm.passages import Bytes, merged, repeated_spans
+from leafmill.llm.passages import HOT_RUNS, Bytes, merged, repeated_spans
 
 LENGTH, GRAM = 100, 24
 BATCH_WINDOWS = 1 << 16
@@ -89,14 +89,14 @@ def search(length: int):
     return run
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, spans (bytes covered by a string of that length that also starts earlier, not merged)."""
-    return repeated_spans(docs, Bytes, length, gram, search(length), True, id_col, text_col)
+    return repeated_spans(docs, Bytes, length, gram, search(length), True, id_col, text_col, hot_runs)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, spans array<struct<s, e>> (merged), kept binary for every row."""
-    spans = repeated_bytes(docs, length, gram, id_col, text_col)
+    spans = repeated_bytes(docs, length, gram, id_col, text_col, hot_runs)
     both = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     kind = both.select("doc_id").schema[0].dataType.simpleString()
 

@@ -54,15 +54,14 @@ def test_passages_in_many_places(spark):
 
 
 @pytest.mark.parametrize("most", [1, 3, 10**6])
-def test_classify_does_not_depend_on_batches(monkeypatch, most):
-    monkeypatch.setattr(passages, "HOT_RUNS", most)
+def test_classify_does_not_depend_on_batches(most):
     rng = np.random.default_rng(1)
     rows = sorted({(int(h), int(w), int(d), int(p), int(n)) for h, w, d, p, n in zip(rng.integers(0, 40, 400), rng.integers(0, 4, 400), rng.integers(0, 9, 400), rng.integers(0, 5, 400), rng.choice([-2, 2], 400), strict=True)})
     rows = sorted(rows + rows[::7])
 
     def run(size, same):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], list("abcde")) for i in range(0, len(rows), size)]
-        return sorted(t for b in passages.classify(iter(batches), same) for t in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        return sorted(t for b in passages.classify(iter(batches), same, most) for t in zip(*(c.to_pylist() for c in b.columns), strict=True))
 
     for same in (True, False):
         assert run(1, same) == run(7, same) == run(10_000, same)
@@ -73,12 +72,8 @@ def test_classify_does_not_depend_on_batches(monkeypatch, most):
         for h, texts in groups.items():
             kept = []
             for occ in texts.values():
-                seen = {}
+                lead = occ[0][0]
                 for k, (d, p, n) in enumerate(occ):
-                    if (d, p) in seen and seen[(d, p)] == k - 1 and False:
-                        continue
-                    seen[(d, p)] = k
-                    lead = occ[0][0]
                     twice = k > 0 and occ[k - 1][:2] == (d, p)
                     if twice:
                         continue
@@ -93,18 +88,13 @@ def test_classify_does_not_depend_on_batches(monkeypatch, most):
         assert run(50, same) == sorted(want)
 
 
-def test_hot_groups_are_searched_window_by_window(spark, monkeypatch):
-    """The same result when every group is hot: classification is done on the driver here, so the limit holds."""
-    p = prose(70, 60)
-    docs = [(i, f"{prose(400 + i, 15)} {p} {prose(500 + i, 15)}") for i in range(12)]
-    length, gram = 50, 8
-    texts = [t.encode() for _, t in docs]
-    doc, pos, many, kept, whole = passages.runs(texts, passages.Words, length, gram, False)
-    rows = np.stack([kept.view(np.int64), whole.view(np.int64), doc, pos, many], 1)
-    rows = rows[np.lexsort(rows.T[::-1])]
-    monkeypatch.setattr(passages, "HOT_RUNS", 1)
-    out = [t for b in passages.classify(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], list("abcde"))]), False) for t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    assert any(t[4] == passages.HOT for t in out)
+def test_hot_groups_are_searched_window_by_window(spark):
+    """The same result when every group counts as hot."""
+    p = prose(70, 90)
+    docs = [(i, f"{prose(400 + i, 15)} {p[i:]} {prose(500 + i, 15)}") for i in range(12)] + [(50, "ab" * 300), (51, p * 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert words(substring.remove_repeats(df, hot_runs=1)) == brute.substring_words(docs)
+    assert bytes_(suffix_family.remove_repeats(df, hot_runs=1)) == brute.substring_bytes(docs)
 
 
 def test_wavelet_matrix_ranks():
