@@ -51,6 +51,15 @@ ARTIFACT_NAMES = ("reference", "pdf", "text", "text_trimmed", "langextract", "su
 DICTIONARY_COLUMNS = ("publication_type", "field", "section", "criterion_text", "entry_guidance", "inferred_type", "accepted")
 TRIM_METHOD = "fuzzy_title_author_block_match"
 NOT_STATED = "Not stated."
+# Texts of the registries.
+TRIM_REASONS = {
+    "no_volume": "Document does not look like a large proceedings/program PDF.",
+    "no_block": "No abstract block could be segmented from the proceedings text.",
+    "low_match": "Proceedings detected, but the best abstract block match is below the auto-trim confidence threshold.",
+    "matched": "Proceedings detected and the target abstract block matched with sufficient confidence.",
+}
+SCREEN_VOLUME_REASON = "Large multi-abstract/program PDF; target title appears on page %d with %d abstract-code markers."
+SCREEN_TEXT_REASON = "Text contains %d suspicious control characters; review text quality."
 
 
 @dataclass(frozen=True)

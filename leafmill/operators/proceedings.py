@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.config import ABSTRACT_START, AUTHOR_CREDENTIAL, DEFAULT, TRIM_METHOD, Config, Thresholds
+from leafmill.config import ABSTRACT_START, AUTHOR_CREDENTIAL, DEFAULT, TRIM_METHOD, TRIM_REASONS, Config, Thresholds
 from leafmill.functions.fuzzy import accepted, combine_title, match_score, score_authors, sequence_ratio, surnames, token_overlap
 from leafmill.functions.text import LINE_BREAK, any_marker, bool_text, collapse_space, count_markers, normalize_text, strip, utc_iso
 from leafmill.operators.screening import markers
 
+# The registry's columns in order.
 DECISION_COLUMNS = [
     "paper_id", "covidence_id", "title", "authors", "source_filename", "source_text_json_path", "trimmed_text_json_path", "n_pages", "abstract_block_count", "title_like_line_count",
     "author_like_line_count", "program_marker_count", "proceedings_detected", "trim_status", "trim_reason", "trim_method", "matched_block_code", "matched_block_title", "title_score",
@@ -139,10 +140,10 @@ def decide(signalled: DataFrame, best: DataFrame, config: Config = DEFAULT) -> D
     d = signalled.join(b, "paper_id", "left")
     good = accepted(F.col("title_score"), F.col("author_score"), F.col("match_score"), config.thresholds)
     state = (
-        F.when(~F.col("proceedings_detected"), F.struct(F.lit("not_needed").alias("s"), F.lit("Document does not look like a large proceedings/program PDF.").alias("r")))
-        .when(F.col("_has").isNull(), F.struct(F.lit("manual_review_required").alias("s"), F.lit("No abstract block could be segmented from the proceedings text.").alias("r")))
-        .when(~good, F.struct(F.lit("manual_review_required").alias("s"), F.lit("Proceedings detected, but the best abstract block match is below the auto-trim confidence threshold.").alias("r")))
-        .otherwise(F.struct(F.lit("trimmed_auto").alias("s"), F.lit("Proceedings detected and the target abstract block matched with sufficient confidence.").alias("r")))
+        F.when(~F.col("proceedings_detected"), F.struct(F.lit("not_needed").alias("s"), F.lit(TRIM_REASONS["no_volume"]).alias("r")))
+        .when(F.col("_has").isNull(), F.struct(F.lit("manual_review_required").alias("s"), F.lit(TRIM_REASONS["no_block"]).alias("r")))
+        .when(~good, F.struct(F.lit("manual_review_required").alias("s"), F.lit(TRIM_REASONS["low_match"]).alias("r")))
+        .otherwise(F.struct(F.lit("trimmed_auto").alias("s"), F.lit(TRIM_REASONS["matched"]).alias("r")))
     )
     d = d.withColumn("_state", state).withColumn("trim_status", F.col("_state.s")).withColumn("trim_reason", F.col("_state.r")).drop("_state", "_has")
     seen = F.col("trim_status") != "not_needed"

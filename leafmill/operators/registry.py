@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.config import ARTIFACT_NAMES
 from leafmill.functions.text import bool_text, falsy_text, join_values, normalize_text, relative_path, strip, utc_iso
 
+# The registry's columns in order.
 SOURCE_COLUMNS = [
     "covidence_id", "ref", "study", "title", "authors", "published_year", "journal", "doi", "tags", "pdf_filename", "pdf_path_relative", "pdf_path_absolute", "local_file_count",
     "download_status", "manifest_status", "download_method", "download_url", "manifest_error",

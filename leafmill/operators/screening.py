@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.config import ABSTRACT_CODE, DEFAULT, Config
+from leafmill.config import ABSTRACT_CODE, DEFAULT, SCREEN_TEXT_REASON, SCREEN_VOLUME_REASON, Config
 from leafmill.functions.text import any_marker, bool_text, control_char_count, count_markers, falsy_text, normalize_text, strip, utc_iso
 from leafmill.operators.quality import full_text
 
+# The registry's columns in order.
 COLUMNS = [
     "paper_id", "covidence_id", "title", "source_filename", "n_pages", "total_chars", "title_exact_match", "title_first_page", "title_word_hits", "program_marker_count",
     "abstract_code_marker_count", "website_chrome_detected", "suspicious_control_char_count", "screen_status", "manual_action", "screen_reason", "screened_at_utc",
@@ -51,8 +52,8 @@ def screen_status(n_pages: Column, title_page: Column, program: Column, codes: C
     volume = (n_pages >= t.large_pages) & (title_page >= t.title_page) & ((program > 0) | (codes >= t.abstract_codes))
     told = lambda s, a, r: F.struct(F.lit(s).alias("status"), F.lit(a).alias("action"), r.alias("reason"))
     return (
-        F.when(volume, told("manual_trim_recommended", "trim_to_target_pages", F.format_string("Large multi-abstract/program PDF; target title appears on page %d with %d abstract-code markers.", title_page, codes)))
-        .when(control >= t.review_control_chars, told("review_text_quality", "inspect_text_extraction", F.format_string("Text contains %d suspicious control characters; review text quality.", control)))
+        F.when(volume, told("manual_trim_recommended", "trim_to_target_pages", F.format_string(SCREEN_VOLUME_REASON, title_page, codes)))
+        .when(control >= t.review_control_chars, told("review_text_quality", "inspect_text_extraction", F.format_string(SCREEN_TEXT_REASON, control)))
         .otherwise(told("ok", "", F.lit("")))
     )
 

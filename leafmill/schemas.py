@@ -9,6 +9,7 @@ def ddl(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 
 
+# Names and types of the records' fields.
 PAGES = "pages array<struct<page_index int, text string>>"
 TEXT_RECORD_DDL = (
     "paper_id string, source_filename string, source_sha256 string, extractor string, extracted_at_utc string, n_pages int, needs_ocr_before_ocr boolean,"
