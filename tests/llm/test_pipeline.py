@@ -50,3 +50,22 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in common.connected_components(df).collect()}
     assert got == {k: v for k, v in brute.components(edges, {x for e in edges for x in e}).items()}
     assert common.connected_components(df.limit(0)).count() == 0
+
+
+def test_scratch_folder():
+    class Conf:
+        def __init__(self, root):
+            self.root = root
+
+        def get(self, key, default):
+            return self.root
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            applicationId = "app-1"  # noqa: N815
+
+    s = Session()
+    s.conf = Conf("hdfs://x/y/")
+    assert common.scratch_root(s) == "hdfs://x/y"
+    s.conf = Conf(None)
+    assert common.scratch_root(s) == common.scratch_root(s) and common.scratch_root(s).startswith("file:///")
