@@ -18,7 +18,6 @@ from leafmill.sources import sinks, tables
 from leafmill.streaming import manifest as manifest_stream
 
 VOLUME_PAGES = 50
-TITLE_CHARS = 240
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -52,10 +51,10 @@ def _volumes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _volume_references(spark: SparkSession, sf: str) -> DataFrame:
-    """For each volume the first line of its page (volume mod 50), and its first two words as authors."""
-    d = _docs(spark, sf).select(F.floor(F.col("doc_id") / VOLUME_PAGES).alias("v"), (F.col("doc_id") % VOLUME_PAGES).alias("p"), "text").where(F.col("p") == F.col("v") % VOLUME_PAGES)
+    """For each volume the first line of its last page, and that page's first two words as authors."""
+    last = _docs(spark, sf).groupBy(F.floor(F.col("doc_id") / VOLUME_PAGES).alias("v")).agg(F.max_by("text", "doc_id").alias("text"))
     w = F.split(F.col("text"), "[ \n]+")
-    return d.select(F.col("v").cast("string").alias("paper_id"), F.substring(F.split("text", "\n")[0], 1, TITLE_CHARS).alias("title"), F.concat(F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.lit(", A; "), F.coalesce(F.get(w, F.lit(1)), F.lit("")), F.lit(", B")).alias("authors"))
+    return last.select(F.col("v").cast("string").alias("paper_id"), F.split("text", "\n")[0].alias("title"), F.concat(F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.lit(", A; "), F.coalesce(F.get(w, F.lit(1)), F.lit("")), F.lit(", B")).alias("authors"))
 
 
 def _extractions(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +119,7 @@ def _artifacts(spark, sf):
     events = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("t"), "event_id")
     last = manifest_stream.latest(events, "id", ["t", "event_id"]).select("id", "status")
     return registry.artifact_registry(
-        references=bench.select(s("item_id"), F.substring("text", 1, 60).alias("Title")),
+        references=bench.select(s("item_id"), F.col("text").alias("Title")),
         manifest=last,
         pdfs=pages.select(s("page_id"), F.array(F.concat(F.lit("/data/pages/"), F.col("page_id"), F.lit("_a.pdf"))).alias("paths")),
         text=docs.select(s("doc_id"), F.concat(F.lit("/data/text/"), F.col("doc_id"), F.lit(".json")).alias("path"), F.size(F.split("text", "\n")).alias("n_pages"), (F.col("n_chars") < 50).alias("needs_ocr")),
@@ -155,7 +154,7 @@ def q_source_registry(spark, sf):
 
 
 def q_screen_documents(spark, sf):
-    refs = _t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("Covidence"), F.substring("text", 1, 30).alias("Title"), F.lit("Annual Meeting").alias("Journal"))
+    refs = _t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("Covidence"), F.col("text").alias("Title"), F.lit("Annual Meeting").alias("Journal"))
     return screening.screen(_records(spark, sf), refs).drop("screened_at_utc")
 
 
@@ -179,7 +178,7 @@ def q_abstract_blocks(spark, sf):
 def q_block_scores(spark, sf):
     """Token overlap and author scores, which need no sequence ratio."""
     b = proceedings.blocks(proceedings.block_lines(_lines(spark, sf))).join(_volume_references(spark, sf).withColumnsRenamed({"title": "rt", "authors": "ra"}), "paper_id")
-    overlap = fuzzy.token_overlap(text.normalize_text(F.col("rt")), text.normalize_text(F.substring("title_text", 1, TITLE_CHARS)))
+    overlap = fuzzy.token_overlap(text.normalize_text(F.col("rt")), text.normalize_text(F.col("title_text")))
     return b.select("paper_id", F.col("block_no").cast("bigint").alias("block_no"), F.round(overlap, 6).alias("overlap"), F.round(fuzzy.score_authors(fuzzy.surnames(F.col("ra")), F.col("preview_text")), 6).alias("author_score"))
 
 
@@ -187,7 +186,7 @@ def _decided(spark, sf, config: Config = DEFAULT):
     lines = _lines(spark, sf)
     told = proceedings.signals(lines, _volumes(spark, sf), config)
     numbered = proceedings.block_lines(lines)
-    found = proceedings.blocks(numbered).withColumn("title_text", F.substring("title_text", 1, TITLE_CHARS))
+    found = proceedings.blocks(numbered)
     refs = _volume_references(spark, sf)
     best = proceedings.best_blocks(proceedings.score_blocks(found, refs))
     return proceedings.decide(told, best, config), numbered, refs
@@ -206,7 +205,7 @@ def q_trimmed_pages(spark, sf):
 def q_title_scores(spark, sf):
     b = _t(spark, sf, "benchmark").select((F.col("item_id")).alias("k"), F.col("text").alias("ref"))
     n = b.count()
-    d = _docs(spark, sf).select("doc_id", F.substring(F.split("text", "\n")[0], 1, TITLE_CHARS).alias("line"), (F.col("doc_id") % max(1, n)).alias("k"))
+    d = _docs(spark, sf).select("doc_id", F.split("text", "\n")[0].alias("line"), (F.col("doc_id") % max(1, n)).alias("k"))
     return d.join(F.broadcast(b) if n <= 100_000 else b, "k").select("doc_id", F.round(fuzzy.score_title(F.col("ref"), F.col("line")), 6).alias("title_score"))
 
 
@@ -226,7 +225,7 @@ def q_page_marked_text(spark, sf):
 
 
 def q_publication_type(spark, sf):
-    return _docs(spark, sf).select("doc_id", values.resolve_type(F.substring("text", 1, 200), TYPES).alias("publication_type"))
+    return _docs(spark, sf).select("doc_id", values.resolve_type(F.col("text"), TYPES).alias("publication_type"))
 
 
 def _raw_values(spark, sf):
@@ -313,7 +312,8 @@ def q_pending_documents(spark, sf):
 def q_cascade_match(spark, sf):
     p = _t(spark, sf, "part")
     a = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("d"), "p_partkey")).otherwise("").alias("doi"), F.concat("p_name", F.lit(" "), "p_partkey").alias("title"))
-    b = p.where("p_partkey % 3 <> 0").select((F.col("p_partkey") + 1000000).alias("id"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" D"), "p_partkey")).otherwise("").alias("doi"), F.concat(F.upper("p_name"), F.lit(", "), "p_partkey").alias("title"))
+    known = F.col("p_partkey") % 3 != 0
+    b = p.select((F.col("p_partkey") + 1000000).alias("id"), F.when(known & (F.col("p_partkey") % 4 == 0), F.concat(F.lit(" D"), "p_partkey")).otherwise("").alias("doi"), F.when(known, F.concat(F.upper("p_name"), F.lit(", "), "p_partkey")).otherwise("").alias("title"))
     return registry.cascade_match(a, b)
 
 
@@ -455,7 +455,7 @@ def oracle_sql():
     total = "list_sum(list_transform(l, lambda x: len(x)))"
     dirty = f"({ctl} >= 10 or ({ctl} > 0 and {total} > 0 and {ctl} / {total} > 0.002))"
     types = [t.lower() for t in TYPES]
-    cand = "lower(trim(substr(text, 1, 200)))"
+    cand = "lower(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'))"
     sql_type = "case " + " ".join([f"when {cand} = '' then null"] + [f"when {cand} = '{t}' then '{T}'" for t, T in zip(types, TYPES, strict=True)] + [f"when contains({cand}, '{t}') or contains('{t}', {cand}) then '{T}'" for t, T in zip(types, TYPES, strict=True)])
     sql_type += " " + " ".join(f"when contains({cand}, '{k}') then '{t}'" for k, t in values.PUBLICATION_ALIASES) + " end"
     return {
@@ -468,7 +468,7 @@ def oracle_sql():
         "latest_manifest": "select user_id, event_type, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as finished_at from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1",
         "reference_last_wins": "select conv_id::varchar as conv_id, turn, role, md5(text) as text_md5 from (select *, row_number() over (partition by conv_id order by turn desc) as rn from conversations) where rn = 1",
         "artifact_registry": r"""
-with ref as (select item_id::varchar as id, substr(text, 1, 60) as title from benchmark),
+with ref as (select item_id::varchar as id, text as title from benchmark),
 man as (select user_id::varchar as id, max_by(event_type, (ts, event_id)) as status from events group by user_id),
 pdf as (select page_id::varchar as id from pages), txt as (select doc_id::varchar as id, len(string_split(text, chr(10))) as n, n_chars < 50 as ocr from documents),
 raw as (select conv_id::varchar as id, count(*) as n from conversations group by conv_id),
@@ -494,7 +494,7 @@ union all
 select fid, md5(''), substr(path, 7), substr(path, 7), '1', 'unmatched_local_file', '' from f where fid = '' or fid not in (select cid from r)""",
         "screen_documents": rf"""
 with d as (select doc_id::varchar as paper_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as l from documents),
-x as (select d.*, list_transform(l, lambda p: {_norm('p')}) as np, coalesce(trim(substr(b.text, 1, 30)), '') as title, b.item_id is not null as has, len(l) as n from d left join benchmark b on b.item_id::varchar = d.paper_id),
+x as (select d.*, list_transform(l, lambda p: {_norm('p')}) as np, coalesce(regexp_replace(b.text, '^\s+|\s+$', '', 'g'), '') as title, b.item_id is not null as has, len(l) as n from d left join benchmark b on b.item_id::varchar = d.paper_id),
 y as (select *, {_norm('title')} as nt, array_to_string(np, ' ') as full_text, array_to_string(np[1:5], ' ') as first5, array_to_string(np[1:2], ' ') as first2,
   len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) as ctl from x),
 z as (select *, case when nt = '' then -1 else coalesce(list_position(list_transform(np, lambda p: contains(p, nt)), true), 0) - 1 end as page, list_filter(string_split(nt, ' '), lambda w: len(w) >= 5)[1:8] as lw,
@@ -518,9 +518,9 @@ select paper_id, n_pages, a as abstract_block_count, t as title_like_line_count,
   n_pages >= 40 and (a >= 8 or (t >= 20 and u >= 10) or m > 0) as proceedings_detected from h""",
         "abstract_blocks": f"with {_BLOCKS} select paper_id, block_no, code, md5(title_text) as title_md5, md5(preview_text) as preview_md5, start_index, end_index, start_page_index, end_page_index from blocks",
         "block_scores": rf"""with {_BLOCKS},
-rf0 as (select doc_id // {VOLUME_PAGES} as vol, substr(string_split(text, chr(10))[1], 1, {TITLE_CHARS}) as title, string_split_regex(text, '[ \n]+') as w from documents where doc_id % {VOLUME_PAGES} = (doc_id // {VOLUME_PAGES}) % {VOLUME_PAGES}),
+rf0 as (select doc_id // {VOLUME_PAGES} as vol, string_split(max_by(text, doc_id), chr(10))[1] as title, string_split_regex(max_by(text, doc_id), '[ \n]+') as w from documents group by 1),
 rf as (select vol::varchar as paper_id, {_norm('title')} as ref, list_distinct(list_filter([{_norm("coalesce(w[1], '')")}, {_norm("coalesce(w[2], '')")}], lambda x: x <> '')) as names from rf0),
-m as (select b.paper_id, b.block_no, ref, names, {_norm(f'substr(title_text, 1, {TITLE_CHARS})')} as own, {_norm('preview_text')} as prev from blocks b join rf using (paper_id)),
+m as (select b.paper_id, b.block_no, ref, names, {_norm('title_text')} as own, {_norm('preview_text')} as prev from blocks b join rf using (paper_id)),
 o as (select *, list_distinct(list_filter(string_split(ref, ' '), lambda x: len(x) >= 4)) as rt, list_distinct(list_filter(string_split(own, ' '), lambda x: len(x) >= 4)) as ot, list_filter(string_split(prev, ' '), lambda x: len(x) >= 3) as pt from m)
 select paper_id, block_no, round(case when contains(own, ref) or contains(ref, own) then greatest(len(list_intersect(rt, ot)) / greatest(1, len(rt)), 0.95) else len(list_intersect(rt, ot)) / greatest(1, len(rt)) end, 6) as overlap,
   round(case when len(names) > 0 then len(list_filter(names, lambda s: contains(prev, s) or (len(list_filter(string_split(s, ' '), lambda t: len(t) >= 3)) > 0 and list_has_all(pt, list_filter(string_split(s, ' '), lambda t: len(t) >= 3))))) / len(names) else 0.0 end, 6) as author_score from o""",
@@ -549,9 +549,9 @@ select o_orderkey, len(e)::bigint as n_errors, case when len(e) > 0 then 'Schema
         "run_status": "select status, count(*) as n from (select case when l.doc_id is not null then 'skipped' when trim(coalesce(d.text, '')) = '' then 'failed' else 'run' end as status from documents d left join (select distinct doc_id from labels) l using (doc_id)) group by status",
         "pending_documents": "select doc_id::varchar as paper_id from documents where doc_id not in (select a.doc_id from labels a where quality = 1 intersect select doc_id from labels where toxic = 0)",
         "cascade_match": rf"""with a as (select p_partkey as id, case when p_partkey % 2 = 0 then 'd' || p_partkey else '' end as doi, {_norm("p_name || ' ' || p_partkey")} as t from part),
-b as (select p_partkey + 1000000 as id, case when p_partkey % 4 = 0 then 'd' || p_partkey else '' end as doi, {_norm("p_name || ' ' || p_partkey")} as t from part where p_partkey % 3 <> 0),
+b as (select p_partkey + 1000000 as id, case when p_partkey % 4 = 0 and p_partkey % 3 <> 0 then 'd' || p_partkey else '' end as doi, case when p_partkey % 3 <> 0 then {_norm("p_name || ' ' || p_partkey")} else '' end as t from part),
 d as (select a.id as left_id, min(b.id) as right_id from a join b on a.doi = b.doi and a.doi <> '' group by a.id),
-e as (select a.id as left_id, min(b.id) as right_id from a join b using (t) where a.id not in (select left_id from d) group by a.id)
+e as (select a.id as left_id, min(b.id) as right_id from a join b on a.t = b.t and a.t <> '' where a.id not in (select left_id from d) group by a.id)
 select *, 'doi' as match_method from d union all select *, 'title' from e""",
         "input_selection": "select doc_id::varchar as _stem, n_chars from documents order by doc_id::varchar limit 25",
         "filename_sanitize": r"""select page_id, case when lower(f) like '%.pdf' then f else f || '.pdf' end as filename from (select page_id, regexp_replace(trim(regexp_replace(url, '[<>:"/\\|?*]', '_', 'g')), '\.+$', '') as f from pages)""",
