@@ -24,11 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import table
+from leafmill.llm.passages import column_chunks
 
 UNDETERMINED = "und"
 PER_LANGUAGE = 800
 FEATURES = 1 << 13
 AMBIGUOUS_GAP = 0.15
+#: Bytes of text that are taken out of a batch at once.
+TEXT_BYTES = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 #: Lower-cases ASCII letters; other ASCII becomes a space; bytes of longer characters stay.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -132,8 +135,10 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores, vague = model.predict(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(vague, pa.bool_())], [*b.schema.names[:-1], "_lang_pred", "_lang_score", "_lang_ambiguous"])
+            for at, texts in column_chunks(b.column(b.num_columns - 1), TEXT_BYTES):
+                langs, scores, vague = model.predict(texts)
+                kept = [c.slice(at, len(texts)) for c in b.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(vague, pa.bool_())], [*b.schema.names[:-1], "_lang_pred", "_lang_score", "_lang_ambiguous"])
 
     return plain.mapInArrow(score, schema)
 

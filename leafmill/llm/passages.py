@@ -105,12 +105,12 @@ class Words:
         return 1
 
 
-def column_chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """First row and texts of pieces of about CHUNK bytes, so that a batch is not held twice."""
+def column_chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, list]]:
+    """First row and texts of pieces of about `size` bytes, so that a batch is not held twice."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(column):
-        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK, side="left")) + 1
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="left")) + 1
         yield start, column.slice(start, stop - start).to_pylist()
         start = stop
 

@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import scratch_root, table
+from leafmill.llm.passages import column_chunks
 
 MEMO_PIECES = 300_000
 MEMO_PIECE_BYTES = 48
+#: Bytes of text that are taken out of a batch at once.
+TEXT_BYTES = 4 << 20
 
 
 class PieceCounter:
@@ -112,7 +115,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache: str, normalise: str
         for b in batches:
             if counter is None:
                 counter = PieceCounter(tokenizer_path, by_piece)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counter.counts(b.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
+            for at, texts in column_chunks(b.column(1), TEXT_BYTES):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(counter.counts(texts), pa.int64())], ["digest", "n_tokens"])
 
     misses.select("digest", F.col("_text").cast("binary").alias("t")).mapInArrow(encode, "digest binary, n_tokens long").write.mode("append").parquet(cache)
     counts = spark.read.schema("digest binary, n_tokens long").parquet(cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import table
 from leafmill.llm.language import held_out
+from leafmill.llm.passages import column_chunks
 
 PER_CLASS = 5000
 LEXICON_ENTRIES = 1000
 NEAR_WORDS = 5
+#: Bytes of text that are taken out of a batch at once.
+TEXT_BYTES = 1 << 20
 STEMS = (3, 4, 5, 6)
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur ya thou tu te toi ton ta tes vous votre vos tú ti tuyo tuya usted ustedes vosotros os du dich dir dein deine deiner deinen ihr euch euer eure sie ihnen".split()
@@ -201,8 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: tuple[Counter, ...] = (Counter(), Counter(), Counter(), Counter())
         for b in batches:
-            for t, y, f in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                tally[2 * f + y].update(terms(t or ""))
+            labels, fold = b.column(2).to_pylist(), b.column(3).to_pylist()
+            for at, texts in column_chunks(b.column(1), TEXT_BYTES):
+                for i, t in enumerate(texts, at):
+                    tally[2 * fold[i] + labels[i]].update(terms(t or ""))
         seen = sorted(set().union(*tally))
         for k in range(0, len(seen), 20_000):
             part = seen[k : k + 20_000]
@@ -218,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts, y, f = (b.column(k).to_pylist() for k in range(4))
-            x = [folds[1 - k].features(t) for t, k in zip(texts, f, strict=True)]
+            ids, y, f = (b.column(k).to_pylist() for k in (0, 2, 3))
+            x = [folds[1 - f[i]].features(t) for at, texts in column_chunks(b.column(1), TEXT_BYTES) for i, t in enumerate(texts, at)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(y, pa.int64()), pa.array(f, pa.int64()), pa.array(x, pa.list_(pa.float64()))], ["i", "y", "fold", "x"])
 
     rows = sample.withColumn("i", F.col("i").cast("string")).mapInArrow(measure, "i string, y long, fold long, x array<double>").collect()
@@ -237,7 +242,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            for at, texts in column_chunks(b.column(1), TEXT_BYTES):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(model.score(texts), pa.float64())], ["doc_id", "score"])
 
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     return plain.mapInArrow(run, plain.withColumn("score", F.lit(0.0)).select("doc_id", "score").schema)
