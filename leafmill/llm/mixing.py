@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import small_enough, table
+from leafmill.llm.common import materialise, small_enough, table
 
 PART_RATE = 16.0
 #: P(Poisson(16) > 80) is below 1e-25, less than the step of the uniform numbers.
@@ -86,9 +86,13 @@ def mix(df: DataFrame, **how) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every copy of the mixture: doc_id, source, n_bytes, copy, copies, rate (rounded), shuffle_key, in shuffled order."""
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes")))
-    return mixed.select("doc_id", "source", "n_bytes", F.col("_mix_copy").cast("long").alias("copy"), F.col("_mix_copies").cast("long").alias("copies"), F.round("_mix_rate", 9).alias("rate"), F.col("_mix_key").alias("shuffle_key"))
+    """Every copy of the mixture: doc_id, source, n_bytes, copy, copies, rate (rounded), shuffle_key, in shuffled order.
+
+    The mixture itself, whole rows in shuffled order, is written to the shared folder; n_bytes is read from its copies.
+    """
+    mixed = materialise(mix(table(spark, sf_dir, "documents")), "mixed")
+    told = mixed.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.col("_mix_copy").cast("long").alias("copy"), F.col("_mix_copies").cast("long").alias("copies"), F.round("_mix_rate", 9).alias("rate"), F.col("_mix_key").alias("shuffle_key"))
+    return told.orderBy("shuffle_key", "doc_id", "copy")  # files are read back in any order; only these narrow rows move again
 
 
 OP6_SQL = """

@@ -1,15 +1,31 @@
 import math
+from pathlib import Path
 
 import pytest
 from oracle import assert_same
 
-from leafmill.llm import mixing, registry
+from leafmill.llm import common, mixing, registry
 
 
 def test_query_equals_sql(spark, sf):
     assert_same(registry.queries()["op6_mixing"](spark, sf), registry.oracle_sql()["op6_mixing"], sf)
 
 
+def test_query_mixes_whole_documents(spark, sf, docs):
+    """What is replicated and shuffled are whole rows; each copy equals its document."""
+    scratch = Path(common.scratch_root(spark).removeprefix("file://"))
+    before = set(scratch.glob("mixed-*"))
+    got = registry.queries()["op6_mixing"](spark, sf).collect()
+    (folder,) = set(scratch.glob("mixed-*")) - before
+    mixed = spark.read.parquet(f"file://{folder}")
+    want = {r["doc_id"]: r for r in docs.collect()}
+    copies = mixed.select(*docs.columns, "_mix_copy").collect()
+    assert all(r[:-1] == tuple(want[r["doc_id"]]) for r in copies)
+    assert sorted((r["doc_id"], r["_mix_copy"]) for r in copies) == sorted((r["doc_id"], r["copy"]) for r in got)
+    assert [r["shuffle_key"] for r in got] == sorted(r["shuffle_key"] for r in got)
+    assert all(r["n_bytes"] == len(want[r["doc_id"]]["text"].encode()) for r in got)
+
+
 def test_counts_follow_poisson(spark):
     df = spark.range(60_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'a' else 'b' end as source")
     out = mixing.replicate(df, {"a": 0.9, "b": 0.1})
