@@ -296,7 +296,15 @@ def repeated_spans(docs: DataFrame, units, length: int, gram: int, search: Searc
 
         def go(part: pa.Table) -> pa.RecordBatch:
             part = part.sort_by([("doc_id", "ascending"), ("pos", "ascending")])
-            doc, pos, t = part["doc_id"].to_numpy(), part["pos"].to_numpy(), part["t"].to_pylist()
+            route, doc, pos, t = part["route"].to_numpy(), part["doc_id"].to_numpy(), part["pos"].to_numpy(), part["t"].to_pylist()
+            seen, once = set(), []  # a row that repeats an id and its text is cut again: its pieces are the same ones
+            for i, piece in enumerate(zip(route.tolist(), doc.tolist(), pos.tolist(), t, strict=True)):
+                if not i or doc[i] != doc[i - 1] or pos[i] != pos[i - 1]:
+                    seen.clear()
+                if piece not in seen:
+                    seen.add(piece)
+                    once.append(i)
+            doc, pos, t = doc[once], pos[once], [t[i] for i in once]
             flags = search(doc, pos, t)
             d, s, e = [], [], []
             for i, f in enumerate(flags):

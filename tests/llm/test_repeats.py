@@ -53,6 +53,18 @@ def test_passages_in_many_places(spark):
         assert bytes_(suffix_family.remove_repeats(df, length, gram)) == brute.substring_bytes(docs, length)
 
 
+@pytest.mark.parametrize("hot_runs", [1, passages.HOT_RUNS])
+def test_a_repeated_row_is_the_first_occurrence(spark, hot_runs):
+    """A passage in different surroundings stays once, in the row that repeats."""
+    p = prose(80, 60)
+    t, u = f"{prose(81, 20)} {p} {prose(82, 20)}", f"{prose(83, 20)} {p} {prose(84, 20)}"
+    df = spark.createDataFrame([(8, t), (8, t), (9, u), (8, t)], "doc_id long, text string")
+    out = suffix_family.remove_repeats(df, hot_runs=hot_runs)
+    assert [bytes(r["kept"]).decode() for r in out.where("doc_id = 8").collect()] == [t] * 3
+    assert bytes_(out) == brute.substring_bytes([(8, t), (9, u)])
+    assert words(substring.remove_repeats(df, hot_runs=hot_runs)) == brute.substring_words([(8, t), (9, u)])
+
+
 @pytest.mark.parametrize("most", [1, 3, 10**6])
 def test_classify_does_not_depend_on_batches(most):
     rng = np.random.default_rng(1)
