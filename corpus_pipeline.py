@@ -19,9 +19,9 @@ from leafmill.llm.common import materialise, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found; those without any letter go."""
+    """Documents with a letter, whether or not the table has labels to tell their languages by; those without any go."""
     found = language.identify(docs, language.fit(docs))
-    return found.where(F.col("_lang_pred") != language.UNDETERMINED).select(docs.columns)
+    return found.where("_lang_lettered").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

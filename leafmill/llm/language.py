@@ -37,6 +37,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
+def lettered(text: bytes | None) -> bool:
+    return text is not None and _LETTER.search(text.decode("utf-8", "replace")) is not None
+
+
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n codewords of -1 and 1: the exhaustive code for up to 6 languages, else the widest of 200 random ones."""
     if n <= 1:
@@ -72,7 +76,7 @@ class Model:
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is ambiguous."""
-        known = [bool(self.languages) and t is not None and _LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts]
+        known = [bool(self.languages) and lettered(t) for t in texts]
         langs, score, vague = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         for lo in range(0, len(texts), 256):
             at = [i for i in range(lo, min(lo + 256, len(texts))) if known[i]]
@@ -128,17 +132,17 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df's columns keep (all by default) with lang_pred, score and ambiguous."""
+    """df's columns keep (all by default) with _lang_pred, _lang_score, _lang_ambiguous and _lang_lettered (whether the text has a letter)."""
     keep = list(df.columns) if keep is None else keep
     plain = df.select(*keep, F.col(text_col).cast("binary").alias("_lang_text"))
-    schema = plain.drop("_lang_text").withColumns({"_lang_pred": F.lit(""), "_lang_score": F.lit(0.0), "_lang_ambiguous": F.lit(True)}).schema
+    schema = plain.drop("_lang_text").withColumns({"_lang_pred": F.lit(""), "_lang_score": F.lit(0.0), "_lang_ambiguous": F.lit(True), "_lang_lettered": F.lit(True)}).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in column_chunks(b.column(b.num_columns - 1), TEXT_BYTES):
                 langs, scores, vague = model.predict(texts)
                 kept = [c.slice(at, len(texts)) for c in b.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(vague, pa.bool_())], [*b.schema.names[:-1], "_lang_pred", "_lang_score", "_lang_ambiguous"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(vague, pa.bool_()), pa.array([lettered(t) for t in texts], pa.bool_())], [*b.schema.names[:-1], "_lang_pred", "_lang_score", "_lang_ambiguous", "_lang_lettered"])
 
     return plain.mapInArrow(score, schema)
 

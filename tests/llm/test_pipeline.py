@@ -1,6 +1,7 @@
 import brute
 import corpus_pipeline
 from conftest import prose
+from pyspark.sql import functions as F
 
 from leafmill.llm import common, mixing
 
@@ -44,6 +45,15 @@ def test_stages_take_odd_and_empty_rows(spark, odd, empty, tmp_path):
     assert not {0, 1, 2, 16} & set(spoken) and {3, 4, 13} <= set(spoken)
 
 
+def test_unlabelled_documents_stay(spark, odd):
+    """Without any label, and with a label that is the word for no language."""
+    for lang in (None, "und"):
+        got = corpus_pipeline.language_id(spark, odd.withColumn("lang", F.lit(lang).cast("string")), "")
+        want = [(i, t) for i, t in odd.select("doc_id", "text").collect() if t and any(c.isalpha() for c in t)]
+        assert got.columns == odd.columns
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select("doc_id", "text").collect())
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (11, 12), (12, 13), (13, 14), (14, 15), (20, 5), (5, 20), (3, 1)]
     df = spark.createDataFrame(edges, "a long, b long")
