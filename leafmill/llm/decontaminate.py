@@ -9,7 +9,8 @@ The benchmark's distinct windows are counted; up to BROADCAST_WINDOWS of them ar
 once. With more, fingerprints and windows are joined by shuffles in which AQE may split hot keys.
 
 Defined cases: a null or empty text, or one without words, has no words and no hits; items without words are never
-found; repeated item ids count once; rows that repeat both id and text are one document; a null id is kept; empty
+found; repeated item ids count once; items with a null id are sought too, and count as one item whose id is left out of
+the digest; rows that repeat both id and text are one document; a null id is kept; empty
 tables give an empty result, or one without hits; columns besides id and text are left out.
 """
 
@@ -72,12 +73,12 @@ def fingerprints(words: Column, window: int, gram: int, short: list[int]) -> Col
 
 
 def benchmark_windows(items: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    """Distinct windows: key (words joined by a space), n (words), h (fingerprint), items (ids as strings)."""
-    words = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0 and item is not null")
+    """Distinct windows: key (words joined by a space), n (words), h (fingerprint), items (ids as strings, a null among them)."""
+    words = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0")
     long = words.where(F.size("w") >= window).select("item", "w", F.posexplode_outer(window_hashes(F.col("w"), window, gram)).alias("at", "h"))
     long = long.select("item", F.array_join(F.slice("w", F.col("at") + 1, window), " ").alias("key"), F.lit(window).alias("n"), "h").where("h is not null")
     short = words.where(F.size("w") < window).select("item", F.array_join("w", " ").alias("key"), F.size("w").alias("n"), F.xxhash64("w").alias("h"))
-    return long.unionByName(short).groupBy("key", "n", "h").agg(F.collect_set("item").alias("items"))
+    return long.unionByName(short).groupBy("key", "n", "h").agg(F.collect_set(F.struct("item")).alias("items")).withColumn("items", F.col("items.item"))
 
 
 def covered(spans: Column) -> Column:
@@ -90,7 +91,7 @@ def covered(spans: Column) -> Column:
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """For each document: doc_id, text_hash, n_words, spans array<struct<s, n>> (windows found), items array<string>, sorted."""
+    """For each document: doc_id, text_hash, n_words, spans array<struct<s, n>> (windows found), items array<string>, sorted, a null last."""
     known = materialise(benchmark_windows(items, window, gram, item_id_col, item_text_col), "windows")
     short = sorted(r["n"] for r in known.where(F.col("n") < window).select("n").distinct().collect())
     marks = known.select("h", "n").distinct().withColumn("known", F.lit(True))

@@ -1,4 +1,8 @@
+from pathlib import Path
+
 import brute
+import pyarrow as pa
+import pyarrow.parquet as pq
 from conftest import prose
 
 from leafmill.llm import decontaminate, registry
@@ -34,3 +38,17 @@ def test_empty_tables(spark, odd, empty):
     for bound in (10_000, 0):
         assert decontaminate.hits(empty, items, broadcast_windows=bound).count() == 0
         assert all(r["spans"] == [] and r["items"] == [] for r in decontaminate.hits(odd, items, broadcast_windows=bound).collect())
+
+
+def test_items_without_an_id_are_sought(spark, sf, docs, tmp_path):
+    """Equal to the SQL where long and short items have null ids."""
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(4).collect()]
+    rows = [(None, texts[0]), (None, texts[1]), (None, " ".join(texts[2].split()[:4])), (7, texts[1]), (8, texts[3]), (None, None)]
+    for f in Path(sf).glob("*.parquet"):
+        if f.name != "benchmark.parquet":
+            (tmp_path / f.name).symlink_to(f)
+    pq.write_table(pa.table({"item_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]}), tmp_path / "benchmark.parquet")
+    assert_same(decontaminate.op1_decontamination(spark, str(tmp_path)), decontaminate.OP1_SQL, str(tmp_path))
+    items = spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    told = [decontaminate.hits(docs, items, broadcast_windows=n).selectExpr("doc_id", "array_sort(spans) as s", "items").orderBy("doc_id").collect() for n in (0, 10**6)]
+    assert told[0] == told[1] and any(r["items"] == [None] for r in told[0])
