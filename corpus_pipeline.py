@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a
 columns of documents. run() writes each stage's result to the shared scratch folder and reads it again.
 
 Cases: every stage takes null and empty texts. Language ID drops texts without a letter. Among near duplicates (five-word
-shingles, Jaccard 0.8 or more, linked through others too) the document with the least id stays. Decontamination drops documents
+shingles, Jaccard 0.8 or more, linked through others too) the document with the least id stays, and of rows that repeat
+its id and text one; rows with a null id are no known copies of each other and all stay. Decontamination drops documents
 that share a ten-word window, or a whole shorter item, with the benchmark. Mixing repeats or leaves out documents by its draw.
 Sharding returns a row for each copy, without the text.
 """
@@ -25,10 +26,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates."""
+    """The document with the least id of each group of near duplicates, once where its row repeats; rows with a null id stay."""
     parts = jaccard.near_components(docs, shingle=5, percent=80)
     gone = parts.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = materialise(again, "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,16 @@ def test_unlabelled_documents_stay(spark, odd):
         assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select("doc_id", "text").collect())
 
 
+def test_the_least_document_stays_once(spark):
+    p, q = prose(90, 40), prose(91, 40)
+    rows = [(8, p), (8, p), (9, p), (8, p), (20, q), (21, None), (21, None), (30, ""), (30, prose(92, 9)), (None, p), (None, p)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int")
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    want = [(8, p), (20, q), (21, None), (30, ""), (30, prose(92, 9)), (None, p), (None, p)]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select("doc_id", "text").collect())
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (11, 12), (12, 13), (13, 14), (14, 15), (20, 5), (5, 20), (3, 1)]
     df = spark.createDataFrame(edges, "a long, b long")
