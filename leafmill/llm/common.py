@@ -56,6 +56,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node that can be reached, for every node that has an edge. Each step is a pair of groupBy aggregations whose partial
     sums run before the shuffle; a hub needs one row per neighbour only, and never sits in one task's memory: the
     minimum of a node is aggregated and joined back. Each round is written to the shared folder.
+    Edges that still change after max_rounds are an error: labels would not be final.
     """
     empty = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -77,5 +78,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if sums == last:
             break
         last = sums
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
