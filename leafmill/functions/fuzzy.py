@@ -19,6 +19,27 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if not x or not y else 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """sequence_ratio() where it reaches `least`; 0 where the letters that both texts hold already rule that out, or a text is null."""
+
+    def one(x: str | None, y: str | None, bound: float) -> float:
+        if not x or not y:
+            return 0.0
+        if x == y:
+            return 1.0
+        m = SequenceMatcher(None, x, y)
+        return m.ratio() if m.quick_ratio() >= bound else 0.0
+
+    return pd.Series([one(x, y, bound) for x, y, bound in zip(a, b, least, strict=True)], dtype="float64")
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """No sequence ratio is larger: all of the shorter text would match."""
+    x, y = F.length(a), F.length(b)
+    return F.coalesce(2 * F.least(x, y) / F.nullif(x + y, F.lit(0)), F.lit(0.0))
+
+
 def token_overlap(ref: Column, block: Column) -> Column:
     """Share of the reference's tokens of 4 letters or more in the block, at least 0.95 if one text contains the other; both are normalised."""
     tokens = token_set(ref, 4, normalized=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -34,6 +34,11 @@ def _ascii_table() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from), "".join(single_to), several
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmill.config import NA_HINTS, PUBLICATION_ALIASES, VALUE_SEPARATORS
-from leafmill.functions.text import any_marker, strip
+from leafmill.functions.text import any_marker, let, strip
 
 
 def parse_value(c: Column, separators: Sequence[str] = VALUE_SEPARATORS) -> Column:
@@ -31,27 +31,33 @@ def _text(c: Column) -> Column:
     return F.struct(c.alias("s"), F.lit(None).cast("bigint").alias("i"))
 
 
+def _integer(digits: Column) -> Column:
+    fits = digits.try_cast("bigint")
+    return F.struct(F.when(fits.isNull(), digits).alias("s"), fits.alias("i"))
+
+
 def normalise_value(raw: Column, inferred: Column, accepted: Column) -> Column:
-    """struct<s, i>: the coerced value, in i if it is an integer, else in s."""
-    raw = strip(F.coalesce(raw, F.lit("")))
-    low = F.lower(raw)
-    hinted = any_marker(low, NA_HINTS)
-    binary = F.when(raw.rlike(r"(?U)\b1\b"), "1").when(raw.rlike(r"(?U)\b0\b"), "0").when(hinted | (raw == ""), "NA").otherwise(raw)
-    tokens = F.coalesce(accepted, F.array().cast("array<string>"))
-    exact = F.get(F.filter(tokens, lambda t: F.lower(t) == low), F.lit(0))
-    inside = F.get(F.filter(tokens, lambda t: (t != "") & F.contains(low, F.lower(t))), F.lit(0))
-    na_token = F.get(F.filter(tokens, lambda t: F.upper(t) == "NA"), F.lit(0))
-    categorical = F.coalesce(exact, inside, F.when(hinted, F.coalesce(na_token, F.lit("NA"))), raw)
-    number = F.regexp_extract(raw, r"-?\d+", 0)
-    as_int = lambda c: F.struct(F.lit(None).cast("string").alias("s"), c.cast("bigint").alias("i"))
-    return (
-        F.when(inferred == "binary_ordinal", _text(binary))
-        .when(inferred == "categorical", _text(categorical))
-        .when(inferred == "integer", F.when(hinted, _text(F.lit("NA"))).when(number != "", as_int(number)).otherwise(_text(raw)))
-        .when(inferred == "integer_or_string_id", F.when(raw.rlike(r"^-?\d+$"), as_int(raw)).otherwise(_text(raw)))
-        .when((inferred == "string") & (raw == "") & accepts_na(accepted), _text(F.lit("NA")))
-        .otherwise(_text(raw))
-    )
+    """struct<s, i>: the coerced value, in i if it is an integer of 64 bits, else in s (digits of a longer integer as they stand)."""
+
+    def coerced(raw: Column, low: Column) -> Column:
+        hinted = any_marker(low, NA_HINTS)
+        binary = F.when(raw.rlike(r"(?U)\b1\b"), "1").when(raw.rlike(r"(?U)\b0\b"), "0").when(hinted | (raw == ""), "NA").otherwise(raw)
+        tokens = F.coalesce(accepted, F.array().cast("array<string>"))
+        exact = F.get(F.filter(tokens, lambda t: F.lower(t) == low), F.lit(0))
+        inside = F.get(F.filter(tokens, lambda t: (t != "") & F.contains(low, F.lower(t))), F.lit(0))
+        na_token = F.get(F.filter(tokens, lambda t: F.upper(t) == "NA"), F.lit(0))
+        categorical = F.coalesce(exact, inside, F.when(hinted, F.coalesce(na_token, F.lit("NA"))), raw)
+        number = F.regexp_extract(raw, r"-?\d+", 0)
+        return (
+            F.when(inferred == "binary_ordinal", _text(binary))
+            .when(inferred == "categorical", _text(categorical))
+            .when(inferred == "integer", F.when(hinted, _text(F.lit("NA"))).when(number != "", _integer(number)).otherwise(_text(raw)))
+            .when(inferred == "integer_or_string_id", F.when(raw.rlike(r"^-?\d+$"), _integer(raw)).otherwise(_text(raw)))
+            .when((inferred == "string") & (raw == "") & accepts_na(accepted), _text(F.lit("NA")))
+            .otherwise(_text(raw))
+        )
+
+    return let(strip(F.coalesce(raw, F.lit(""))), lambda raw: let(F.lower(raw), lambda low: coerced(raw, low)))
 
 
 def default_value(inferred: Column, accepted: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.config import ABSTRACT_START, AUTHOR_CREDENTIAL, DEFAULT, TRIM_METHOD, TRIM_REASONS, Config, Thresholds
-from leafmill.functions.fuzzy import accepted, combine_title, match_score, score_authors, sequence_ratio, surnames, token_overlap
+from leafmill.functions.fuzzy import accepted, combine_title, match_score, ratio_bound, score_authors, sequence_ratio, sequence_ratio_from, surnames, token_overlap
 from leafmill.functions.text import LINE_BREAK, any_marker, bool_text, collapse_space, count_markers, normalize_text, strip, utc_iso
 from leafmill.operators.screening import markers
 
@@ -118,14 +118,25 @@ def blocks(numbered: DataFrame) -> DataFrame:
     )
 
 
-def score_blocks(found: DataFrame, references: DataFrame) -> DataFrame:
-    """Blocks joined with (paper_id, title, authors) of their volume, with title, author and match scores."""
+_HELPERS = ("_ref", "_own", "_names", "_overlap", "_ratio", "_ref_title", "_ref_authors")
+
+
+def _with_reference(found: DataFrame, references: DataFrame) -> DataFrame:
+    """Blocks with the reference of their volume and what of the scores needs no sequence ratio."""
     b = found.join(references.select("paper_id", F.col("title").alias("_ref_title"), F.col("authors").alias("_ref_authors")), "paper_id", "left")
     b = b.withColumn("_ref", normalize_text(F.col("_ref_title"))).withColumn("_own", normalize_text(F.col("title_text"))).withColumn("_names", surnames(F.col("_ref_authors")))
-    b = b.withColumn("author_score", score_authors(F.col("_names"), F.col("preview_text"))).withColumn("_overlap", token_overlap(F.col("_ref"), F.col("_own")))
-    b = b.withColumn("_ratio", sequence_ratio(F.col("_ref"), F.col("_own")))
-    b = b.withColumn("title_score", combine_title(F.col("_ref"), F.col("_own"), F.col("_ratio"), F.col("_overlap")))
-    return b.withColumn("match_score", match_score(F.col("title_score"), F.col("author_score"))).drop("_ref", "_own", "_names", "_overlap", "_ratio", "_ref_title", "_ref_authors")
+    return b.withColumn("author_score", score_authors(F.col("_names"), F.col("preview_text"))).withColumn("_overlap", token_overlap(F.col("_ref"), F.col("_own")))
+
+
+def _title(ratio: Column) -> Column:
+    return combine_title(F.col("_ref"), F.col("_own"), ratio, F.col("_overlap"))
+
+
+def score_blocks(found: DataFrame, references: DataFrame) -> DataFrame:
+    """Blocks joined with (paper_id, title, authors) of their volume, with title, author and match scores."""
+    b = _with_reference(found, references).withColumn("_ratio", sequence_ratio(F.col("_ref"), F.col("_own")))
+    b = b.withColumn("title_score", _title(F.col("_ratio")))
+    return b.withColumn("match_score", match_score(F.col("title_score"), F.col("author_score"))).drop(*_HELPERS)
 
 
 def best_blocks(scored: DataFrame) -> DataFrame:
@@ -134,6 +145,28 @@ def best_blocks(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def best_match(found: DataFrame, references: DataFrame) -> DataFrame:
+    """best_blocks(score_blocks(found, references)), with few sequence ratios.
+
+    The block of each volume that could score highest is scored first. Another one is scored only if the length of its title, and then its
+    letters, allow it to reach that score; the others keep a score that is too low to win.
+    """
+    b = _with_reference(found, references).withColumn("_most", match_score(_title(ratio_bound(F.col("_ref"), F.col("_own"))), F.col("author_score")))
+    volume = Window.partitionBy("paper_id")
+    b = b.withColumn("_rank", F.row_number().over(volume.orderBy(F.col("_most").desc(), F.col("_overlap").desc(), "block_no")))
+    b = b.withColumn("_first", sequence_ratio(F.when(F.col("_rank") == 1, F.col("_ref")), F.col("_own")))
+    b = b.withColumn("_reached", F.max(F.when(F.col("_rank") == 1, match_score(_title(F.col("_first")), F.col("author_score")))).over(volume))
+    # the ratio without which a title score, and so a match, stays below what is reached; a little less, for rounding
+    t = DEFAULT.thresholds.title_weight
+    wanted = (F.col("_reached") - (1 - t) * F.col("author_score")) / t
+    least = F.least(wanted, (wanted - 0.35 * F.col("_overlap")) / 0.65) - 1e-9
+    again = (F.col("_rank") > 1) & (F.col("_most") >= F.col("_reached") - 1e-9)
+    b = b.withColumn("_later", sequence_ratio_from(F.when(again, F.col("_ref")), F.col("_own"), least))
+    b = b.withColumn("title_score", _title(F.when(F.col("_rank") == 1, F.col("_first")).otherwise(F.col("_later"))))
+    scored = b.withColumn("match_score", match_score(F.col("title_score"), F.col("author_score")))
+    return best_blocks(scored.drop(*_HELPERS, "_most", "_rank", "_first", "_reached", "_later"))
+
+
 def decide(signalled: DataFrame, best: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Signals with the best block's columns (null if there is none), trim_status and trim_reason."""
     b = best.select("paper_id", F.lit(True).alias("_has"), *[c for c in best.columns if c != "paper_id"])

@@ -153,7 +153,8 @@ class Validator:
                 yield from self._node(x, items, f"{at}[{i}]")
         if s.get("uniqueItems"):
             marks = [json.dumps(x, sort_keys=True, ensure_ascii=False, default=str) for x in v]
-            again = next((i for i, m in enumerate(marks) if m in marks[:i]), None)
+            seen: set[str] = set()
+            again = next((i for i, m in enumerate(marks) if m in seen or seen.add(m)), None)
             if again is not None:
                 yield f"{at}: duplicate item {self.shown(v[again])} not allowed (uniqueItems)"
 

@@ -44,7 +44,7 @@ def run_trim(records: DataFrame, references: DataFrame, out: str | None = None,
     told = proceedings.signals(lines, records.select("paper_id", "source_filename", F.coalesce("n_pages", F.lit(0)).alias("n_pages")), config)
     # only volumes are segmented and scored
     numbered = proceedings.block_lines(lines.join(told.where("proceedings_detected").select("paper_id"), "paper_id", "left_semi"))
-    best = proceedings.best_blocks(proceedings.score_blocks(proceedings.blocks(numbered), references))
+    best = proceedings.best_match(proceedings.blocks(numbered), references)
     decided = proceedings.decide(told, best, config)
     trimmed = proceedings.trimmed_records(proceedings.trimmed_pages(numbered, decided), decided, records, references)
     rows = proceedings.decision_rows(decided, references)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.config import DEFAULT, Config
@@ -185,10 +185,9 @@ def q_block_scores(spark, sf):
 def _decided(spark, sf, config: Config = DEFAULT):
     lines = _lines(spark, sf)
     told = proceedings.signals(lines, _volumes(spark, sf), config)
-    numbered = proceedings.block_lines(lines)
-    found = proceedings.blocks(numbered)
+    numbered = proceedings.block_lines(lines.join(told.where("proceedings_detected").select("paper_id"), "paper_id", "left_semi"))  # only volumes are segmented
     refs = _volume_references(spark, sf)
-    best = proceedings.best_blocks(proceedings.score_blocks(found, refs))
+    best = proceedings.best_match(proceedings.blocks(numbered), refs)
     return proceedings.decide(told, best, config), numbered, refs
 
 
@@ -203,10 +202,12 @@ def q_trimmed_pages(spark, sf):
 
 
 def q_title_scores(spark, sf):
-    b = _t(spark, sf, "benchmark").select((F.col("item_id")).alias("k"), F.col("text").alias("ref"))
+    """Each document's text against one of the benchmark's, dealt by rank, as title and block title."""
+    b = _t(spark, sf, "benchmark")
     n = b.count()
-    d = _docs(spark, sf).select("doc_id", F.split("text", "\n")[0].alias("line"), (F.col("doc_id") % max(1, n)).alias("k"))
-    return d.join(F.broadcast(b) if n <= 100_000 else b, "k").select("doc_id", F.round(fuzzy.score_title(F.col("ref"), F.col("line")), 6).alias("title_score"))
+    ranked = b.select((F.row_number().over(Window.orderBy("item_id", "text")) - 1).alias("k"), F.col("text").alias("ref"))
+    d = _docs(spark, sf).select("doc_id", "text", F.pmod("doc_id", F.lit(max(1, n))).alias("k"))
+    return d.join(ranked, "k", "left").select("doc_id", F.round(fuzzy.score_title(F.coalesce("ref", F.lit("")), F.col("text")), 6).alias("title_score"))
 
 
 def q_section_snippets(spark, sf):
@@ -445,6 +446,7 @@ j as (select p.paper_id, p.publication_type, specs.field, specs.ord, specs.infer
   from p join specs using (publication_type) left join s on s.paper_id = p.paper_id and s.cls = specs.field),
 vals as (select *, case when snippets is null then {_default('inferred', 'accepted')} else {_value_text('raw', 'inferred', 'accepted')} end as vt,
   case when snippets is not null then {_value_int('raw', 'inferred')} end as vi from j)"""
+_ANCHOR = r"""'(?is)<a\b[^>]*?href\s*=\s*["'']?([^"''\s>]*)[^>]*>(.*?)</a>'"""
 _RAW_EVENT = "case event_id % 4 when 0 then event_type || ' :: ' || props when 1 then event_type || ' - 1 || ' || props when 2 then ' ' || event_type else props end"
 _PAGES_SQL = "d as (select doc_id::varchar as paper_id, string_split(coalesce(text, ''), chr(10)) as l from documents)"
 
@@ -555,6 +557,16 @@ e as (select a.id as left_id, min(b.id) as right_id from a join b on a.t = b.t a
 select *, 'doi' as match_method from d union all select *, 'title' from e""",
         "input_selection": "select doc_id::varchar as _stem, n_chars from documents order by doc_id::varchar limit 25",
         "filename_sanitize": r"""select page_id, case when lower(f) like '%.pdf' then f else f || '.pdf' end as filename from (select page_id, regexp_replace(trim(regexp_replace(url, '[<>:"/\\|?*]', '_', 'g')), '\.+$', '') as f from pages)""",
+        "html_text": r"""select page_id, md5(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')) as text_md5 from pages""",
+        "page_links": rf"""
+with f as (select page_id as id, url as page, regexp_extract_all(html, {_ANCHOR}, 1) as h, regexp_extract_all(html, {_ANCHOR}, 2) as t from pages),
+a as (select id, page, i::int as pos, h[i + 1] as href, regexp_replace(regexp_replace(t[i + 1], '<[^>]*>', '', 'g'), '^[\s\pZ]+|[\s\pZ]+$', '', 'g') as text from (select *, unnest(range(len(h))) as i from f)),
+u as (select *, regexp_extract(page, '^([a-zA-Z][\w+.-]*://[^/?#]*)', 1) as host, regexp_extract(regexp_replace(page, '[?#].*$', ''), '^([a-zA-Z][\w+.-]*://.*/)', 1) as folder from a),
+x as (select id, pos, text, href, case when href = '' then page when regexp_matches(href, '^[a-zA-Z][\w+.-]*:') then href when starts_with(href, '//') then regexp_extract(page, '^([a-zA-Z][\w+.-]*:)', 1) || href
+  when starts_with(href, '/') then host || href when folder = '' then host || '/' || href else folder || href end as url from u),
+n as (select *, case when regexp_matches(text, '(?i)\.pdf\b') then text else url_decode(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][\w+.-]*://[^/]*', ''), '/')[-1]) end as raw from x),
+k as (select *, regexp_replace(trim(regexp_replace(raw, '[<>:"/\\|?*]', '_', 'g')), '\.+$', '') as clean from n)
+select id, pos, text, href, url, case when lower(clean) like '%.pdf' then clean else clean || '.pdf' end as filename, regexp_matches(text, '(?i)\.pdf\b') or regexp_matches(href, '(?i)(\.pdf\b|application%2fpdf)') as is_pdf from k""",
         "reference_cards": r"""with c as (select doc_id, (doc_id % 700 + 10)::varchar as cid, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '' and not regexp_matches(x, '(?i)^#\s*\d+|^view full text$|\.pdf$|^\d{4}$')) as l from documents)
 select cid as covidence_id, md5(min_by(coalesce(substr(l[1], 1, 240), ''), doc_id)) as label_md5 from c group by cid""",
         "few_shot_examples": f"""with {_SPECS}, f as (select publication_type, min_by(field, ord) filter (inferred = 'binary_ordinal') as b, min_by(field, ord) filter (inferred = 'categorical') as c, min_by(field, ord) filter (inferred = 'string') as s from specs group by publication_type)
