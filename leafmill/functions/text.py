@@ -55,11 +55,11 @@ def normalize_text(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
     ascii_only = lambda c: F.octet_length(c) == F.char_length(c)  # noqa: E731  cheap, and true of most texts at one of the two steps
 
+    table = F.str_to_map(F.lit("\x01".join(f"{char}\x02{plain}" for char, plain in several.items())), F.lit("\x01"), F.lit("\x02"))
+
     def spelled(c: Column) -> Column:
-        out = c
-        for char, plain in several.items():
-            out = F.replace(out, F.lit(char), F.lit(plain))
-        return F.when(ascii_only(c), c).otherwise(F.regexp_replace(out, r"[^\x00-\x7F]", ""))
+        letters = F.transform(F.split(c, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.try_element_at(table, x), F.lit(""))))
+        return F.when(ascii_only(c), c).otherwise(F.array_join(letters, ""))
 
     # the lambda keeps the translated text from being computed for each use
     folded = F.when(ascii_only(text), text).otherwise(F.get(F.transform(F.array(F.translate(text, source, target)), spelled), F.lit(0)))

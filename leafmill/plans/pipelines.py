@@ -40,8 +40,8 @@ def run_screen(records: DataFrame, references: DataFrame, out: str | None = None
 
 def run_trim(records: DataFrame, references: DataFrame, out: str | None = None, registry_out: str | None = None, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Trimmed records and the trim registry. references: (paper_id, title, authors)."""
-    lines = proceedings.classify(proceedings.flatten_lines(records), config)
-    told = proceedings.signals(lines, records.select("paper_id", "source_filename", F.coalesce("n_pages", F.lit(0)).alias("n_pages")), config)
+    lines = tables.once(proceedings.classify(proceedings.flatten_lines(records), config))
+    told = tables.once(proceedings.signals(lines, records.select("paper_id", "source_filename", F.coalesce("n_pages", F.lit(0)).alias("n_pages")), config))
     # only volumes are segmented and scored
     numbered = proceedings.block_lines(lines.join(told.where("proceedings_detected").select("paper_id"), "paper_id", "left_semi"))
     best = proceedings.best_match(proceedings.blocks(numbered), references)

@@ -183,8 +183,8 @@ def q_block_scores(spark, sf):
 
 
 def _decided(spark, sf, config: Config = DEFAULT):
-    lines = _lines(spark, sf)
-    told = proceedings.signals(lines, _volumes(spark, sf), config)
+    lines = tables.once(_lines(spark, sf))
+    told = tables.once(proceedings.signals(lines, _volumes(spark, sf), config))
     numbered = proceedings.block_lines(lines.join(told.where("proceedings_detected").select("paper_id"), "paper_id", "left_semi"))  # only volumes are segmented
     refs = _volume_references(spark, sf)
     best = proceedings.best_match(proceedings.blocks(numbered), refs)

@@ -34,6 +34,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df computed once for several uses: in the session's checkpoint folder, or cached where it has none."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def with_position(df: DataFrame, name: str = "_pos") -> DataFrame:
     """A column that rises in file order within a partition and over the partitions of one read."""
     return df.withColumn(name, F.monotonically_increasing_id())
