@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,28 +22,60 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one of our own only where that is unset (tests, local runs)."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset: a temporary folder on a local master, else an error,
+    since executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         app = spark.sparkContext.applicationId
         root = _OWN.get(app) or _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='leafmill_')}")
     return root.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+#: Folders of open scopes, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that materialise() wrote within it: by then their results must be written or collected."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for folder in _SCOPES.pop():
+            path, fs = _path(spark, folder)
+            fs.delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df to a new table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table is deleted by drop_materialised(), at the end of the scratch_scope() it was written in, or when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    path, fs = _path(spark, folder)
+    fs.deleteOnExit(path)
+    if _SCOPES:
+        _SCOPES[-1].append(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def drop_materialised(df: DataFrame) -> None:
     """Delete a table of materialise() that no later plan reads."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = _path(spark, folder)
+        fs.delete(path, True)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
@@ -49,36 +83,50 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: A node with more than one in HUB_SHARE of the edges is a hub, if it has over HUB_LEAST; there are 2 * HUB_SHARE of them at most.
+HUB_SHARE, HUB_LEAST = 1000, 1000
+
+
+def _tell(edges: DataFrame, key: str, told: DataFrame, edge_count: int, most: int) -> DataFrame:
+    """edges with m of the node edges[key]; told: (node, m, n), n its edges, `most` the largest n.
+
+    Rows of hubs don't meet in the task of their key: the hubs, at most 2 * HUB_SHARE rows, are broadcast to them.
+    """
+    limit = max(HUB_LEAST, edge_count // HUB_SHARE)
+    told = told.withColumnRenamed("node", key)
+    if most <= limit:
+        return edges.join(told.select(key, "m"), key)
+    hubs = F.broadcast(told.where(F.col("n") > limit).select(key, "m"))
+    return edges.join(hubs, key).unionByName(edges.join(hubs, key, "left_anti").join(told.where(F.col("n") <= limit).select(key, "m"), key))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 
     edges: (a long, b long), a and b different; nulls are not allowed. Returns (node long, component long), the smallest
-    node that can be reached, for every node that has an edge. Each step is a pair of groupBy aggregations whose partial
-    sums run before the shuffle; a hub needs one row per neighbour only, and never sits in one task's memory: the
-    minimum of a node is aggregated and joined back. Each round is written to the shared folder.
-    Edges that still change after max_rounds are an error: labels would not be final.
+    node that can be reached, for every node that has an edge. Partial minima run before each shuffle, and a hub's edges
+    are spread over all tasks. Steps go on until each component is a star around its least node: every node but that
+    has one edge, which leads there. Each round is written to the shared folder.
     """
     empty = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if now.isEmpty():
-        return empty
-    last = None
-    for _ in range(max_rounds):
-        # large-star: every neighbour larger than the node is tied to the least of the node and its neighbours
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small-star: every smaller neighbour and the node itself are tied to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        new = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        sums = new.agg(F.count("*").alias("n"), F.sum("b").alias("s"), F.expr("sum(cast(a as decimal(38,0)) * cast(b % 1000003 as decimal(38,0)))").alias("h")).first()
-        drop_materialised(now)
-        now = new
-        if sums == last:
+    while True:
+        ends = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(now.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        near = materialise(ends.groupBy("node").agg(F.least("node", F.min("other")).alias("m"), F.count("*").alias("n"), F.count_if(F.col("other") < F.col("node")).alias("low")), "near")
+        state = near.agg(F.sum("low").alias("edges"), F.max("n").alias("most"), F.max("low").alias("most_low"), F.max((F.col("low") > 0) & (F.col("n") > 1)).alias("open")).first()
+        if state["edges"] is None:
+            return empty
+        if not state["open"]:
+            drop_materialised(near)
             break
-        last = sums
-    else:
-        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+        # large-star: every neighbour larger than a node is tied to the least of the node and its neighbours
+        large = materialise(_tell(now, "b", near.select("node", "m", "n"), state["edges"], state["most"]).select("a", F.col("m").alias("b")).distinct(), "large")
+        drop_materialised(now)
+        # small-star: every smaller neighbour and the node itself are tied to the least of them
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumnRenamed("a", "node")
+        small = _tell(large, "a", low, state["edges"], state["edges"] if state["most_low"] > HUB_LEAST else 0).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        now = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        drop_materialised(near)
+        drop_materialised(large)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

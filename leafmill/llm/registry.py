@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_decontamination": decontaminate.OP1_SQL, "op3_embedding_near_dedup": embeddings.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {"op1_decontamination": decontaminate.OP1_SQL, "op2_ngram_jaccard_join": jaccard.OP2_SQL, "op3_embedding_near_dedup": embeddings.OP3_SQL, "op6_mixing": mixing.OP6_SQL}

@@ -2,6 +2,7 @@ import brute
 import numpy as np
 import pytest
 from conftest import prose
+from oracle import assert_same
 
 from leafmill.llm import jaccard, registry
 
@@ -73,3 +74,25 @@ def test_blocks(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "BROADCAST_COUNTS", bound)
         df = spark.createDataFrame(docs, "doc_id long, text string")
         assert rows(jaccard.near_components(df, 5, 80)) == brute.jaccard(docs, 5, 80)
+
+
+def test_query_equals_sql(spark, sf):
+    assert_same(registry.queries()["op2_ngram_jaccard_join"](spark, sf), registry.oracle_sql()["op2_ngram_jaccard_join"], sf)
+
+
+def test_unrelated_sets_with_one_signature(spark, monkeypatch):
+    """A bucket whose first set is linked with none of the others, of many blocks."""
+    docs = [(i, f"{prose(900 + i % 20, 60)} tail{i % 3}") for i in range(120)]
+    same = lambda sets, percent, frequent: (np.arange(len(sets)), np.full(len(sets), 7, np.uint64))
+    monkeypatch.setattr(jaccard, "signatures", same)
+    for most in (1024, 16):
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", most)
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        assert rows(jaccard.near_components(df, 5, 80)) == brute.jaccard(docs, 5, 80)
+
+
+def test_ids_near_the_largest_long(spark):
+    top = 2**63 - 1
+    docs = [(top - i, prose(40, 60) + f" end{i % 2}") for i in range(30)] + [(top - 100 - i, prose(41, 60)) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(jaccard.near_components(df, 5, 80)) == brute.jaccard(docs, 5, 80)
