@@ -15,9 +15,9 @@ the list only has to be the same for all, and decides how much work there is, ne
 
 Equal sets are one class. Candidates are verified within the buckets of their signatures, and only verified links are closed
 over. First each class of a bucket is compared with the bucket's first one. Where that leaves all of a bucket in one component,
-its other pairs can add nothing; of the other buckets, those of equal content count once, and all their classes of similar
-size are compared with each other in blocks, as matrix products over the elements that occur twice. A comparison reports one
-edge for each linked class, not its pairs. Links of all comparisons make the components.
+its other pairs can add nothing. The classes of the other buckets are put together by their first class, and all of similar size are
+compared with each other in blocks, as matrix products over the elements that occur twice. A comparison reports one edge for
+each linked class, not its pairs. Links of all comparisons make the components.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; a text of fewer
 words than a shingle has the whole sequence as its only element; a null id links with nothing; rows that repeat an id
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import HUB_LEAST, HUB_SHARE, connected_components, materialise, small_enough, table
+from leafmill.llm.common import HUB_LEAST, HUB_SHARE, connected_components, drop_materialised, materialise, small_enough, table
 from leafmill.llm.passages import Words, chunks, join, column_chunks, gram_hashes
 
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 1 << 20
@@ -380,15 +380,23 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     ties = verified(usable, asked.join(of_class, "cls").select("doc_id", "key", "role"), shingle, percent)
     parts = materialise(connected_components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "parts")
 
-    # buckets whose classes are not all in one component yet, once for each content
+    # buckets whose classes are not all in one component yet: all pairs of those that share a lead, so that a set goes out once for each lead
     members = met.select("sig", "cls").unionByName(met.groupBy("sig").agg(F.first("lead").alias("cls")))
     where = of_class.join(parts, "doc_id", "left").select("cls", F.coalesce("part", "doc_id").alias("part"))
-    open_ = members.join(where, "cls").groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("sets"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y"))
-    open_ = materialise(open_.where("low <> high and sets > 2").groupBy("sets", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "open")
-    if not open_.isEmpty():
-        rest = materialise(members.join(open_, "sig").join(of_class, "cls").select(F.col("sig").alias("grp"), "doc_id", "n"), "rest")
+    open_ = members.join(where, "cls").groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("sets"))
+    together = met.join(open_.where("low <> high and sets > 2").select("sig"), "sig", "left_semi").select("lead", "cls").distinct()
+    together = materialise(together, "open")
+    drop_materialised(met)
+    drop_materialised(pairs)
+    if not together.isEmpty():
+        both = together.unionByName(together.select("lead", F.col("lead").alias("cls")).distinct())
+        rest = materialise(both.join(of_class, "cls").select(F.col("lead").alias("grp"), "doc_id", "n"), "rest")
         more = verified(usable, blocks(rest, percent), shingle, percent)
         parts = materialise(connected_components(ties.unionByName(more)).select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "parts")
+        drop_materialised(more)
+        drop_materialised(rest)
+    drop_materialised(ties)
+    drop_materialised(together)
 
     named = classes.join(parts, "doc_id", "left").select("h1", "h2", "rows", F.coalesce("part", "doc_id").alias("part"))
     limit = max(HUB_LEAST, total["rows"] // HUB_SHARE)
@@ -408,7 +416,8 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP2_SQL = rf"""
-with recursive w as (select doc_id, list_filter(string_split_regex({_FOLDED}, '[ 	-]+'), lambda x: x <> '') as w from documents),
+with recursive w as (select doc_id, list_filter(string_split_regex({_FOLDED}, '[ 	-
+]+'), lambda x: x <> '') as w from documents),
 s as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
 e as materialized (select doc_id, len(s) as n, unnest(s) as e from s),
 p as materialized (select a.doc_id as a, b.doc_id as b from e a join e b on a.e = b.e and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
