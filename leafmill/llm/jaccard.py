@@ -372,7 +372,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # each class of a bucket against the first one; what a lead with very many partners compares is split
     pairs = materialise(met.select("cls", "lead").distinct(), "pairs")
     partners = pairs.groupBy("lead").count()
-    most = max(BLOCK_SETS, pairs.count() // HUB_SHARE)
+    most = max(BLOCK_SETS // 4, pairs.count() // HUB_SHARE)
     split = F.broadcast(partners.where(F.col("count") > most).select("lead", F.ceil(F.col("count") / most).alias("chunks")))  # HUB_SHARE rows at most
     dealt = pairs.join(split, "lead", "left").withColumn("key", F.concat_ws("/", "lead", F.pmod(F.xxhash64("cls"), F.coalesce("chunks", F.lit(1)))))
     asked = dealt.select("cls", "key", F.lit(1).alias("role")).unionByName(dealt.select(F.col("lead").alias("cls"), "key", F.lit(0).alias("role")).distinct())
