@@ -2,12 +2,14 @@
 
 Texts are sequences of units (bytes, or words). Each window of `length` units keeps the least hash of its grams
 (winnowing); a run is a stretch of windows that keep the same one. Equal windows keep equal hashes, so they meet in the
-group of that hash, and only there; a hash that one run has is dropped after one shuffle of narrow rows. Within a
-group, runs with the same text as an earlier one repeat it as a whole. The distinct texts of groups with several go to
-an index (see substring.py and suffix_family.py), which decides window by window.
+group of that hash, and only there; a hash that one run has is dropped after one shuffle of narrow rows. A group's
+distinct texts make part of a shard's index (see substring.py and suffix_family.py), which tells for each window where
+it stands first; runs with the text of an earlier run name that text to the index instead of bringing it again.
 
+Copies are thinned out before they are shuffled: of the runs of one batch with one text, all but the first few repeat
+one of them, and are dealt out at random. Of those that reach a group, the index is asked for the first CHECKED of each text.
 A group with more than HOT_RUNS distinct texts, such as what surrounds a very common line, is not gathered: its runs are
-taken apart into single windows, which are dealt out by their own hash.
+taken apart into single windows, which are dealt out by their own content, the least one of each batch for all equal ones.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ CHUNK = 1 << 18
 #: A longer run, as in a text that repeats one unit, is cut into runs of so many windows.
 LONGEST_RUN = 4096
 HOT_RUNS = 2000
-#: Bytes of distinct texts that are indexed at once.
-INDEX_BYTES = 3 << 20
+#: Of the runs with one text: how many of one batch are dealt to its group, and for how many of these the index is asked.
+DEALT, CHECKED = 8, 100
+#: Bytes of distinct texts, and rows of 64 bytes that name one, that are indexed and looked up at once.
+INDEX_BYTES, ROW_BYTES = 2 << 20, 64
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
@@ -172,25 +176,39 @@ def runs(texts: list[bytes], units, length: int, gram: int, within: bool) -> tup
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-_CLASSIFIED = "doc_id long, pos long, windows long, hash long, kind int"
-REPEAT, INDEXED, HOT = 0, 1, 2
+def thinned(hash_: np.ndarray, whole: np.ndarray, doc: np.ndarray, pos: np.ndarray, same_document: bool) -> np.ndarray:
+    """Which runs of a batch repeat an earlier run of it and need not be dealt to their group."""
+    order = np.lexsort((pos, doc, whole, hash_))
+    h, w, d = hash_[order], whole[order], doc[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    out = np.zeros(len(order), bool)
+    out[order] = (np.arange(len(order)) - first >= DEALT) & (same_document | (d != d[first])) & ((d != d[first]) | (pos[order] != pos[order][first]))
+    return out
+
+
+_CLASSIFIED = "doc_id long, pos long, windows long, hash long, whole long, kind int"
+REPEAT, INDEXED, HOT, NAMED = 0, 1, 2, 3
 
 
 def classify(batches: Iterator[pa.RecordBatch], same_document: bool, hot_runs: int = HOT_RUNS) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (hash, text hash, doc_id, pos): REPEAT for a run whose text came before; INDEXED, or HOT, for the
-    others in groups of two or more distinct texts, and for those that can repeat windows of their own. same_document: whether a run can repeat one of its own document.
-    Holds hot_runs rows at most besides a batch, or those of one document."""
-    pending: list[np.ndarray] = []  # of the group that is open: rows that wait for a second text
-    distinct, hot, last, lead = 0, False, None, 0
+    """Of rows (hash, whole, doc_id, pos, windows, deal) sorted by (deal, whole, doc_id, pos), with deal = hash but for rows known to repeat:
+    INDEXED, or HOT, for the first run of each text in groups of two or more runs, and for those that can repeat windows of their own;
+    NAMED for runs whose text came before, which the index is asked about; REPEAT for those it isn't. same_document: whether a run can
+    repeat one of its own document. Holds hot_runs rows at most besides a batch, or those of one document."""
+    pending: list[np.ndarray] = []  # of the group that is open: rows that wait for a second run
+    distinct, again, hot, last, lead, nth = 0, False, False, None, 0, 0
 
     def told(rows: np.ndarray, kind: int | np.ndarray) -> pa.RecordBatch:
         kind = pa.array(np.broadcast_to(np.asarray(kind, np.int32), len(rows)))
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(np.abs(rows[:, 4])), pa.array(rows[:, 0]), kind], ["doc_id", "pos", "windows", "hash", "kind"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(np.abs(rows[:, 4])), pa.array(rows[:, 0]), pa.array(rows[:, 1]), kind], ["doc_id", "pos", "windows", "hash", "whole", "kind"])
 
-    def feed(rows: np.ndarray, texts: int) -> Iterator[pa.RecordBatch]:
+    def feed(rows: np.ndarray, texts: int, repeats: bool) -> Iterator[pa.RecordBatch]:
         """Rows of the open group."""
-        nonlocal distinct, hot, pending
+        nonlocal distinct, again, hot, pending
         distinct += texts
+        again |= repeats
         if hot:
             yield told(rows, HOT)
             return
@@ -200,115 +218,159 @@ def classify(batches: Iterator[pa.RecordBatch], same_document: bool, hot_runs: i
             pending, hot = [], True
 
     def close() -> Iterator[pa.RecordBatch]:
-        nonlocal distinct, hot, pending
+        nonlocal distinct, again, hot, pending
         if pending:
             rows = np.concatenate(pending)
-            yield told(rows if distinct > 1 else rows[rows[:, 4] < 0], INDEXED)
-        pending, distinct, hot = [], 0, False
+            yield told(rows if distinct > 1 or again else rows[rows[:, 4] < 0], INDEXED)
+        pending, distinct, again, hot = [], 0, False, False
 
     for b in batches:
-        if not b.num_rows:
+        rows = np.stack([b.column(k).to_numpy() for k in range(6)], 1) if b.num_rows else np.zeros((0, 6), np.int64)
+        known = rows[:, 5] != rows[:, 0]
+        if known.any():
+            yield told(rows[known], REPEAT)
+            rows = rows[~known]
+        if not len(rows):
             continue
-        rows = np.stack([b.column(k).to_numpy() for k in range(5)], 1)
         before = np.vstack([rows[:1] ^ 1 if last is None else last, rows[:-1]])
         new_group = rows[:, 0] != before[:, 0]
         new_text = new_group | (rows[:, 1] != before[:, 1])
         twice = ~new_text & (rows[:, 2] == before[:, 2]) & (rows[:, 3] == before[:, 3])
-        index = np.maximum.accumulate(np.where(new_text, np.arange(len(rows)), -1))
+        at = np.arange(len(rows))
+        index = np.maximum.accumulate(np.where(new_text, at, -1))
         first_doc = np.where(index >= 0, rows[index, 2], lead)
+        rank = np.where(index >= 0, at - index, at + nth)
         repeat = ~new_text & ~twice & (same_document | (rows[:, 2] != first_doc))
         if repeat.any():
-            yield told(rows[repeat], REPEAT)
+            yield told(rows[repeat], np.where(rank[repeat] <= CHECKED, NAMED, REPEAT))
         wanted = ~repeat & ~twice
         starts = np.flatnonzero(new_group)
         head = starts[0] if starts.size else len(rows)
         if head:
-            yield from feed(rows[:head][wanted[:head]], int(new_text[:head].sum()))
+            yield from feed(rows[:head][wanted[:head]], int(new_text[:head].sum()), bool(repeat[:head].any()))
         if starts.size:
             yield from close()
             if starts.size > 1:  # groups that lie within this batch
                 lo, hi = starts[0], starts[-1]
-                at = starts[:-1] - lo
+                bounds = starts[:-1] - lo
                 size = np.diff(starts)
-                texts = np.repeat(np.add.reduceat(new_text[lo:hi].astype(np.int64), at), size)
-                many = np.repeat(np.add.reduceat(wanted[lo:hi].astype(np.int64), at), size)
-                pick = wanted[lo:hi] & ((texts > 1) | (rows[lo:hi, 4] < 0))
+                count = lambda x: np.repeat(np.add.reduceat(x[lo:hi].astype(np.int64), bounds), size)  # noqa: B023, E731
+                texts, many, repeats = count(new_text), count(wanted), count(repeat)
+                pick = wanted[lo:hi] & ((texts > 1) | (repeats > 0) | (rows[lo:hi, 4] < 0))
                 if pick.any():
-                    yield told(rows[lo:hi][pick], np.where(many[pick] > hot_runs, HOT, INDEXED))
+                    yield told(rows[lo:hi][pick], np.where((many[pick] > hot_runs) & (texts[pick] > 1), HOT, INDEXED))
             tail = starts[-1]
-            yield from feed(rows[tail:][wanted[tail:]], int(new_text[tail:].sum()))
-        last, lead = rows[-1:], int(first_doc[-1])
+            yield from feed(rows[tail:][wanted[tail:]], int(new_text[tail:].sum()), bool(repeat[tail:].any()))
+        last, lead, nth = rows[-1:], int(first_doc[-1]), int(rank[-1]) + 1
     yield from close()
 
 
-#: Flags each window of the runs [(doc_id, text)] that repeats an earlier one; see substring.py and suffix_family.py.
-Search = Callable[[np.ndarray, np.ndarray, list[bytes]], list[np.ndarray]]
+#: Of texts in the order of (doc_id, start), all that can share a window at once: for each window the document and the start of its
+#: first occurrence; see substring.py and suffix_family.py.
+Search = Callable[[np.ndarray, np.ndarray, list[bytes]], list[tuple[np.ndarray, np.ndarray]]]
 
+_PIECES = "route long, whole long, doc_id long, pos long, windows long, t binary"
 
-def repeated_spans(docs: DataFrame, units, length: int, gram: int, search: Search, same_document: bool, id_col: str, text_col: str, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """doc_id, spans array<struct<s long, e long>>: what windows that repeat an earlier one cover, in units, not merged.
 
-    search(doc_ids, starts, texts) gets runs in the order of doc_id and start, all that can share a window at once, and
-    gives for each a boolean array of its windows.
-    """
+def repeated_spans(docs: DataFrame, units, length: int, gram: int, search: Search, same_document: bool, id_col: str, text_col: str, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """doc_id, spans array<struct<s long, e long>>: what windows that repeat an earlier one cover, in units, not merged."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null and text is not null")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, parts = b.column(0).to_numpy(), []
             for base, part in column_chunks(b.column(1)):
                 doc, pos, many, kept, whole = runs(part, units, length, gram, same_document)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kept.view(np.int64), whole.view(np.int64), ids[base + doc], pos, many)], ["hash", "whole", "doc_id", "pos", "windows"])
-
-    found = texts.mapInArrow(find, "hash long, whole long, doc_id long, pos long, windows long")
-    told = found.repartition("hash").sortWithinPartitions("hash", "whole", "doc_id", "pos").mapInArrow(lambda b: classify(b, same_document, hot_runs), _CLASSIFIED)
+                parts.append((kept.view(np.int64), whole.view(np.int64), ids[base + doc], pos, many))
+            if not parts:
+                continue
+            kept, whole, doc, pos, many = (np.concatenate(c) for c in zip(*parts, strict=True))
+            known = thinned(kept, whole, doc, pos, same_document)
+            deal = np.where(known, kept ^ (1 + (doc * 31 + pos) % 4093), kept)
+            for lo in range(0, max(1, len(kept)), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (kept, whole, doc, pos, many, deal)], ["hash", "whole", "doc_id", "pos", "windows", "deal"])
+
+    found = texts.mapInArrow(find, "hash long, whole long, doc_id long, pos long, windows long, deal long")
+    told = found.repartition("deal").sortWithinPartitions("deal", "whole", "doc_id", "pos").mapInArrow(lambda b: classify(b, same_document, hot_runs), _CLASSIFIED)
     told = materialise(told, "runs")
     span = F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("windows") + (length - 1)).alias("e"))
     repeats = told.where(F.col("kind") == REPEAT).select("doc_id", span.alias("x"))
-    wanted = told.where(F.col("kind") != REPEAT).groupBy("doc_id").agg(F.collect_list(F.struct("hash", "pos", "windows", "kind")).alias("runs"))
+    named = told.where(F.col("kind") == NAMED).select(F.col("hash").alias("route"), "whole", "doc_id", "pos", "windows", F.lit(None).cast("binary").alias("t"))
+    wanted = told.where(F.col("kind").isin(INDEXED, HOT)).groupBy("doc_id").agg(F.collect_list(F.struct("hash", "whole", "pos", "windows", "kind")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["route", "doc_id", "pos", "t"]
+        """The texts of runs, by hash; of hot ones their windows, by content. A row without text and with route 0 stands for windows that repeat one of the same batch."""
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for i, text, wants in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                buf, _, at, _ = units.split([text])
-                seen = set()
-                for r in wants:
-                    whole = [(r["pos"], r["pos"] + r["windows"] - 1 + length)] if r["kind"] == INDEXED else [(p, p + length) for p in range(r["pos"], r["pos"] + r["windows"])]
-                    for lo, hi in whole:
-                        t = buf[at[lo] : at[hi] - units.gap()]
-                        if (lo, hi) not in seen:
-                            seen.add((lo, hi))
-                            for col, v in zip(out, (r["hash"] if r["kind"] == INDEXED else xxhash.xxh3_64_intdigest(t) - 2**63, i, lo, t), strict=True):
-                                col.append(v)
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names)
-                    out = [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names)
-
-    pieces = texts.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, "route long, doc_id long, pos long, t binary")
+            out: list[tuple] = []
+            least: dict[bytes, tuple[int, int]] = {}
+            windows: list[tuple[int, int, bytes]] = []
+
+            def flush() -> pa.RecordBatch:
+                cols = list(zip(*out, strict=True)) or [()] * 6  # noqa: B023
+                out.clear()  # noqa: B023
+                return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:5]), pa.array(cols[5], pa.binary())], ["route", "whole", "doc_id", "pos", "windows", "t"])
+
+            for base, part in column_chunks(b.column(1)):
+                for i, text, wants in zip(b.column(0).slice(base, len(part)).to_pylist(), part, b.column(2).slice(base, len(part)).to_pylist(), strict=True):
+                    buf, _, at, _ = units.split([text])
+                    seen = set()
+                    for r in wants:
+                        lo, hi = r["pos"], r["pos"] + r["windows"] - 1 + length
+                        if (lo, hi) in seen:
+                            continue
+                        seen.add((lo, hi))
+                        if r["kind"] == INDEXED:
+                            out.append((r["hash"], r["whole"], i, lo, r["windows"], buf[at[lo] : at[hi] - units.gap()]))
+                        else:
+                            for p in range(lo, hi - length + 1):
+                                t = buf[at[p] : at[p + length] - units.gap()]
+                                windows.append((i, p, t))
+                                if t not in least or (i, p) < least[t]:
+                                    least[t] = (i, p)
+                    if len(out) > 5_000:
+                        yield flush()
+            for i, p, t in windows:
+                if (i, p) == least[t] or (not same_document and i == least[t][0]):
+                    digest = xxhash.xxh3_64_intdigest(t) - 2**63
+                    out.append((digest, digest, i, p, 1, t))
+                else:
+                    out.append((0, 0, i, p, 1, None))
+                if len(out) > 20_000:
+                    yield flush()
+            yield flush()
+
+    pieces = texts.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(cut, _PIECES)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of whole routes, as many as INDEX_BYTES allow at once."""
+        """Rows of whole routes, as many as INDEX_BYTES allow at once."""
         held: list[pa.Table] = []
         size = 0
 
         def go(part: pa.Table) -> pa.RecordBatch:
             part = part.sort_by([("doc_id", "ascending"), ("pos", "ascending")])
-            route, doc, pos, t = part["route"].to_numpy(), part["doc_id"].to_numpy(), part["pos"].to_numpy(), part["t"].to_pylist()
-            seen, once = set(), []  # a row that repeats an id and its text is cut again: its pieces are the same ones
-            for i, piece in enumerate(zip(route.tolist(), doc.tolist(), pos.tolist(), t, strict=True)):
+            route, whole, doc, pos, many = (part[c].to_numpy() for c in ("route", "whole", "doc_id", "pos", "windows"))
+            texts, once, seen = part["t"].to_pylist(), [], set()  # a row that repeats an id and its text is cut again: its pieces are the same ones
+            for i, t in enumerate(texts):
                 if not i or doc[i] != doc[i - 1] or pos[i] != pos[i - 1]:
                     seen.clear()
-                if piece not in seen:
-                    seen.add(piece)
+                if t is not None and (route[i], t) not in seen:
+                    seen.add((route[i], t))
                     once.append(i)
-            doc, pos, t = doc[once], pos[once], [t[i] for i in once]
-            flags = search(doc, pos, t)
+            earliest = search(doc[once], pos[once], [texts[i] for i in once]) if once else []
+            number = {}
+            for k, i in enumerate(once):
+                number.setdefault((route[i], whole[i]), k)
+            asked = [(i, k) for k, i in enumerate(once)] + [(i, number.get((route[i], whole[i]))) for i, t in enumerate(texts) if t is None]
             d, s, e = [], [], []
-            for i, f in enumerate(flags):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], f.view(np.int8), [0]])))
+            for i, k in asked:
+                if k is None:  # its text repeats another one of its batch, or its group is hot and was taken apart
+                    flags = np.ones(many[i], bool)
+                else:
+                    first_doc, first_start = earliest[k]
+                    flags = first_doc < doc[i]
+                    if same_document:
+                        flags |= (first_doc == doc[i]) & (first_start < pos[i] + np.arange(len(first_start)))
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
                 for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                     d.append(doc[i])
                     s.append(pos[i] + lo)
@@ -317,19 +379,23 @@ def repeated_spans(docs: DataFrame, units, length: int, gram: int, search: Searc
 
         for b in batches:
             held.append(pa.Table.from_batches([b]))
-            size += b.column(3).nbytes
+            size += b.column(5).nbytes + ROW_BYTES * b.num_rows
             if size > INDEX_BYTES:
                 whole = pa.concat_tables(held)
                 route = whole["route"].to_numpy()
                 done = int(np.flatnonzero(route != route[-1])[-1] + 1) if (route != route[-1]).any() else 0
                 if done:
                     yield go(whole.slice(0, done))
-                held = [whole.slice(done)]
-                size = sum(c.nbytes for c in held[0]["t"].chunks)
+                elif route[-1] == 0:  # no index is needed for these
+                    yield go(whole)
+                    done = len(whole)
+                held = [whole.slice(done).combine_chunks()]
+                size = held[0]["t"].nbytes + ROW_BYTES * len(held[0])
         if held:
             yield go(pa.concat_tables(held))
 
-    searched = pieces.repartition("route").sortWithinPartitions("route").mapInArrow(look, "doc_id long, s long, e long").select("doc_id", F.struct("s", "e").alias("x"))
+    dealt = pieces.unionByName(named).withColumn("deal", F.when(F.col("route") == 0, F.xxhash64("doc_id", "pos")).otherwise(F.col("route")))
+    searched = dealt.repartition("deal").drop("deal").sortWithinPartitions("route").mapInArrow(look, "doc_id long, s long, e long").select("doc_id", F.struct("s", "e").alias("x"))
     return repeats.unionByName(searched).groupBy("doc_id").agg(F.collect_list("x").alias("spans"))
 
 

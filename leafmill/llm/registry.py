@@ -21,4 +21,11 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_decontamination": decontaminate.OP1_SQL, "op2_ngram_jaccard_join": jaccard.OP2_SQL, "op3_embedding_near_dedup": embeddings.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {
+        "op1_decontamination": decontaminate.OP1_SQL,
+        "op2_ngram_jaccard_join": jaccard.OP2_SQL,
+        "op3_embedding_near_dedup": embeddings.OP3_SQL,
+        "op4_substring_dedup": substring.OP4_SQL,
+        "op6_mixing": mixing.OP6_SQL,
+        "op9_suffix_array_dedup": suffix_family.OP9_SQL,
+    }

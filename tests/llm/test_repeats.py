@@ -66,40 +66,63 @@ def test_a_repeated_row_is_the_first_occurrence(spark, hot_runs):
 
 
 @pytest.mark.parametrize("most", [1, 3, 10**6])
-def test_classify_does_not_depend_on_batches(most):
+@pytest.mark.parametrize("checked", [1, 100])
+def test_classify_does_not_depend_on_batches(most, checked, monkeypatch):
+    monkeypatch.setattr(passages, "CHECKED", checked)
     rng = np.random.default_rng(1)
-    rows = sorted({(int(h), int(w), int(d), int(p), int(n)) for h, w, d, p, n in zip(rng.integers(0, 40, 400), rng.integers(0, 4, 400), rng.integers(0, 9, 400), rng.integers(0, 5, 400), rng.choice([-2, 2], 400), strict=True)})
+    rows = sorted({(int(h), int(w), int(d), int(p), int(n), int(h)) for h, w, d, p, n in zip(rng.integers(0, 40, 400), rng.integers(0, 4, 400), rng.integers(0, 9, 400), rng.integers(0, 5, 400), rng.choice([-2, 2], 400), strict=True)})
     rows = sorted(rows + rows[::7])
+    aside = [(1, 2, 3, 4, 5, 600), (1, 2, 3, 5, 5, 601)]  # known to repeat before they were dealt
 
     def run(size, same):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], list("abcde")) for i in range(0, len(rows), size)]
+        every = rows + aside
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*every[i : i + size], strict=True)], list("abcdef")) for i in range(0, len(every), size)]
         return sorted(t for b in passages.classify(iter(batches), same, most) for t in zip(*(c.to_pylist() for c in b.columns), strict=True))
 
     for same in (True, False):
         assert run(1, same) == run(7, same) == run(10_000, same)
         groups = {}
-        for h, w, d, p, n in sorted(set(rows)):
+        for h, w, d, p, n, _ in rows:
             groups.setdefault(h, {}).setdefault(w, []).append((d, p, n))
-        want = []
+        want = [(3, 4, 5, 1, 2, passages.REPEAT), (3, 5, 5, 1, 2, passages.REPEAT)]
         for h, texts in groups.items():
-            kept = []
-            for occ in texts.values():
-                lead = occ[0][0]
+            kept, repeats = [], 0
+            for w, occ in texts.items():
                 for k, (d, p, n) in enumerate(occ):
-                    twice = k > 0 and occ[k - 1][:2] == (d, p)
-                    if twice:
+                    if k and occ[k - 1][:2] == (d, p):
                         continue
-                    if k and (same or d != lead):
-                        want.append((d, p, 2, h, passages.REPEAT))
+                    if k and (same or d != occ[0][0]):
+                        repeats += 1
+                        want.append((d, p, 2, h, w, passages.NAMED if k <= checked else passages.REPEAT))
                     else:
-                        kept.append((d, p, n))
-            if len(texts) == 1:
+                        kept.append((d, p, n, w))
+            if len(texts) == 1 and not repeats:
                 kept = [x for x in kept if x[2] < 0]
             kind = passages.HOT if len(texts) > 1 and len(kept) > most else passages.INDEXED
-            want += [(d, p, 2, h, kind) for d, p, _ in kept]
+            want += [(d, p, 2, h, w, kind) for d, p, _, w in kept]
         assert run(50, same) == sorted(want)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_copies_of_a_batch_are_thinned_out(same):
+    rng = np.random.default_rng(8)
+    h, w, d, p = (rng.integers(0, k, 600) for k in (3, 3, 12, 6))
+    known = passages.thinned(h, w, d, p, same)
+    assert known.any()
+    for i in np.flatnonzero(known):
+        earlier = [(d[j], p[j]) for j in range(600) if not known[j] and h[j] == h[i] and w[j] == w[i]]
+        assert len(earlier) >= passages.DEALT and (min(earlier) < (d[i], p[i]) if same else min(earlier)[0] < d[i])
+
+
+def test_many_copies(spark, monkeypatch):
+    """Copies beyond what is dealt, and beyond what the index is asked for."""
+    p = prose(90, 120)
+    docs = [(i, f"{p} {prose(600 + i, 30) if i % 3 else p[40:600]}") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert words(substring.remove_repeats(df)) == brute.substring_words(docs)
+    assert bytes_(suffix_family.remove_repeats(df)) == brute.substring_bytes(docs)
+
+
 def test_hot_groups_are_searched_window_by_window(spark):
     """The same result when every group counts as hot."""
     p = prose(70, 90)
@@ -119,28 +142,59 @@ def test_wavelet_matrix_ranks():
         assert got.tolist() == [int((seq[:k] == c).sum()) for k in at]
 
 
-def test_fm_index_finds_the_earliest_document():
+@pytest.mark.parametrize(("symbols", "depth"), [(4, 5), (2, 8), (40, 3), (300, 2)])
+def test_fm_index_gives_matching_statistics_of_any_sequence(symbols, depth):
     rng = np.random.default_rng(4)
-    seqs = [rng.integers(1, 4, int(n)) for n in rng.integers(0, 40, 60)]
+    seqs = [rng.integers(1, symbols, int(n)) for n in rng.integers(0, 40, 60)]
     docs = np.sort(rng.integers(0, 20, 60))
-    index = substring.FMIndex(seqs, docs, 5)
-    probe = [*seqs, rng.integers(1, 4, 50)]
-    for s, got in zip(probe, index.earliest(probe), strict=True):
-        for i in range(len(s) - 4):
-            want = [d for t, d in zip(seqs, docs, strict=True) if any((t[j : j + 5] == s[i : i + 5]).all() for j in range(len(t) - 4))]
-            assert got[i] == (min(want) if want else np.iinfo(np.int64).max)
-
-
-def test_index_family_levels():
-    f = suffix_family.IndexFamily(4)
-    seen = set()
+    index = substring.FMIndex(seqs, docs, depth)
+    probe = [*seqs, rng.integers(1, symbols, 50), rng.integers(1, symbols + 9, 80), np.zeros(0, np.int64)]
+    where = {}
+    for s, d in zip(seqs, docs, strict=True):
+        for i in range(len(s)):
+            for k in range(1, min(depth, len(s) - i) + 1):
+                where.setdefault(tuple(s[i : i + k].tolist()), d)
+    for s, length, least in zip(probe, *index.matches(probe), strict=True):
+        for i in range(len(s)):
+            known = [k for k in range(1, min(depth, len(s) - i) + 1) if tuple(s[i : i + k].tolist()) in where]
+            assert length[i] == max(known, default=0)
+            assert least[i] == (where[tuple(s[i : i + depth].tolist())] if depth in known else np.iinfo(np.int64).max)
+
+
+def test_fm_index_shortens_a_lost_match():
+    index = substring.FMIndex([np.arange(1, 51)], np.array([7]), 50)
+    assert index.earliest([np.append(np.arange(1, 51), 30)])[0].tolist() == [7, np.iinfo(np.int64).max]
+    assert index.matches([np.array([99, 1, 2, 200])])[0][0].tolist() == [0, 2, 1, 0]
+
+
+@pytest.mark.parametrize("length", [3, 4, 8, 9, 16, 20])
+def test_index_family_finds_the_first_position(length):
     rng = np.random.default_rng(6)
-    for _ in range(9):
-        batch = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers(0, 15, 6)]
-        want = []
+    f, seen = suffix_family.IndexFamily(length), {}
+    for _ in range(12):
+        batch = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers(0, 60, 6)] + [b"ab" * 30]
+        want, base = [], f.used
         for t in batch:
-            for i in range(len(t) - 3):
-                want.append(t[i : i + 4] in seen)
-                seen.add(t[i : i + 4])
+            want += [seen.setdefault(t[i : i + length], base + i) for i in range(len(t) - length + 1)]
+            base += len(t)
         assert f.add(batch).tolist() == want
-    assert sum(map(len, f.levels.values())) == len(seen)
+        sizes = [len(x[0]).bit_length() for x in f.levels]
+        assert len(set(sizes)) == len(sizes)  # levels of about equal size were merged
+        for positions, _ in f.levels:
+            windows = [bytes(f.buffer[p : p + length]) for p in positions]
+            assert windows == sorted(set(windows))
+    assert sum(len(x[0]) for x in f.levels) == len(seen)
+
+
+def test_index_family_memory():
+    """3 MB of text need less than 100 MB beyond it."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 123, 3 << 20).astype(np.uint8).tobytes()
+    texts = [data[i : i + 137] for i in range(0, len(data) - 137, 137)]
+    tracemalloc.start()
+    suffix_family.search(100)(np.arange(len(texts)), np.zeros(len(texts), np.int64), texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
