@@ -4,12 +4,14 @@ Every language has a binary codeword. For each bit a logistic model on hashed by
 tells on which side the text falls; the codeword with the least logistic loss against the margins wins, weighted by the
 margins' size. A text whose two nearest codewords are close is flagged as ambiguous.
 
-The models are fitted on a bounded sample of labelled rows: PER_LANGUAGE rows of each language in the mean, chosen by
-a hash of the id. Scoring reads whole texts.
+The models are fitted on a bounded sample of labelled rows: PER_LANGUAGE rows of each language in the mean, and SAMPLE_ROWS
+of all, chosen by a hash of the id. Their features are made on the executors; the driver gets at most 4 * FEATURES bytes a
+row, whatever the texts' lengths. Scoring reads whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with no labelled row at all every text is
 `und`; with one language every other text gets it; repeated rows get the same answer; an empty table gives an empty
-result; columns besides id, text and (for fitting) language are left out.
+result; columns besides id, text and (for fitting) language are left out; identify() takes all others along, but for
+those named _lang_..., which it replaces.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from leafmill.llm.common import table
 from leafmill.llm.passages import column_chunks
 
 UNDETERMINED = "und"
-PER_LANGUAGE = 800
+#: Sampled rows of each language in the mean, and of all languages together.
+PER_LANGUAGE, SAMPLE_ROWS = 800, 6000
 FEATURES = 1 << 13
 AMBIGUOUS_GAP = 0.15
 #: Bytes of text that are taken out of a batch at once.
@@ -38,7 +41,8 @@ _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 e
 
 
 def lettered(text: bytes | None) -> bool:
-    return text is not None and _LETTER.search(text.decode("utf-8", "replace")) is not None
+    """Whether a character of Unicode's letter categories stands in the text; numerals such as ½ are none."""
+    return text is not None and any(m[0].isalpha() for m in _LETTER.finditer(text.decode("utf-8", "replace")))
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -93,7 +97,7 @@ class Model:
         return langs, score, vague
 
 
-def fit_codes(texts: list[bytes], langs: list[str], steps: int = 150, l2: float = 1e-5) -> Model:
+def fit_codes(x: np.ndarray, langs: list[str], steps: int = 150, l2: float = 1e-5) -> Model:
     """One logistic model for each bit, by accelerated gradient steps; languages weigh the same."""
     names = sorted(set(langs))
     code = codewords(len(names))
@@ -101,7 +105,7 @@ def fit_codes(texts: list[bytes], langs: list[str], steps: int = 150, l2: float
     if not names:
         return Model(names, code, weights)
     y = np.array([names.index(x) for x in langs])
-    x, target = features(texts), code[y].astype(np.float32)
+    target = code[y].astype(np.float32)
     share = (1.0 / np.bincount(y)[y] / len(names)).astype(np.float32)[:, None]
     ahead, rate, last = weights.copy(), np.float32(6.0), weights
     for k in range(steps):
@@ -122,18 +126,32 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     """
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = labelled.groupBy(F.col(lang_col).alias("k")).count().collect()
+    per_language = min(per_language, SAMPLE_ROWS // max(1, len(sizes)))
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col(lang_col) == r["k"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
     u = F.shiftrightunsigned(F.xxhash64(F.lit("lang-sample"), F.col(id_col)), 11).cast("double") * (2.0**-53)
-    rows = labelled.where(u < share).select(F.col(text_col).cast("binary").alias("t"), F.col(lang_col).alias("k"), F.xxhash64(id_col).alias("h")).collect()
-    rows.sort(key=lambda r: (r["h"], r["k"]))
-    return fit_codes([bytes(r["t"]) for r in rows], [r["k"] for r in rows])
+    picked = labelled.where(u < share).select(F.col(text_col).cast("binary").alias("t"), F.col(lang_col).alias("k"), F.xxhash64(id_col).alias("h"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in column_chunks(b.column(0), TEXT_BYTES):
+                for lo in range(0, len(texts), 256):
+                    x = features(texts[lo : lo + 256])
+                    cells = [np.flatnonzero(row).astype(np.uint16) for row in x]
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at + lo, len(x)) for k in (1, 2)), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array([row[c].astype(np.float16).tobytes() for row, c in zip(x, cells, strict=True)], pa.binary())], ["k", "h", "at", "v"])
+
+    rows = picked.mapInArrow(measure, "k string, h long, at binary, v binary").collect()
+    rows.sort(key=lambda r: (r["h"], r["k"], r["at"], r["v"]))
+    x = np.zeros((len(rows), FEATURES), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["v"], np.float16)
+    return fit_codes(x, [r["k"] for r in rows])
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns keep (all by default) with _lang_pred, _lang_score, _lang_ambiguous and _lang_lettered (whether the text has a letter)."""
-    keep = list(df.columns) if keep is None else keep
+    keep = [c for c in df.columns if not c.startswith("_lang_")] if keep is None else keep
     plain = df.select(*keep, F.col(text_col).cast("binary").alias("_lang_text"))
     schema = plain.drop("_lang_text").withColumns({"_lang_pred": F.lit(""), "_lang_score": F.lit(0.0), "_lang_ambiguous": F.lit(True), "_lang_lettered": F.lit(True)}).schema
 
