@@ -40,7 +40,8 @@ SECOND_PERSON = frozenset(
     "you your yours yourself u ur ya thou tu te toi ton ta tes vous votre vos tú ti tuyo tuya usted ustedes vosotros os du dich dir dein deine deiner deinen ihr euch euer eure sie ihnen".split()
 )
 _WORD = re.compile(r"[^\W_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$*!|+._-]+[^\W\d_]+)+")
+#: From the start of a run of letters on and without giving back, so that the time is linear in the text.
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$*!|+._-]++[^\W\d_]++)+")
 _SPACED = re.compile(r"\b(?:[^\W\d_][ .*_-]){3,}[^\W\d_]\b")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"} | dict.fromkeys("*._- ", None))

@@ -73,6 +73,36 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_features_are_linear_in_the_text():
+    import time
+
+    lex = toxicity.Lexicon({"idiot": 5.0})
+    for text in ("x" * (1 << 20), "a1" * (1 << 19), "a_" * (1 << 19), "a." * (1 << 19), "1" * (1 << 20), "ab." * (1 << 18) + "..."):
+        start = time.perf_counter()
+        lex.features(text)
+        assert time.perf_counter() - start < 5, text[:4]
+
+
+def test_toxicity_query(spark, sf):
+    """The registered query: whole table, scores that tell held-out toxic documents apart."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    out = registry.queries()["op10_toxicity"](spark, sf)
+    x = out.join(labels, "doc_id", "left").toPandas()
+    assert len(x) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert x.score.between(0, 1).all() and (x.predicted == (x.score >= 0.5)).all()
+    bad, good = x[x.toxic == 1].score.to_numpy(), x[x.toxic == 0].score.to_numpy()
+    assert (bad[:, None] > good[None]).mean() + 0.5 * (bad[:, None] == good[None]).mean() > 0.8  # few labels to learn from
+
+
+def test_numerals_are_no_letters(spark):
+    model = language.fit(spark.createDataFrame([(i, "the words of one" if i % 2 else "les mots d'une", "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([(1, "½ ²", "x"), (2, "① 12", "x"), (3, "é", "x"), (4, "ª", "x")], "doc_id long, text string, _lang_pred string")
+    out = language.identify(df, model)
+    assert out.columns.count("_lang_pred") == 1
+    got = {r["doc_id"]: r["_lang_pred"] for r in out.collect()}
+    assert got[1] == got[2] == "und" and got[3] in ("en", "fr") and got[4] in ("en", "fr")
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(9)
     m = rng.normal(size=500)
