@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import connected_components, materialise, table
+from leafmill.llm.common import HUB_LEAST, HUB_SHARE, connected_components, materialise, table
 
 SAMPLE = 8000
 TILE = 4096
+#: Leaves of the tree at most; beyond that leaves hold several tiles. Splits, boxes and counts of leaves are all that the driver holds.
+LEAVES = 4096
 #: Rows of a tile that are compared at once.
 ROWS = 512
 LEAD = 16
@@ -75,14 +77,30 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def linked(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean matrix of pairs of unit vectors with cosine >= threshold; ra, rb are a, b on the principal axes."""
-    return np.concatenate([_linked_rows(a[k : k + ROWS], b, ra[k : k + ROWS], rb, threshold) for k in range(0, len(a), ROWS)])
+def vectors_of(x: np.ndarray, axes: np.ndarray) -> dict:
+    """Unit vectors x, the same on the principal axes r, and the given ones o, scaled by powers of two (which is exact), with norms n."""
+    unit = _unit(x)
+    given = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    return {"x": unit, "r": unit @ axes, "o": given, "n": np.linalg.norm(given, axis=1)}
 
 
-def _linked_rows(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float) -> np.ndarray:
+def linked(own: dict, other: dict, threshold: float) -> np.ndarray:
+    """Boolean matrix of pairs of vectors_of() with cosine >= threshold."""
+    return np.concatenate([_linked_rows({c: own[c][k : k + ROWS] for c in "xron"}, other, threshold) for k in range(0, len(own["x"]), ROWS)])
+
+
+def _linked_rows(own: dict, other: dict, threshold: float) -> np.ndarray:
+    a, b, ra, rb = own["x"], other["x"], own["r"], other["r"]
     d = a.shape[1]
 
+    def decided(i: np.ndarray, j: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Whether pairs reach the threshold; close ones from the given vectors."""
+        out = cosine >= threshold
+        near = np.flatnonzero(np.abs(cosine - threshold) < CLOSE)
+        p, q = i[near], j[near]
+        out[near] = np.einsum("ij,ij->i", own["o"][p], other["o"][q]) / (own["n"][p] * other["n"][q]) >= threshold
+        return out
+
     def rest(r: np.ndarray, k: int) -> np.ndarray:
         return np.sqrt((r[:, k:] ** 2).sum(1))
 
@@ -92,10 +110,9 @@ def _linked_rows(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, t
     count = np.count_nonzero(out)
     if count > 0.05 * out.size:
         exact = a @ b.T
-        near = np.argwhere(np.abs(exact - threshold) < CLOSE)
         out = exact >= threshold
-        for i, j in near:
-            out[i, j] = float(a[i] @ b[j]) >= threshold
+        i, j = np.nonzero(np.abs(exact - threshold) < CLOSE)
+        out[i, j] = decided(i, j, exact[i, j])
         return out
     i, j = np.nonzero(out)
     out[:] = False
@@ -105,7 +122,7 @@ def _linked_rows(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, t
         for lo in range(0, len(i), 50_000):
             p, q = i[lo : lo + 50_000], j[lo : lo + 50_000]
             if step == d:
-                ok = np.einsum("ij,ij->i", a[p], b[q]) >= threshold
+                ok = decided(p, q, np.einsum("ij,ij->i", a[p], b[q]))
             else:
                 ok = np.einsum("ij,ij->i", ra[p, :step], rb[q, :step]) + sa[p] * sb[q] >= threshold - CLOSE
             keep.append(ok)
@@ -123,7 +140,7 @@ def _least(links: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 def compare_tiles(own: dict, other: dict, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each class with a link: its id, the least id it is tied to within the two tiles, and how many vectors it links to."""
-    links = linked(own["x"], other["x"], own["r"], other["r"], threshold)
+    links = linked(own, other, threshold)
     if same:
         np.fill_diagonal(links, False)
     n_own, n_other = links @ other["w"], (np.zeros(len(other["w"]), np.int64) if same else links.T @ own["w"])
@@ -145,8 +162,8 @@ def compare_tiles(own: dict, other: dict, threshold: float, same: bool) -> tuple
 def _load(row: pd.Series, axes: np.ndarray, d: int) -> dict:
     n = len(row["ids"]) // 8
     kind = np.float32 if len(row["x"]) == 4 * n * d else np.float64
-    x = _unit(np.frombuffer(row["x"], kind).astype(np.float64).reshape(-1, d))
-    return {"id": np.frombuffer(row["ids"], np.int64), "w": np.frombuffer(row["w"], np.int64), "x": x, "r": x @ axes}
+    x = np.frombuffer(row["x"], kind).astype(np.float64).reshape(-1, d)
+    return {"id": np.frombuffer(row["ids"], np.int64), "w": np.frombuffer(row["w"], np.int64)} | vectors_of(x, axes)
 
 
 def _links_of_length(vectors: DataFrame, d: int, threshold: float) -> DataFrame:
@@ -155,7 +172,7 @@ def _links_of_length(vectors: DataFrame, d: int, threshold: float) -> DataFrame:
     total = vectors.count()
     sample = _unit(np.array([r["x"] for r in vectors.where(u < min(1.0, SAMPLE / max(1, total))).select("x").collect()] or [[1.0] * d]))
     axes = principal_axes(sample)
-    splits = build_tree(sample @ axes, math.ceil(total / TILE))
+    splits = build_tree(sample @ axes, min(LEAVES, math.ceil(total / TILE)))
 
     def deal(chunks: np.ndarray | None):
         """Leaf of each vector, and the chunk of the leaf by a hash; without chunks only the leaf."""
@@ -188,20 +205,22 @@ def _links_of_length(vectors: DataFrame, d: int, threshold: float) -> DataFrame:
             short = x.astype(np.float32)
         x = short if (short == x).all() else x  # half the bytes where nothing is lost
         seen = np.hstack([r[:, :LEAD], np.sqrt((r[:, LEAD:] ** 2).sum(1, keepdims=True))])
-        return pd.DataFrame({"ids": [pdf["class_id"].to_numpy(np.int64).tobytes()], "w": [pdf["weight"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "low": [seen.min(0)], "high": [seen.max(0)], "name": [f"{pdf['leaf'].iloc[0]}-{pdf['chunk'].iloc[0]}"]})
+        return pd.DataFrame({"ids": [pdf["class_id"].to_numpy(np.int64).tobytes()], "w": [pdf["weight"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "low": [seen.min(0)], "high": [seen.max(0)], "leaf": [int(pdf["leaf"].iloc[0])], "chunk": [int(pdf["chunk"].iloc[0])]})
 
-    tiles = materialise(dealt.groupBy("leaf", "chunk").applyInPandas(pack, "ids binary, w binary, x binary, low array<double>, high array<double>, name string"), "tiles")
-    boxes = sorted(tiles.select("name", "low", "high").collect())
-    number = {r["name"]: k for k, r in enumerate(boxes)}
-    low, high = np.array([r["low"] for r in boxes]), np.array([r["high"] for r in boxes])
+    tiles = materialise(dealt.groupBy("leaf", "chunk").applyInPandas(pack, "ids binary, w binary, x binary, low array<double>, high array<double>, leaf long, chunk long"), "tiles")
+    width = min(LEAD, d) + 1
+    bounds = [F.array(*[f(F.col(c)[k]) for k in range(width)]).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))]
+    boxes = tiles.groupBy("leaf").agg(*bounds).orderBy("leaf").collect()
+    leaves, low, high = np.array([r["leaf"] for r in boxes]), np.array([r["low"] for r in boxes]), np.array([r["high"] for r in boxes])
+    before = np.cumsum(chunks) - chunks  # tiles are numbered leaf by leaf
 
     def route(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each tile to the groups (owner, block of partners) that compare it, as the owner (role 0) or as a partner (role 1)."""
         for pdf in pdfs:
             for row in pdf.itertuples(index=False):
-                t = number[row.name]
-                gap = np.maximum(0, np.maximum(low - high[t], low[t] - high))
-                near = np.flatnonzero(1 - (gap**2).sum(1) / 2 >= threshold - CLOSE)
+                t, box = int(before[row.leaf] + row.chunk), int(np.searchsorted(leaves, row.leaf))
+                gap = np.maximum(0, np.maximum(low - high[box], low[box] - high))
+                near = np.concatenate([np.arange(before[x], before[x] + chunks[x]) for x in leaves[1 - (gap**2).sum(1) / 2 >= threshold - CLOSE]])
                 keys = [(t, c, 0) for c in sorted({int(j) // PARTNERS for j in near if j >= t})] + [(int(i), t // PARTNERS, 1) for i in near if i <= t]
                 for k in range(0, len(keys), 8):
                     part = keys[k : k + 8]
@@ -217,7 +236,7 @@ def _links_of_length(vectors: DataFrame, d: int, threshold: float) -> DataFrame:
         out = pd.DataFrame({"class_id": ids.astype(np.int64), "to": to.astype(np.int64), "n": n.astype(np.int64)})
         return out.groupby(["class_id", "to"], as_index=False)["n"].sum()
 
-    routed = tiles.select("name", "ids", "w", "x").mapInPandas(route, "owner long, block long, role int, tile long, ids binary, w binary, x binary")
+    routed = tiles.select("leaf", "chunk", "ids", "w", "x").mapInPandas(route, "owner long, block long, role int, tile long, ids binary, w binary, x binary")
     return routed.groupBy("owner", "block").applyInPandas(compare, "class_id long, to long, n long")
 
 
@@ -241,10 +260,17 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     told = materialise(
         classes.join(counts, "class_id", "left")
         .join(parts.withColumnRenamed("node", "class_id").withColumnRenamed("component", "part"), "class_id", "left")
-        .select("x", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("part", "class_id").alias("component_id")),
+        .select("x", "class_id", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("part", "class_id").alias("component_id")),
         "told",
     )
-    out = valid.join(told, "x").select("vec_id", "class_id", "n_links", "component_id").unionByName(alone)
+    size = classes.agg(F.sum("weight").alias("rows"), F.max("weight").alias("most")).first()
+    limit = max(HUB_LEAST, size["rows"] // HUB_SHARE)
+    if size["most"] > limit:  # rows of vectors with very many copies, HUB_SHARE vectors at most, stay where they are
+        hot = F.broadcast(told.where(F.col("weight") > limit))
+        out = valid.join(hot, "x").unionByName(valid.join(hot, "x", "left_anti").join(told.where(F.col("weight") <= limit), "x"))
+    else:
+        out = valid.join(told, "x")
+    out = out.select("vec_id", "class_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

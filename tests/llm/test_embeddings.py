@@ -42,3 +42,26 @@ def test_odd_vectors_and_tiles(spark, monkeypatch):
 
 def test_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_cosines_at_the_threshold_link(spark):
+    """Integer vectors with dot / (|a| |b|) = 0.95 exactly, in both ways of comparing, at any scale."""
+    for scale in (1.0, 3.0, 2.0**-700):
+        rows = [(1, [3.0, 0.0, 0.0, 0.0, 0.0]), (2, [38 * scale, 3 * scale, 7 * scale, 7 * scale, 7 * scale]), (3, [38.0, 4.0, 7.0, 7.0, 7.0])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(df).collect()}
+        assert got[2] == 1, scale
+    a, b = np.array([[3.0, 0, 0, 0, 0]]), np.vstack([[38.0, 3, 7, 7, 7], -np.eye(5).repeat(30, 0)])
+    axes = np.eye(5)
+    for many in (1, len(b)):  # few or many pairs pass the first bound
+        assert embeddings.linked(embeddings.vectors_of(a, axes), embeddings.vectors_of(b[:many], axes), 0.95)[0, 0]
+
+
+def test_leaves_of_several_tiles_and_hot_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(9, 8))
+    rows = [(i, (base[i % 9] + rng.normal(scale=0.1, size=8)).tolist()) for i in range(120)] + [(1000 + i, base[0].tolist()) for i in range(60)]
+    for name, value in (("TILE", 8), ("LEAVES", 2), ("HUB_LEAST", 10), ("HUB_SHARE", 10)):
+        monkeypatch.setattr(embeddings, name, value)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute(rows)
