@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import scratch_root, table
+from leafmill.llm.common import HUB_LEAST, HUB_SHARE, materialise, scratch_root, table
 from leafmill.llm.passages import column_chunks
 
 MEMO_PIECES = 300_000
@@ -105,6 +105,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache: str, normalise: str
         F.unhex(F.sha2(F.concat(F.lit(version), text), 256)).alias("digest"),
         text.alias("_text"),
     )
+    rows = materialise(keyed.drop("_text"), "keyed")
     distinct = keyed.groupBy("digest").agg(F.min("_text").alias("_text"))
     stored = _read_cache(spark, cache)
     misses = distinct if stored is None else distinct.join(stored, "digest", "left_anti")
@@ -120,12 +121,25 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache: str, normalise: str
 
     misses.select("digest", F.col("_text").cast("binary").alias("t")).mapInArrow(encode, "digest binary, n_tokens long").write.mode("append").parquet(cache)
     counts = spark.read.schema("digest binary, n_tokens long").parquet(cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.drop("_text").join(counts, "digest", "left").select("doc_id", "n_bytes", "digest", "n_tokens")
+    copies = rows.groupBy("digest").count()
+    often = max(HUB_LEAST, rows.count() // HUB_SHARE)
+    hot = materialise(copies.where(F.col("count") > often).join(counts, "digest").select("digest", "n_tokens"), "hot")  # HUB_SHARE rows at most
+    if hot.isEmpty():
+        out = rows.join(counts, "digest", "left")
+    else:  # rows of a very frequent text don't meet in one task
+        hot = F.broadcast(hot)
+        out = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(counts, "digest", "left"))
+    return out.select("doc_id", "n_bytes", "digest", "n_tokens")
+
+
+#: Names a folder in which counts are kept for later runs; where it is unset, a run has its own cache.
+CACHE_CONF = "leafmill.tokens.cache"
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, limit: int = 2048) -> DataFrame:
     import public_tokenizers
 
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    counts = count_tokens(table(spark, sf_dir, "documents"), str(path), f"{scratch_root(spark)}/token-cache-{uuid.uuid4().hex}", "blank")
+    cache = spark.conf.get(CACHE_CONF, None) or f"{scratch_root(spark)}/token-cache-{uuid.uuid4().hex}"
+    counts = count_tokens(table(spark, sf_dir, "documents"), str(path), cache, "blank")
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -58,3 +58,24 @@ def test_memo_generations(monkeypatch):
 
 def test_empty(spark, tmp_path, empty):
     assert tokens.count_tokens(empty, WORD, f"file://{tmp_path}/cache", "blank").count() == 0
+
+
+def test_query_with_a_warm_cache(spark, sf, tmp_path, monkeypatch):
+    """With a cache that holds a part of the digests only the others are encoded, and with all of them none."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    cache = f"file://{tmp_path}/cache"
+    stored = lambda: spark.read.parquet(cache).count()
+    tokens.count_tokens(docs.where("doc_id % 3 = 0"), WORD, cache, "blank").count()
+    part = stored()
+    spark.conf.set(tokens.CACHE_CONF, cache)
+    try:
+        want = None
+        for _ in range(2):
+            monkeypatch.setattr(tokens, "HUB_LEAST", 0)  # second run: with texts that count as frequent
+            got = sorted(map(tuple, registry.queries()["op7_token_counts"](spark, sf).collect()))
+            want = want or got
+            assert got == want
+            assert 0 < part < stored() == docs.select("text").distinct().count()
+    finally:
+        spark.conf.unset(tokens.CACHE_CONF)
+    assert got == sorted(map(tuple, registry.queries()["op7_token_counts"](spark, sf).collect()))
