@@ -78,9 +78,13 @@ def drop_materialised(df: DataFrame) -> None:
         fs.delete(path, True)
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most that many rows; reads no more than it needs to tell."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, rows: int, text_bytes: int | None = None) -> bool:
+    """Whether df has at most that many rows and, where given, bytes in its columns (arrays as their texts); reads no more than it needs to tell."""
+    first = df.limit(rows + 1)
+    if text_bytes is None:
+        return first.count() <= rows
+    size = first.select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("b")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return size["n"] <= rows and size["b"] <= text_bytes
 
 
 #: A node with more than one in HUB_SHARE of the edges is a hub, if it has over HUB_LEAST; there are 2 * HUB_SHARE of them at most.

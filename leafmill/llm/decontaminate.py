@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import materialise, small_enough, table
 
 WINDOW, GRAM = 10, 5
-BROADCAST_WINDOWS = 200_000
+#: Windows, and bytes of their words and item ids, that may be broadcast.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: A word, once A-Z are lower-cased: digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,7 +101,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
     found_runs = fingerprints(F.col("w"), window, gram, short)
     key_of = lambda i: F.array_join(F.slice("w", i + 1, F.col("r.n")), " ")
     whole = F.array(F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("n")).cast(_RUN[6:-1]))  # stands for the document itself
-    if small_enough(known, broadcast_windows):
+    if small_enough(known, broadcast_windows, BROADCAST_BYTES):
         runs = base.withColumn("runs", F.concat(whole, found_runs)).select("doc_id", "text_hash", "w", F.explode_outer("runs").alias("r"))
         alive = runs.join(F.broadcast(marks), (F.col("r.h") == marks["h"]) & (F.col("r.n") == marks["n"]), "left").where("known or r.s < 0")
         at = F.when(F.col("r.s") < 0, F.array(F.struct(F.lit(-1).alias("s"), F.lit("").alias("key")))).otherwise(F.transform(F.sequence(F.col("r.s"), F.col("r.e") - 1), lambda i: F.struct(i.alias("s"), key_of(i).alias("key"))))

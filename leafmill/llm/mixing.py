@@ -21,7 +21,7 @@ PART_RATE = 16.0
 #: P(Poisson(16) > 80) is below 1e-25, less than the step of the uniform numbers.
 TERMS = 80
 #: Sources, one row of about 1 KB each, that may be broadcast; with more, the join shuffles and AQE splits hot sources.
-BROADCAST_SOURCES = 20_000
+BROADCAST_SOURCES, SOURCE_BYTES = 20_000, 16 << 20
 
 
 def uniform(*parts: Column) -> Column:
@@ -49,9 +49,10 @@ def source_rates(df: DataFrame, weights: dict[str, float] | None = None, tempera
         for name, w in weights.items():
             share = F.when(F.col("_mix_source") == name, F.lit(float(w))).otherwise(share)
     n = n.withColumn("_mix_share", share)
-    sums = n.agg(F.sum("_mix_n").alias("_mix_all"), F.sum("_mix_share").alias("_mix_shares"))
-    wanted = F.col("_mix_all") if total_rows is None else F.lit(total_rows)
-    rates = n.join(F.broadcast(sums)).withColumn("_mix_rate", F.coalesce(wanted * F.col("_mix_share") / F.col("_mix_shares") / F.col("_mix_n"), F.lit(0.0)))
+    n = materialise(n, "sources")
+    every, shares = n.agg(F.sum("_mix_n"), F.sum("_mix_share")).first()
+    wanted = F.lit((every or 0) if total_rows is None else total_rows)
+    rates = n.withColumn("_mix_rate", F.coalesce(F.try_divide(wanted * F.col("_mix_share"), F.lit(shares)) / F.col("_mix_n"), F.lit(0.0)))
     rates = rates.withColumn("_mix_parts", F.greatest(F.lit(1), F.ceil(F.col("_mix_rate") / PART_RATE)).cast("int"))
     part = F.col("_mix_rate") / F.col("_mix_parts")
     first = F.exp(-part)
@@ -67,7 +68,7 @@ def source_rates(df: DataFrame, weights: dict[str, float] | None = None, tempera
 def replicate(df: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", total_rows: int | None = None) -> DataFrame:
     """df's rows, each repeated by its count, with _mix_copy (from 0), _mix_copies, _mix_rate and _mix_key added; not ordered yet."""
     rates = source_rates(df, weights, temperature, source_col, total_rows)
-    if small_enough(rates.select("_mix_source"), BROADCAST_SOURCES):
+    if small_enough(rates.select("_mix_source"), BROADCAST_SOURCES, SOURCE_BYTES):
         rates = F.broadcast(rates)
     joined = df.join(rates, df[source_col].eqNullSafe(rates["_mix_source"]))
     draws = F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), lambda j: F.size(F.filter(F.col("_mix_cdf"), lambda c: uniform(F.lit(seed), F.col(id_col), j) >= c)))
