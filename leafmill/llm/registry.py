@@ -26,6 +26,7 @@ def oracle_sql():
         "op2_ngram_jaccard_join": jaccard.OP2_SQL,
         "op3_embedding_near_dedup": embeddings.OP3_SQL,
         "op4_substring_dedup": substring.OP4_SQL,
+        "op5_sharding": sharding.OP5_SQL,
         "op6_mixing": mixing.OP6_SQL,
         "op9_suffix_array_dedup": suffix_family.OP9_SQL,
     }
