@@ -48,7 +48,7 @@ MOST_LEFT_OUT = 2
 #: of FREQUENT * 500 shingles at most; the share rises with longer sets, so that TOLD shingles (4 MB) bound what is told to all tasks.
 FREQUENT, TOLD = 1000, 500_000
 #: Shingles that are counted at once before counts leave a task, and the least count that does.
-COUNTED, LEAST_COUNT = 1 << 21, 4
+COUNTED, LEAST_COUNT = 1 << 20, 4
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
