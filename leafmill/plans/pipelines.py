@@ -60,7 +60,7 @@ def run_extract(records: DataFrame, extractor: extraction.Extractor, prompts: di
     todo = records if done is None else sinks.pending(records, done, force=force)
     results, statuses = None, None
     for mode, labels in summaries.modes(individual_only, group_only).items():
-        got = extraction.extract(todo, extractor, prompts.get(mode, ""), dry_run)
+        got = tables.once(extraction.extract(todo, extractor, prompts.get(mode, ""), dry_run))  # each text meets the extractor once
         sections = summaries.section_snippets(extraction.exploded(got), list(labels))
         counts = got.where("status = 'processed'").select("paper_id", F.size("extractions").alias("extraction_count"))
         told = summaries.render(sections, counts, labels).join(counts, "paper_id").withColumn("mode", F.lit(mode))
@@ -79,7 +79,7 @@ def run_quality(records: DataFrame, specs: DataFrame, extractor: extraction.Extr
     ordered = specs.groupBy("publication_type").agg(F.min("ord").alias("o")).orderBy("o").collect()
     types = [r["publication_type"] for r in ordered]
     texts = records.select("paper_id", page_marked_text(F.col("pages")).alias("text"))
-    got = extraction.extract(records, extractor, assessment.type_prompt(types))
+    got = tables.once(extraction.extract(records, extractor, assessment.type_prompt(types)))  # each text meets the extractor once
     found = extraction.exploded(got)
     typed = assessment.detect_type(found, texts, types, override)
     values = assessment.structured_values(typed.where("publication_type is not null").select("paper_id", "publication_type"), found, specs)

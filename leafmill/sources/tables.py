@@ -78,12 +78,25 @@ def json_paths(spark: SparkSession, directory: str) -> DataFrame:
     return list_files(spark, directory, "*.json").select(stem(F.col("path")).alias("id"), "path").orderBy("id")
 
 
-def json_records(spark: SparkSession, directory: str, schema: str) -> DataFrame:
-    """One JSON object a file, with the file's stem and path; a missing directory gives no rows."""
+def holds_lines(spark: SparkSession, directory: str) -> bool:
+    """Whether a directory was written by Spark: part files with one record a line."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/part-*.json*")
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+
+
+def json_records(spark: SparkSession, directory: str, schema: str, key: str = "paper_id") -> DataFrame:
+    """Records with _stem and _path; a missing directory gives no rows.
+
+    A directory of documents has one object a file, whose stem is the id; one written by sinks.write_records has one a line, and the
+    record's key stands for the stem.
+    """
     if not exists(spark, directory):
         return spark.createDataFrame([], schema + ", _stem string, _path string")
-    df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(directory)
-    return df.withColumn("_path", F.col("_metadata.file_path")).withColumn("_stem", stem(F.col("_path")))
+    lines = holds_lines(spark, directory)
+    reader = spark.read.schema(schema)
+    df = reader.json(directory) if lines else reader.option("multiLine", True).option("pathGlobFilter", "*.json").json(directory)
+    df = df.withColumn("_path", F.col("_metadata.file_path"))
+    return df.withColumn("_stem", F.col(key).cast("string") if lines else stem(F.col("_path")))
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str) -> DataFrame:

@@ -144,6 +144,21 @@ def test_extract_and_assess(spark):
     assert {r["paper_id"]: r["status"] for r in dry.collect()} == {"1": "validated", "2": "failed"}
 
 
+def test_each_text_meets_the_extractor_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counted(text: str, prompt: str) -> list[dict]:
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text(text)
+        return [{"extraction_class": "group_design", "extraction_text": text, "alignment_status": None}]
+
+    records = spark.createDataFrame([("1", [(0, "one")]), ("2", [(0, "two")])], PAGES)
+    told, status = pipelines.run_extract(records, counted, {}, group_only=True)
+    assert told.count() == 2 and status.count() == 2 and len(list(calls.iterdir())) == 2
+
+
 def test_quality_records(spark):
     specs = spark.createDataFrame([(0, "Case Control", "f1", "", "", "", "binary_ordinal", []), (1, "Case Control", "f2", "", "", "", "string", ["NA"])], "ord int, publication_type string, field string, section string, criterion_text string, entry_guidance string, inferred_type string, accepted array<string>")
     records = spark.createDataFrame([("1", [(0, "a case-control study; f1=1 :: yes")]), ("2", [(0, "nothing to see")])], PAGES)

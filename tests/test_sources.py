@@ -116,3 +116,16 @@ def test_run_registry(spark, tmp_path):
     rows = pipelines.run_registry(spark, {"references": f"{tmp_path}/refs.csv", "manifest": f"{tmp_path}/log.jsonl", "files": f"{tmp_path}/files", "text": f"{tmp_path}/text", "quality_record": f"{tmp_path}/quality"}, root=str(tmp_path)).collect()
     got = [(r["paper_id"], r["download_status"], r["text_json_path"], r["text_n_pages"], r["text_needs_ocr"], r["quality_missing_field_count"], r["artifact_types_present"]) for r in rows]
     assert got == [("1", "downloaded", "text/1.json", "2", "True", "0", "reference; pdf; text"), ("3", "failed", "", "", "", "0", "reference"), ("x", "missing", "", "", "", "1", "quality_record")]
+
+
+def test_written_records_are_read_as_a_whole(spark, tmp_path):
+    from leafmill import schemas
+    from leafmill.sources import sinks, tables
+
+    rows = spark.createDataFrame([(str(i), f"{i}_a.pdf", i) for i in range(50)], "paper_id string, source_filename string, n_pages int")
+    sinks.write_records(rows.coalesce(2), f"{tmp_path}/lines")
+    got = tables.json_records(spark, f"{tmp_path}/lines", schemas.TEXT_RECORD_DDL)
+    assert sorted((r["_stem"], r["n_pages"]) for r in got.collect()) == sorted((str(i), i) for i in range(50))
+    assert [r["_stem"] for r in tables.select_inputs(got, ["7", "12"]).collect()] == ["12", "7"]
+    sinks.export_documents(rows, f"{tmp_path}/files")
+    assert tables.json_records(spark, f"{tmp_path}/files", schemas.TEXT_RECORD_DDL).count() == 50
