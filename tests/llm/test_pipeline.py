@@ -84,9 +84,16 @@ def test_scratch_folder():
     class Session:
         class sparkContext:  # noqa: N801
             applicationId = "app-1"  # noqa: N815
+            master = "local[2]"
 
     s = Session()
     s.conf = Conf("hdfs://x/y/")
     assert common.scratch_root(s) == "hdfs://x/y"
     s.conf = Conf(None)
     assert common.scratch_root(s) == common.scratch_root(s) and common.scratch_root(s).startswith("file:///")
+    # executors elsewhere would not see a folder of the driver
+    Session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_root(s)
+    s.conf = Conf("hdfs://x/y/")
+    assert common.scratch_root(s) == "hdfs://x/y"
