@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import id_prefix, page_marked_text, strip, utc_iso
@@ -107,9 +107,10 @@ def text_records(files: DataFrame, reader: PageReader, ocr: Ocr | None = None, e
     return done.withColumn("extractor", F.lit(extractor)).withColumn("extracted_at_utc", utc_iso(F.current_timestamp()))
 
 
-def extract(records: DataFrame, extractor: Extractor, prompt: str, dry_run: bool = False) -> DataFrame:
-    """paper_id, status (`processed`, `validated` in a dry run, `failed`), error, extractions of records with pages."""
-    texts = records.select("paper_id", page_marked_text(F.coalesce("pages", F.array().cast("array<struct<page_index:int,text:string>>"))).alias("text"))
+def extract(records: DataFrame, extractor: Extractor, prompt: str | Column, dry_run: bool = False) -> DataFrame:
+    """paper_id, status (`processed`, `validated` in a dry run, `failed`), error, extractions of records with pages; a prompt for all or a column."""
+    asked = F.lit(prompt) if isinstance(prompt, str) else prompt
+    texts = records.select("paper_id", page_marked_text(F.coalesce("pages", F.array().cast("array<struct<page_index:int,text:string>>"))).alias("text"), asked.alias("prompt"))
     if dry_run:
         empty = F.col("text") == ""
         return texts.select("paper_id", F.when(empty, "failed").otherwise("validated").alias("status"), F.when(empty, "no extractable text").alias("error"), F.array().cast(f"array<{EXTRACTION}>").alias("extractions"))
@@ -117,11 +118,11 @@ def extract(records: DataFrame, extractor: Extractor, prompt: str, dry_run: bool
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             rows = []
-            for pid, text in zip(pdf["paper_id"], pdf["text"], strict=True):
+            for pid, text, asked in zip(pdf["paper_id"], pdf["text"], pdf["prompt"], strict=True):
                 try:
                     if not text:
                         raise ValueError("no extractable text")
-                    items = [{k: (None if x.get(k) is None else str(x[k])) for k in ("extraction_class", "extraction_text", "alignment_status")} for x in extractor(text, prompt)]
+                    items = [{k: (None if x.get(k) is None else str(x[k])) for k in ("extraction_class", "extraction_text", "alignment_status")} for x in extractor(text, asked)]
                     rows.append((pid, "processed", None, items))
                 except Exception as exc:  # noqa: BLE001
                     rows.append((pid, "failed", str(exc) or type(exc).__name__, []))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import tempfile
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,43 +58,103 @@ def run_trim(records: DataFrame, references: DataFrame, out: str | None = None,
     return trimmed, rows
 
 
-def run_extract(records: DataFrame, extractor: extraction.Extractor, prompts: dict[str, str], done: DataFrame | None = None, force: bool = False, dry_run: bool = False, individual_only: bool = False, group_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(summaries for each paper and mode, statuses). Finished papers are left out before the extractor runs."""
+def _by_mode(rows: DataFrame, records: DataFrame, model_id: str) -> DataFrame:
+    """Rows (paper_id, mode, r) as one record a paper with its provenance; r is a struct with extraction_count."""
+    told = rows.groupBy("paper_id").agg(
+        F.sum("r.extraction_count").cast("int").alias("total_extraction_count"),
+        F.struct(*[F.first(F.when(F.col("mode") == m, F.col("r")), ignorenulls=True).alias(m) for m in summaries.modes()]).alias("extraction_modes"),
+    )
+    return _provenance(told, records, model_id)
+
+
+def _provenance(rows: DataFrame, records: DataFrame, model_id: str) -> DataFrame:
+    of = records.select("paper_id", *[c for c in ("source_filename", "source_sha256", "used_trimmed_text") if c in records.columns])
+    return rows.join(of, "paper_id").withColumn("model_id", F.lit(model_id)).withColumn("generated_at_utc", utc_iso(F.current_timestamp()))
+
+
+def _skipped(records: DataFrame, done: DataFrame) -> DataFrame:
+    return records.join(done.select("paper_id").distinct(), "paper_id", "left_semi").select("paper_id", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
+
+
+def run_extract(
+    records: DataFrame, extractor: extraction.Extractor, prompts: dict[str, str], done: DataFrame | None = None, force: bool = False, dry_run: bool = False, individual_only: bool = False, group_only: bool = False,
+    out: str | None = None, raw_out: str | None = None, model_id: str = "",
+) -> tuple[DataFrame, DataFrame]:
+    """(summaries for each paper and mode, statuses). Finished papers are left out before the extractor runs.
+
+    out and raw_out take one record a paper; they are appended to where finished papers were left out, else written anew. A dry run
+    writes nothing.
+    """
+    done = None if done is None else tables.once(done.select("paper_id").distinct())  # stays as it is while out grows
     todo = records if done is None else sinks.pending(records, done, force=force)
-    results, statuses = None, None
+    results, statuses, raw = None, None, None
     for mode, labels in summaries.modes(individual_only, group_only).items():
         got = tables.once(extraction.extract(todo, extractor, prompts.get(mode, ""), dry_run))  # each text meets the extractor once
         sections = summaries.section_snippets(extraction.exploded(got), list(labels))
         counts = got.where("status = 'processed'").select("paper_id", F.size("extractions").alias("extraction_count"))
         told = summaries.render(sections, counts, labels).join(counts, "paper_id").withColumn("mode", F.lit(mode))
         results = told if results is None else results.unionByName(told)
+        found = got.where("status = 'processed'").select("paper_id", F.lit(mode).alias("mode"), F.struct(F.size("extractions").alias("extraction_count"), "extractions").alias("r"))
+        raw = found if raw is None else raw.unionByName(found)
         own = got.select("paper_id", "status", "error")
         statuses = own if statuses is None else statuses.unionByName(own)
     worst = F.when(F.max(F.col("status") == "failed"), "failed").otherwise(F.min("status"))
     merged = statuses.groupBy("paper_id").agg(worst.alias("status"), F.first("error", ignorenulls=True).alias("error"))
-    if done is not None and not force:
-        merged = merged.unionByName(records.join(done.select("paper_id").distinct(), "paper_id", "left_semi").select("paper_id", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error")))
+    append = done is not None and not force
+    if append:
+        merged = merged.unionByName(_skipped(records, done))
+    if not dry_run:
+        whole = merged.where("status = 'processed'").select("paper_id")  # a paper that fails in one mode leaves no record
+        if raw_out:
+            sinks.write_records(_by_mode(raw.join(whole, "paper_id", "left_semi"), todo, model_id), raw_out, append)
+        if out:
+            told = results.select("paper_id", "mode", F.struct("section_summaries", "overall_summary", "extraction_count").alias("r"))
+            sinks.write_records(_by_mode(told.join(whole, "paper_id", "left_semi"), todo, model_id), out, append)
     return results, merged
 
 
-def run_quality(records: DataFrame, specs: DataFrame, extractor: extraction.Extractor, schema: dict | None = None, override: str | None = None) -> DataFrame:
-    """Quality records with status and error; a record with schema errors fails and carries no values."""
+def run_quality(
+    records: DataFrame, specs: DataFrame, extractor: extraction.Extractor, schema: dict | None = None, override: str | None = None,
+    done: DataFrame | None = None, out: str | None = None, raw_out: str | None = None, model_id: str = "",
+) -> DataFrame:
+    """Quality records with status and error.
+
+    A first pass finds each paper's type, unless one is given; a second asks for the fields of that type with its own prompt. A paper that
+    fails in a pass or has no type, or a record with schema errors, fails: what it tells is its error. Papers in done are skipped.
+    out and raw_out are appended to where done is given, else written anew.
+    """
     ordered = specs.groupBy("publication_type").agg(F.min("ord").alias("o")).orderBy("o").collect()
     types = [r["publication_type"] for r in ordered]
-    texts = records.select("paper_id", page_marked_text(F.col("pages")).alias("text"))
-    got = tables.once(extraction.extract(records, extractor, assessment.type_prompt(types)))  # each text meets the extractor once
-    found = extraction.exploded(got)
-    typed = assessment.detect_type(found, texts, types, override)
-    values = assessment.structured_values(typed.where("publication_type is not null").select("paper_id", "publication_type"), found, specs)
-    out = assessment.quality_records(values)
+    done = None if done is None else tables.once(done.select("paper_id").distinct())  # stays as it is while out grows
+    todo = records if done is None else sinks.pending(records, done)
+    texts = todo.select("paper_id", page_marked_text(F.col("pages")).alias("text"))
+    detected = tables.once(extraction.extract(todo, extractor, assessment.type_prompt(types), dry_run=override is not None))  # only blank texts fail where no type is sought
+    failed = detected.select("paper_id", F.col("error").alias("_failed"))
+    typed = assessment.detect_type(extraction.exploded(detected), texts, types, override).join(failed, "paper_id").withColumn("error", F.coalesce("_failed", "error")).drop("_failed")
+    typed = tables.once(typed)
+    asked = typed.where("error is null").join(assessment.quality_prompts(specs), "publication_type").select("paper_id", "prompt")
+    got = tables.once(extraction.extract(todo.select("paper_id", "pages").join(asked, "paper_id"), extractor, F.col("prompt")))
+    known = typed.where("error is null").join(got.where("error is null").select("paper_id", "extractions"), "paper_id")
+    told = assessment.quality_records(assessment.structured_values(known.select("paper_id", "publication_type"), extraction.exploded(got), specs))
     if schema is not None:
-        out = validation.nested_errors(out.withColumn("_json", F.to_json(F.map_concat("values", F.create_map(F.lit("publication_type"), F.col("publication_type"))))), "_json", schema).drop("_json")
-        out = out.withColumn("error", validation.error_text(F.col("errors"))).drop("errors")
+        told = validation.nested_errors(told.withColumn("_json", F.to_json(F.map_concat("values", F.create_map(F.lit("publication_type"), F.col("publication_type"))))), "_json", schema).drop("_json")
+        told = told.withColumn("error", validation.error_text(F.col("errors"))).drop("errors")
     else:
-        out = out.withColumn("error", F.lit(None).cast("string"))
-    lost = typed.where("publication_type is null").select("paper_id", "error")
-    out = out.unionByName(lost, allowMissingColumns=True)
-    return out.withColumn("status", F.when(F.col("error").isNull(), "processed").otherwise("failed")).withColumn("generated_at_utc", utc_iso(F.current_timestamp()))
+        told = told.withColumn("error", F.lit(None).cast("string"))
+    for lost in (typed, got):
+        told = told.unionByName(lost.where("error is not null").select("paper_id", "error"), allowMissingColumns=True)
+    told = told.withColumn("status", F.when(F.col("error").isNull(), "processed").otherwise("failed"))
+    if done is not None:
+        told = told.unionByName(_skipped(records, done), allowMissingColumns=True)
+    if raw_out:
+        fields = specs.groupBy("publication_type").agg(F.collect_set("field").alias("_fields"))
+        raw = known.join(detected.select("paper_id", F.col("extractions").alias("publication_type_detections")), "paper_id").join(fields, "publication_type")
+        unmatched = F.filter("extractions", lambda x: ~F.coalesce(F.array_contains(F.col("_fields"), x["extraction_class"]), F.lit(False)))
+        raw = raw.select("paper_id", "publication_type", F.col("method").alias("publication_type_method"), "publication_type_detections", "extractions", unmatched.alias("unmatched_extractions"), F.size("extractions").alias("extraction_count"))
+        sinks.write_records(_provenance(raw, todo, model_id), raw_out, append=done is not None)
+    if out:
+        sinks.write_records(_provenance(told.where("status = 'processed'").drop("status", "error"), todo, model_id), out, append=done is not None)
+    return told.withColumn("generated_at_utc", utc_iso(F.current_timestamp()))
 
 
 def run_registry(spark: SparkSession, folders: dict[str, str], out: str | None = None, root: str = "", key: str = "Covidence") -> DataFrame:
@@ -125,30 +188,129 @@ def run_registry(spark: SparkSession, folders: dict[str, str], out: str | None =
     return rows
 
 
-def main(argv: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(description="Screen or trim text records, or rebuild the source registry.")
-    p.add_argument("command", choices=["screen", "trim", "sources"])
-    p.add_argument("--records")
-    p.add_argument("--references", required=True)
-    p.add_argument("--files")
-    p.add_argument("--manifest", default="")
-    p.add_argument("--out", required=True)
-    p.add_argument("--registry-out")
+def provider(name: str) -> Any:
+    """What `module:attribute` names; a class is called without arguments."""
+    module, _, attribute = name.partition(":")
+    found = getattr(importlib.import_module(module), attribute)
+    return found() if isinstance(found, type) else found
+
+
+#: Options that a command cannot do without.
+NEEDED = {
+    "text": ("files", "out"),
+    "screen": ("records", "references", "out"),
+    "trim": ("records", "references", "out"),
+    "extract": ("records", "extractor", "out"),
+    "quality": ("records", "dictionary", "extractor", "out"),
+    "registry": ("artifact_registry",),
+    "sources": ("references", "files", "out"),
+}
+
+
+def _pairs(items: list[str]) -> dict[str, str]:
+    return dict(i.split("=", 1) for i in items)
+
+
+def _arguments(argv: list[str] | None) -> argparse.Namespace:
+    p = argparse.ArgumentParser(description="Run one step over a collection; the artefact registry is rebuilt after it where one is named.")
+    p.add_argument("command", choices=list(NEEDED))
+    p.add_argument("--records", help="folder of text records")
+    p.add_argument("--trimmed", help="folder of trimmed records, which extract and quality prefer")
+    p.add_argument("--references", help="reference CSV")
+    p.add_argument("--files", help="folder of source files")
+    p.add_argument("--pattern", default="*.pdf", help="names of source files to read")
+    p.add_argument("--manifest", default="", help="download log")
+    p.add_argument("--out", help="what the command writes")
+    p.add_argument("--raw-out", help="folder for raw extractions")
+    p.add_argument("--registry-out", help="trim registry")
+    p.add_argument("--reader", default="leafmill.operators.extraction:PlainPages", help="page reader as module:attribute")
+    p.add_argument("--ocr", help="OCR provider as module:attribute")
+    p.add_argument("--extractor", help="extractor as module:attribute")
+    p.add_argument("--model-id", default="", help="name of the extractor's model, for the records")
+    p.add_argument("--prompt", action="append", default=[], metavar="MODE=FILE", help="prompt of an extraction mode")
+    p.add_argument("--dictionary", help="quality dictionary CSV")
+    p.add_argument("--schema", help="JSON schema of quality records; none: no validation")
+    p.add_argument("--publication-type", help="type of all papers, instead of detection")
+    p.add_argument("--include-individual", action="store_true")
+    p.add_argument("--include-group", action="store_true")
     p.add_argument("--ids", nargs="*", default=[])
     p.add_argument("--limit", type=int, default=0)
+    p.add_argument("--force", action="store_true", help="do finished papers too, and write the outputs anew")
+    p.add_argument("--dry-run", action="store_true", help="check the inputs only")
+    p.add_argument("--artifact-registry", help="where the artefact registry is written")
+    p.add_argument("--artifact", action="append", default=[], metavar="NAME=PATH", help="a folder or file of the artefact registry")
+    p.add_argument("--skip-registry-refresh", action="store_true")
     a = p.parse_args(argv)
-    spark = SparkSession.builder.appName("leafmill").getOrCreate()
-    refs = _references(spark, a.references)
-    if a.command == "sources":
+    if missing := [n for n in NEEDED[a.command] if not getattr(a, n)]:
+        p.error(f"{a.command} needs " + ", ".join(f"--{n.replace('_', '-')}" for n in missing))
+    return a
+
+
+def _inputs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Chosen text records; with --trimmed, the trimmed record of a paper that has one."""
+    records = tables.select_inputs(tables.json_records(spark, a.records, schemas.TEXT_RECORD_DDL), a.ids, a.limit)
+    if not a.trimmed:
+        return records
+    return tables.prefer_trimmed(records, tables.json_records(spark, a.trimmed, schemas.TRIMMED_RECORD_DDL))
+
+
+def _step(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.command == "text":
+        run_text(spark, a.files, a.out, provider(a.reader), provider(a.ocr) if a.ocr else None, a.pattern)
+    elif a.command == "sources":
         matched, others = tables.files_by_number(tables.list_files(spark, a.files, "*.pdf"))
         rows = registry.source_registry(tables.with_position(tables.read_csv(spark, a.references)), matched, others, tables.latest_events(spark, a.manifest))
         sinks.write_registry(rows, a.out, registry.SOURCE_COLUMNS)
+    elif a.command == "screen":
+        run_screen(_inputs(spark, a), _references(spark, a.references), a.out)
+    elif a.command == "trim":
+        refs = _references(spark, a.references)
+        run_trim(_inputs(spark, a), refs.select("paper_id", F.col("Title").alias("title"), F.col("Authors").alias("authors")), a.out, a.registry_out)
+    elif a.command == "extract":
+        done = None if a.force else tables.json_records(spark, a.out, schemas.SUMMARY_DDL).select("paper_id")
+        if done is not None and a.raw_out:  # a paper is finished if both outputs have it
+            done = done.join(tables.json_records(spark, a.raw_out, schemas.EXTRACTION_RAW_DDL).select("paper_id"), "paper_id")
+        prompts = {m: tables.prompt_text(f, "") for m, f in _pairs(a.prompt).items()}
+        one = a.include_individual != a.include_group
+        _, statuses = run_extract(
+            _inputs(spark, a), provider(a.extractor), prompts, done, a.force, a.dry_run, one and a.include_individual, one and a.include_group, a.out, a.raw_out, a.model_id
+        )
+        print("Run summary:", sinks.finish(statuses))
+    elif a.command == "quality":
+        specs = tables.read_dictionary(spark, a.dictionary)
+        records = _inputs(spark, a)
+        if a.dry_run:
+            print("Run summary:", sinks.finish(extraction.extract(records, provider(a.extractor), "", dry_run=True)))
+            return
+        done = None if a.force else tables.json_records(spark, a.out, schemas.QUALITY_RECORD_DDL).select("paper_id")
+        schema = tables.read_json_schema(a.schema) if a.schema else None
+        print("Run summary:", sinks.finish(run_quality(records, specs, provider(a.extractor), schema, a.publication_type, done, a.out, a.raw_out, a.model_id)))
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """Results that are used twice go to spark.checkpoint.dir; where it is unset a local master takes a temporary folder."""
+    if spark.sparkContext.getCheckpointDir():
         return
-    records = tables.select_inputs(tables.json_records(spark, a.records, schemas.TEXT_RECORD_DDL), a.ids, a.limit)
-    if a.command == "screen":
-        run_screen(records, refs, a.out)
-    else:
-        run_trim(records, refs.select("paper_id", F.col("Title").alias("title"), F.col("Authors").alias("authors")), a.out, a.registry_out)
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmill_"))
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Runs a command, then rebuilds the artefact registry; papers that failed end it with status 1 after that."""
+    a = _arguments(argv)
+    spark = SparkSession.builder.appName("leafmill").getOrCreate()
+    _checkpoints(spark)
+    failed = None
+    try:
+        _step(spark, a)
+    except sinks.RunFailed as e:
+        failed = e
+    if a.artifact_registry and not (a.skip_registry_refresh and a.command != "registry"):
+        run_registry(spark, _pairs(a.artifact), a.artifact_registry)
+    if failed is not None:
+        print("Run summary:", failed)
+        raise SystemExit(1)
 
 
 if __name__ == "__main__":

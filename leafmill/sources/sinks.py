@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_records(df: DataFrame, path: str) -> None:
+def write_records(df: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines, the scalable form of one object a document."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("append" if append else "overwrite").json(path)
 
 
 def export_documents(df: DataFrame, directory: str, key: str = "paper_id", indent: int = 2) -> None:
