@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import decontaminate, embeddings, jaccard, language, mixing, sharding, substring, suffix_family, tokens, toxicity
+from leafmill.llm import decontaminate, divergence, embeddings, jaccard, language, lines, mixing, sharding, spelling, substring, suffix_family, tokens, toxicity
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_language_id": language.op8_language_id,
         "op9_suffix_array_dedup": suffix_family.op9_suffix_array_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_line_dedup": lines.op13_line_dedup,
     }
 
 
@@ -29,4 +32,7 @@ def oracle_sql():
         "op5_sharding": sharding.OP5_SQL,
         "op6_mixing": mixing.OP6_SQL,
         "op9_suffix_array_dedup": suffix_family.OP9_SQL,
+        "op11_spelling_variants": spelling.OP11_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
+        "op13_line_dedup": lines.OP13_SQL,
     }
