@@ -3,10 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the
 columns of documents. run() writes each stage's result to the shared scratch folder and reads it again.
 
-Cases: every stage takes null and empty texts. Language ID drops texts without a letter. Among near duplicates (five-word
+Cases: every stage takes null and empty texts. Language ID drops texts without a letter and those whose language cannot be
+told, and sets lang to the predicted language. Among near duplicates (five-word
 shingles, Jaccard 0.8 or more, linked through others too) the document with the least id stays, and of rows that repeat
 its id and text one; rows with a null id are no known copies of each other and all stay. Decontamination drops documents
-that share a ten-word window, or a whole shorter item, with the benchmark. Mixing repeats or leaves out documents by its draw.
+that share a ten-word window, or a whole shorter item, with the benchmark; of rows that share an id, null too, only those with
+such a text. Mixing repeats or leaves out documents by its draw.
 Sharding returns a row for each copy, without the text.
 """
 
@@ -20,9 +22,16 @@ from leafmill.llm.common import materialise, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter, whether or not the table has labels to tell their languages by; those without any go."""
-    found = language.identify(docs, language.fit(docs))
-    return found.where("_lang_lettered").select(docs.columns)
+    """Documents whose language can be told, with the language their text is in as lang.
+
+    Those without a letter go, and those whose two nearest codewords nearly tie, unless their label says the same as the nearest. What
+    stays takes its predicted language over its label (which may be missing or wrong); without any label to learn from labels stay.
+    """
+    model = language.fit(docs)
+    found = language.identify(docs, model)
+    told = found.where(F.col("_lang_lettered") & (~F.col("_lang_ambiguous") | F.col("lang").eqNullSafe(F.col("_lang_pred"))))
+    lang = F.col("_lang_pred") if model.languages else F.col("lang")
+    return told.withColumn("lang", lang).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +48,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
+    """Documents that hold no window of the benchmark. A document is told by its id, null or not, and its text."""
     found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text"))
+    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_text"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
