@@ -416,8 +416,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP2_SQL = rf"""
-with recursive w as (select doc_id, list_filter(string_split_regex({_FOLDED}, '[ 	-
-]+'), lambda x: x <> '') as w from documents),
+with recursive w as (select doc_id, list_filter(string_split_regex({_FOLDED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 s as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
 e as materialized (select doc_id, len(s) as n, unnest(s) as e from s),
 p as materialized (select a.doc_id as a, b.doc_id as b from e a join e b on a.e = b.e and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -93,3 +94,74 @@ def substring_bytes(docs, length=100):
         spans = sum(1 for j in range(len(b)) if gone[j] and (j == 0 or not gone[j - 1]))
         out[i] = (len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g)))
     return out
+
+
+def near(a: str, b: str) -> bool:
+    """Exactly one code point inserted, deleted or replaced."""
+    a, b = sorted((a, b), key=len)
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelling(docs, least_chars=6, least_count=5, ratio=5, divisor=199):
+    counts = Counter()
+    for i, t in docs:
+        for run in re.findall(r"[a-zÀ-ÿ]+", (t or "").translate(LOWER)):
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            counts[run if h % divisor else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= least_chars and n >= least_count}
+    by_size, out, form = defaultdict(list), {}, {}
+    for w in counts:
+        by_size[len(w)].append(w)
+    for w, n in counts.items():
+        found = [x for d in (-1, 0, 1) for x in by_size[len(w) + d] if near(w, x)]
+        best = min(found, key=lambda x: (-counts[x], x), default=None)
+        if best is not None and counts[best] >= ratio * n:
+            form[w] = best
+        out[w] = [n, len(found)]
+    for w in out:
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = (form.get(w), root, *out[w], counts[form[w]] if w in form else None)
+    return out
+
+
+def divergence(rows, min_docs=3, top=200):
+    """rows: (lang, source, text)."""
+    used, held, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        groups[lang].add(source)
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+        used[lang, source].update(terms)
+        held[lang].update(set(terms))
+    out = {}
+    for lang, sources in groups.items():
+        kept = [t for t, n in held[lang].items() if n >= min_docs]
+        total = {s: sum(used[lang, s][t] for t in kept) for s in sources}
+        whole = Counter({t: sum(used[lang, s][t] for s in sources) for t in kept})
+        p = lambda n, all_: 1 + 1_000_000_000 * (n + 1) // (all_ + len(kept))  # noqa: B023, E731
+        f = lambda a, b: (a - b) ** 2 // b
+        for s in sources:
+            mine = {t: p(used[lang, s][t], total[s]) for t in kept}
+            pairs = [(sum(f(mine[t], p(used[lang, o][t], total[o])) for t in kept), o) for o in sources if o != s]
+            q = {t: p(whole[t], sum(whole.values())) for t in kept}
+            terms = [(f(mine[t], q[t]), t) for t in kept if used[lang, s][t] and mine[t] > q[t]]
+            for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+                for rank, (value, item) in enumerate(sorted(found, key=lambda x: (-x[0], x[1].encode()))[:most], 1):
+                    out[lang, s, part, item] = (value, rank)
+    return out
+
+
+def drop_lines(docs, min_docs=10, min_chars=1):
+    """docs: (id, text), a document by row unless both repeat. Rows of (id, lines, dropped, what is left)."""
+    key = lambda line: line.strip(" \t\n\x0b\f\r").translate(LOWER)
+    held = Counter(k for _, t in set(docs) for k in {key(x) for x in (t or "").split("\n")})
+    out = []
+    for i, t in docs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < min_chars or held[key(x)] < min_docs]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out

@@ -96,3 +96,18 @@ def test_ids_near_the_largest_long(spark):
     docs = [(top - i, prose(40, 60) + f" end{i % 2}") for i in range(30)] + [(top - 100 - i, prose(41, 60)) for i in range(3)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(jaccard.near_components(df, 5, 80)) == brute.jaccard(docs, 5, 80)
+
+
+def test_sql_splits_at_every_blank(spark, tmp_path):
+    """All six ASCII blanks part words, in the operator and in the SQL; other controls do not."""
+    texts = ["a\rb\fc d\ve", "a b c d e", "a\tb\nc\r\nd  e", "a\x1cb c d", None, "", " \r\f\v", "x y z w", "A B C D E"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet/part")
+    folder = tmp_path / "flat"
+    folder.mkdir()
+    import duckdb
+
+    duckdb.sql(f"copy (select * from '{tmp_path}/documents.parquet/part/*.parquet') to '{folder}/documents.parquet'")
+    for t in ("region nation customer supplier part orders lineitem events embeddings pages benchmark labels conversations").split():
+        duckdb.sql(f"copy (select 1 as x) to '{folder}/{t}.parquet'")
+    assert_same(jaccard.op2_ngram_jaccard_join(spark, str(folder)), jaccard.OP2_SQL, str(folder))
+    assert rows(jaccard.op2_ngram_jaccard_join(spark, str(folder)))[0] == (3, 0)

@@ -4,13 +4,15 @@ import pytest
 from conftest import prose
 from pyspark.sql import functions as F
 
-from leafmill.llm import common, mixing
+from leafmill.llm import common, language, mixing
 
 
 def test_run(spark, sf, doc_rows):
     out = corpus_pipeline.run(spark, sf).collect()
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    kept = [(i, t) for i, t in doc_rows if t and any(c.isalpha() for c in t)]
+    found = language.identify(spark.read.parquet(f"{sf}/documents.parquet"), language.fit(spark.read.parquet(f"{sf}/documents.parquet")))
+    told = {r["doc_id"] for r in found.collect() if not r["_lang_ambiguous"] or r["lang"] == r["_lang_pred"]}
+    kept = [(i, t) for i, t in doc_rows if t and any(c.isalpha() for c in t) and i in told]
     part = brute.jaccard(kept, 5, 80)
     kept = [(i, t) for i, t in kept if part[i][1] == i]
     dirty = brute.decontaminate(kept, items)
@@ -46,6 +48,31 @@ def test_stages_take_odd_and_empty_rows(spark, odd, empty, tmp_path):
     assert not {0, 1, 2, 16} & set(spoken) and {3, 4, 13} <= set(spoken)
 
 
+def test_decontamination_tells_rows_by_id_and_text(spark, tmp_path):
+    dirty, clean, sf_dir = prose(3, 20), prose(5, 20), f"file://{tmp_path}"
+    spark.createDataFrame([(1, dirty)], "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = [(None, "x " + dirty, 1), (None, clean, 2), (8, dirty, 3), (8, clean, 4), (9, None, 5), (None, None, 6), (8, dirty, 7), (8, clean, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = corpus_pipeline.decontamination(spark, df, sf_dir)
+    assert got.columns == df.columns and sorted(r["spans"] for r in got.collect()) == [2, 4, 5, 6, 8]
+
+
+def test_language_stage_uses_its_prediction(spark, docs):
+    """Missing and wrong labels are mended; of texts that tell no language those without a right label go."""
+    odd = spark.createDataFrame([(-1, "12 34", "en"), (-2, None, "en"), (-3, "Avec.", "en"), (-4, "Avec.", None)], "doc_id long, text string, lang string")
+    wrong = F.when(F.col("doc_id") % 10 == 0, F.lit(None)).when(F.col("doc_id") % 40 == 1, F.lit("en")).otherwise(F.col("lang"))
+    rows = docs.withColumn("lang", wrong).unionByName(odd, allowMissingColumns=True)
+    got = corpus_pipeline.language_id(spark, rows, "")
+    assert got.columns == rows.columns
+    told, true = {r["doc_id"]: r["lang"] for r in got.collect()}, {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert not {-1, -2} & set(told) and len(told) > 0.97 * len(true)
+    assert sum(told[i] == true[i] for i in told if i in true) > 0.95 * len(told)
+    model = language.fit(rows)
+    found = {r["doc_id"]: r for r in language.identify(rows, model).collect()}
+    assert set(told) == {i for i, r in found.items() if r["_lang_lettered"] and (not r["_lang_ambiguous"] or r["lang"] == r["_lang_pred"])}
+    assert told == {i: found[i]["_lang_pred"] for i in told}
+
+
 def test_unlabelled_documents_stay(spark, odd):
     """Without any label, and with a label that is the word for no language."""
     for lang in (None, "und"):
