@@ -7,7 +7,7 @@ import importlib
 import tempfile
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill import schemas
@@ -23,15 +23,20 @@ def _references(spark: SparkSession, path: str, key: str = "Covidence") -> DataF
 
 
 def run_text(spark: SparkSession, source: str, out: str, reader: extraction.PageReader, ocr: extraction.Ocr | None = None, pattern: str = "*.pdf") -> DataFrame:
-    """Text records of a folder; of two files with one prefix the last in sort order holds."""
+    """Text records of a folder; of two files with one prefix the last in sort order holds.
+
+    The reader sees each file once: records and counts of failures come from one pass. A file that fails leaves its earlier record, and
+    records of files that are no longer there stay.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(source)
     listed = tables.last_wins(files.select(extraction.id_prefix(F.col("path")).alias("_id"), "path"), "_id", F.col("path"))
+    told = Observation("files")
     records = extraction.text_records(files.join(listed.select("path"), "path", "left_semi"), reader, ocr)
-    failed = records.where("error is not null")
-    sinks.write_records(records.where("error is null").drop("error"), out)
-    if not failed.isEmpty():
-        raise sinks.RunFailed(f"{failed.count()} files could not be read")
-    return spark.read.schema(schemas.TEXT_RECORD_DDL).json(out)
+    records = records.observe(told, F.count("*").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    sinks.replace_records(records.where("error is null").drop("error"), out, ids=listed.select(F.col("_id").alias("paper_id")))
+    if failed := told.get["failed"]:
+        raise sinks.RunFailed(f"{failed} of {told.get['files']} files could not be read")
+    return tables.json_records(spark, out, schemas.TEXT_RECORD_DDL)
 
 
 def run_screen(records: DataFrame, references: DataFrame, out: str | None = None, config: Config = DEFAULT) -> DataFrame:
@@ -42,17 +47,20 @@ def run_screen(records: DataFrame, references: DataFrame, out: str | None = None
 
 
 def run_trim(records: DataFrame, references: DataFrame, out: str | None = None, registry_out: str | None = None, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Trimmed records and the trim registry. references: (paper_id, title, authors)."""
+    """Trimmed records and the trim registry. references: (paper_id, title, authors).
+
+    Decisions are made once for both outputs. In out, records of these papers are replaced, and go if a paper is no longer trimmed.
+    """
     lines = tables.once(proceedings.classify(proceedings.flatten_lines(records), config))
     told = tables.once(proceedings.signals(lines, records.select("paper_id", "source_filename", F.coalesce("n_pages", F.lit(0)).alias("n_pages")), config))
     # only volumes are segmented and scored
     numbered = proceedings.block_lines(lines.join(told.where("proceedings_detected").select("paper_id"), "paper_id", "left_semi"))
     best = proceedings.best_match(proceedings.blocks(numbered), references)
-    decided = proceedings.decide(told, best, config)
+    decided = tables.once(proceedings.decide(told, best, config))
     trimmed = proceedings.trimmed_records(proceedings.trimmed_pages(numbered, decided), decided, records, references)
     rows = proceedings.decision_rows(decided, references)
     if out:
-        sinks.write_records(trimmed, out)
+        sinks.replace_records(trimmed, out, ids=records.select("paper_id"), vanish=True)
     if registry_out:
         sinks.write_registry(rows, registry_out, proceedings.DECISION_COLUMNS)
     return trimmed, rows
@@ -82,8 +90,7 @@ def run_extract(
 ) -> tuple[DataFrame, DataFrame]:
     """(summaries for each paper and mode, statuses). Finished papers are left out before the extractor runs.
 
-    out and raw_out take one record a paper; they are appended to where finished papers were left out, else written anew. A dry run
-    writes nothing.
+    out and raw_out take one record a paper, in place of an earlier one; records of other papers stay. A dry run writes nothing.
     """
     done = None if done is None else tables.once(done.select("paper_id").distinct())  # stays as it is while out grows
     todo = records if done is None else sinks.pending(records, done, force=force)
@@ -100,16 +107,16 @@ def run_extract(
         statuses = own if statuses is None else statuses.unionByName(own)
     worst = F.when(F.max(F.col("status") == "failed"), "failed").otherwise(F.min("status"))
     merged = statuses.groupBy("paper_id").agg(worst.alias("status"), F.first("error", ignorenulls=True).alias("error"))
-    append = done is not None and not force
-    if append:
+    merged = tables.once(merged)
+    if done is not None and not force:
         merged = merged.unionByName(_skipped(records, done))
     if not dry_run:
         whole = merged.where("status = 'processed'").select("paper_id")  # a paper that fails in one mode leaves no record
         if raw_out:
-            sinks.write_records(_by_mode(raw.join(whole, "paper_id", "left_semi"), todo, model_id), raw_out, append)
+            sinks.replace_records(_by_mode(raw.join(whole, "paper_id", "left_semi"), todo, model_id), raw_out, ids=whole)
         if out:
             told = results.select("paper_id", "mode", F.struct("section_summaries", "overall_summary", "extraction_count").alias("r"))
-            sinks.write_records(_by_mode(told.join(whole, "paper_id", "left_semi"), todo, model_id), out, append)
+            sinks.replace_records(_by_mode(told.join(whole, "paper_id", "left_semi"), todo, model_id), out, ids=whole)
     return results, merged
 
 
@@ -121,7 +128,7 @@ def run_quality(
 
     A first pass finds each paper's type, unless one is given; a second asks for the fields of that type with its own prompt. A paper that
     fails in a pass or has no type, or a record with schema errors, fails: what it tells is its error. Papers in done are skipped.
-    out and raw_out are appended to where done is given, else written anew.
+    out and raw_out take one record a paper, in place of an earlier one; records of other papers stay.
     """
     ordered = specs.groupBy("publication_type").agg(F.min("ord").alias("o")).orderBy("o").collect()
     types = [r["publication_type"] for r in ordered]
@@ -143,7 +150,8 @@ def run_quality(
         told = told.withColumn("error", F.lit(None).cast("string"))
     for lost in (typed, got):
         told = told.unionByName(lost.where("error is not null").select("paper_id", "error"), allowMissingColumns=True)
-    told = told.withColumn("status", F.when(F.col("error").isNull(), "processed").otherwise("failed"))
+    told = tables.once(told.withColumn("status", F.when(F.col("error").isNull(), "processed").otherwise("failed")))
+    good = told.where("status = 'processed'").select("paper_id")  # a record with schema errors is not written, nor its raw form
     if done is not None:
         told = told.unionByName(_skipped(records, done), allowMissingColumns=True)
     if raw_out:
@@ -151,9 +159,9 @@ def run_quality(
         raw = known.join(detected.select("paper_id", F.col("extractions").alias("publication_type_detections")), "paper_id").join(fields, "publication_type")
         unmatched = F.filter("extractions", lambda x: ~F.coalesce(F.array_contains(F.col("_fields"), x["extraction_class"]), F.lit(False)))
         raw = raw.select("paper_id", "publication_type", F.col("method").alias("publication_type_method"), "publication_type_detections", "extractions", unmatched.alias("unmatched_extractions"), F.size("extractions").alias("extraction_count"))
-        sinks.write_records(_provenance(raw, todo, model_id), raw_out, append=done is not None)
+        sinks.replace_records(_provenance(raw.join(good, "paper_id", "left_semi"), todo, model_id), raw_out, ids=good)
     if out:
-        sinks.write_records(_provenance(told.where("status = 'processed'").drop("status", "error"), todo, model_id), out, append=done is not None)
+        sinks.replace_records(_provenance(told.where("status = 'processed'").drop("status", "error"), todo, model_id), out, ids=good)
     return told.withColumn("generated_at_utc", utc_iso(F.current_timestamp()))
 
 
@@ -235,7 +243,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--include-group", action="store_true")
     p.add_argument("--ids", nargs="*", default=[])
     p.add_argument("--limit", type=int, default=0)
-    p.add_argument("--force", action="store_true", help="do finished papers too, and write the outputs anew")
+    p.add_argument("--force", action="store_true", help="do finished papers too, in place of their earlier records")
     p.add_argument("--dry-run", action="store_true", help="check the inputs only")
     p.add_argument("--artifact-registry", help="where the artefact registry is written")
     p.add_argument("--artifact", action="append", default=[], metavar="NAME=PATH", help="a folder or file of the artefact registry")

@@ -310,6 +310,18 @@ def q_pending_documents(spark, sf):
     return sinks.pending(docs, lab.where("quality = 1"), lab.where("toxic = 0"))
 
 
+def q_replaced_records(spark, sf):
+    """A folder of all documents' records, after a second run over the labelled ones: good ones are replaced, the others vanish."""
+    out = tables.scratch(spark, "records")
+    docs = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("paper_id"), "text", F.lit(None).cast("int").alias("toxic"))
+    sinks.replace_records(docs, out, ids=docs, buckets=16)
+    labels = _t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("paper_id"), "quality", F.col("toxic").cast("int").alias("toxic"))
+    again = docs.drop("toxic").join(labels.where("quality = 1").drop("quality"), "paper_id")
+    sinks.replace_records(again, out, ids=labels, vanish=True)
+    found = tables.json_records(spark, out, "paper_id string, text string, toxic int")
+    return found.select("paper_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "toxic")
+
+
 def q_cascade_match(spark, sf):
     p = _t(spark, sf, "part")
     a = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("d"), "p_partkey")).otherwise("").alias("doi"), F.concat("p_name", F.lit(" "), "p_partkey").alias("title"))
@@ -549,7 +561,8 @@ e as (select o_orderkey, list_filter([case when o_orderstatus not in ('F', 'O')
 select o_orderkey, len(e)::bigint as n_errors, case when len(e) > 0 then 'Schema validation failed: ' || array_to_string(e, '; ') end as error from e""",
         "content_hash": "select doc_id, sha256(text) as sha256 from documents",
         "run_status": "select status, count(*) as n from (select case when l.doc_id is not null then 'skipped' when trim(coalesce(d.text, '')) = '' then 'failed' else 'run' end as status from documents d left join (select distinct doc_id from labels) l using (doc_id)) group by status",
-        "pending_documents": "select doc_id::varchar as paper_id from documents where doc_id not in (select a.doc_id from labels a where quality = 1 intersect select doc_id from labels where toxic = 0)",
+    "replaced_records": """select d.doc_id::varchar as paper_id, md5(coalesce(d.text, '')) as text_md5, l.toxic::int as toxic from documents d left join labels l using (doc_id) where l.quality is distinct from 0""",
+    "pending_documents": "select doc_id::varchar as paper_id from documents where doc_id not in (select a.doc_id from labels a where quality = 1 intersect select doc_id from labels where toxic = 0)",
         "cascade_match": rf"""with a as (select p_partkey as id, case when p_partkey % 2 = 0 then 'd' || p_partkey else '' end as doi, {_norm("p_name || ' ' || p_partkey")} as t from part),
 b as (select p_partkey + 1000000 as id, case when p_partkey % 4 = 0 and p_partkey % 3 <> 0 then 'd' || p_partkey else '' end as doi, case when p_partkey % 3 <> 0 then {_norm("p_name || ' ' || p_partkey")} else '' end as t from part),
 d as (select a.id as left_id, min(b.id) as right_id from a join b on a.doi = b.doi and a.doi <> '' group by a.id),

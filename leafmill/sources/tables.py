@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,12 +12,18 @@ from pyspark.sql import functions as F
 
 from leafmill.config import DICTIONARY_COLUMNS
 from leafmill.functions.text import id_prefix, stem, strip
-from leafmill.schemas import MANIFEST_DDL, PAGES
+from leafmill.schemas import MANIFEST_DDL, PAGES, ddl
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = hadoop_path(spark, path)
+    return fs.exists(p)
 
 
 SPREAD_BYTES = 64 << 20
@@ -34,6 +42,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+#: Own folders by application, for local masters without a checkpoint folder.
+_OWN: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the session's checkpoint folder, which all executors share. Where that is unset a local master has a temporary folder, another one none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        root = _OWN.get(app) or _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='leafmill_')}")
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path, fs = hadoop_path(spark, folder)
+    fs.deleteOnExit(path)
+    return folder
+
+
 def once(df: DataFrame) -> DataFrame:
     """df computed once for several uses: in the session's checkpoint folder, or cached where it has none."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
@@ -78,17 +104,27 @@ def json_paths(spark: SparkSession, directory: str) -> DataFrame:
     return list_files(spark, directory, "*.json").select(stem(F.col("path")).alias("id"), "path").orderBy("id")
 
 
+#: The partition column of folders that sinks.replace_records() writes.
+BUCKET = "bucket"
+
+
+def bucket_folders(spark: SparkSession, directory: str) -> list[str]:
+    """The names of a directory's buckets; none if it has another layout."""
+    p, fs = hadoop_path(spark, f"{directory.rstrip('/')}/{BUCKET}=*-of-*")
+    return [f.getPath().getName().split("=", 1)[1] for f in fs.globStatus(p) or []]
+
+
 def holds_lines(spark: SparkSession, directory: str) -> bool:
-    """Whether a directory was written by Spark: part files with one record a line."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/part-*.json*")
-    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+    """Whether a directory was written by Spark: part files with one record a line, in buckets or not."""
+    p, fs = hadoop_path(spark, f"{directory.rstrip('/')}/part-*.json*")
+    return bool(fs.globStatus(p)) or bool(bucket_folders(spark, directory))
 
 
 def json_records(spark: SparkSession, directory: str, schema: str, key: str = "paper_id") -> DataFrame:
     """Records with _stem and _path; a missing directory gives no rows.
 
     A directory of documents has one object a file, whose stem is the id; one written by sinks.write_records has one a line, and the
-    record's key stands for the stem.
+    record's key stands for the stem, as in one written by sinks.replace_records.
     """
     if not exists(spark, directory):
         return spark.createDataFrame([], schema + ", _stem string, _path string")
@@ -96,6 +132,8 @@ def json_records(spark: SparkSession, directory: str, schema: str, key: str = "p
     reader = spark.read.schema(schema)
     df = reader.json(directory) if lines else reader.option("multiLine", True).option("pathGlobFilter", "*.json").json(directory)
     df = df.withColumn("_path", F.col("_metadata.file_path"))
+    if BUCKET not in ddl(schema).names:
+        df = df.drop(BUCKET)
     return df.withColumn("_stem", F.col(key).cast("string") if lines else stem(F.col("_path")))
 
 

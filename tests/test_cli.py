@@ -1,10 +1,13 @@
 import csv
+import functools
 import json
+import shutil
 
 import pytest
 
 from leafmill.operators.extraction import RuleExtractor
 from leafmill.plans import pipelines
+from leafmill.sources import sinks
 
 RULES = RuleExtractor((("individual_presentation", r"value: \d"), ("f1", r"1 :: yes"), ("zz", "study")))
 
@@ -17,7 +20,7 @@ def picky(text: str, prompt: str) -> list[dict]:
 
 
 def lines(path):
-    return {r["paper_id"]: r for f in sorted(path.glob("part-*.json")) for r in map(json.loads, f.read_text().splitlines())}
+    return {r["paper_id"]: r for f in sorted(path.rglob("part-*.json")) for r in map(json.loads, f.read_text().splitlines())}
 
 
 def registry_rows(path):
@@ -49,7 +52,7 @@ def test_commands(spark, work, capsys):
     capsys.readouterr()
     run(*extract, *known)  # only what is not finished
     assert "'processed': 1" in (said := capsys.readouterr().out) and "'skipped': 1" in said
-    assert set(lines(work / "summary")) == {"1", "2"} and sum(len(f.read_text().splitlines()) for f in (work / "summary").glob("part-*")) == 2
+    assert set(lines(work / "summary")) == {"1", "2"} and sum(len(f.read_text().splitlines()) for f in (work / "summary").rglob("part-*.json")) == 2
     assert registry_rows(work / "registry")["1"]["artifact_types_present"].startswith("text")
     quality = ("quality", "--records", work / "text", "--dictionary", work / "dict.csv", "--extractor", "test_cli:picky", "--out", work / "quality", "--raw-out", work / "qraw")
     with pytest.raises(SystemExit):
@@ -64,6 +67,69 @@ def test_commands(spark, work, capsys):
         run("trim", "--out", work / "x")
 
 
+def test_each_file_is_read_once(spark, tmp_path):
+    for d in ("files", "marks"):
+        (tmp_path / d).mkdir()
+    for k in range(7):
+        (tmp_path / f"files/{k}_x.txt").write_text("b" if k == 5 else f"text of {k}")
+    reader = functools.partial(_marked, str(tmp_path / "marks"))
+    for n in (7, 14):  # into a new folder, then in place of its records
+        with pytest.raises(sinks.RunFailed, match="1 of 7"):
+            pipelines.run_text(spark, f"{tmp_path}/files", f"{tmp_path}/out", reader, pattern="*.txt")
+        assert len(list((tmp_path / "marks").iterdir())) == n and set(lines(tmp_path / "out")) == set("012346")
+
+
+def _marked(folder, content):
+    import uuid
+    from pathlib import Path
+
+    Path(folder, uuid.uuid4().hex).write_bytes(content[:1])
+    if content[:1] == b"b":
+        raise ValueError("not a file")
+    return content.decode().split("\f")
+
+
+def record_lines(path):
+    return sorted((r["paper_id"], r["model_id"]) for f in path.rglob("part-*.json") for r in map(json.loads, f.read_text().splitlines()))
+
+
+def test_runs_replace_records(spark, tmp_path):
+    """--force with ids changes these only; a run that died between its two outputs, or lost one, leaves no doubles when it is repeated."""
+    (tmp_path / "files").mkdir()
+    for k in (1, 2, 3):
+        (tmp_path / f"files/{k}_a.txt").write_text(f"paper {k}; value: {k}")
+    run = lambda *a: pipelines.main([str(x) for x in a])
+    run("text", "--files", tmp_path / "files", "--pattern", "*.txt", "--out", tmp_path / "text")
+    extract = ("extract", "--records", tmp_path / "text", "--extractor", "test_cli:RULES", "--out", tmp_path / "out", "--raw-out", tmp_path / "raw", "--model-id")
+    both = lambda: (record_lines(tmp_path / "out"), record_lines(tmp_path / "raw"))
+    run(*extract, "m1")
+    assert both() == ([(str(k), "m1") for k in (1, 2, 3)],) * 2
+    run(*extract, "m2", "--force", "--ids", "2")
+    assert both() == ([("1", "m1"), ("2", "m2"), ("3", "m1")],) * 2
+    shutil.rmtree(tmp_path / "raw")  # finished papers are those in both
+    run(*extract, "m3")
+    assert both() == ([(str(k), "m3") for k in (1, 2, 3)],) * 2
+    shutil.rmtree(tmp_path / "out")  # raw was written, the other was not
+    run(*extract, "m4", "--ids", "1", "3")
+    assert both() == ([("1", "m4"), ("3", "m4")], [("1", "m4"), ("2", "m3"), ("3", "m4")])
+    run(*extract, "m5")
+    assert both() == ([("1", "m4"), ("2", "m5"), ("3", "m4")],) * 2
+
+
+def test_trimmed_records_vanish(spark, tmp_path):
+    """A volume that is no longer trimmed loses its record; volumes that a run leaves out keep theirs."""
+    words = "cardiac imaging of young athletes in regional hospitals"
+    pages = lambda title: [(i, f"{100 + i}. {title if i == 7 else f'Another abstract number {i} about other things'}\nSmith J, MD; Jones K, MD\nBody text") for i in range(45)]
+    ddl = "paper_id string, source_filename string, source_sha256 string, n_pages int, pages array<struct<page_index int, text string>>"
+    volume = lambda *of: spark.createDataFrame([(p, "v.pdf", "h", 45, pages(t)) for p, t in of], ddl)
+    refs = spark.createDataFrame([(p, words, "Smith, J; Jones, K") for p in ("1", "2")], "paper_id string, title string, authors string")
+    out = tmp_path / "trimmed"
+    pipelines.run_trim(volume(("1", words), ("2", words)), refs, f"{out}")
+    assert set(lines(out)) == {"1", "2"} and lines(out)["1"]["start_page_index"] == 7
+    pipelines.run_trim(volume(("1", "Something else entirely that no one asked for")), refs, f"{out}")
+    assert set(lines(out)) == {"2"}
+
+
 def test_given_type_asks_once(spark, work):
     from leafmill.sources import tables
 

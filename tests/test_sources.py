@@ -129,3 +129,56 @@ def test_written_records_are_read_as_a_whole(spark, tmp_path):
     assert [r["_stem"] for r in tables.select_inputs(got, ["7", "12"]).collect()] == ["12", "7"]
     sinks.export_documents(rows, f"{tmp_path}/files")
     assert tables.json_records(spark, f"{tmp_path}/files", schemas.TEXT_RECORD_DDL).count() == 50
+
+
+def _held(spark, path):
+    return sorted((r["paper_id"], r["n"]) for r in tables.json_records(spark, str(path), "paper_id string, n int").collect())
+
+
+def _numbered(spark, *rows):
+    return spark.createDataFrame(list(rows), "paper_id string, n int")
+
+
+def test_records_are_replaced_by_key(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    sinks.replace_records(_numbered(spark, *[(str(k), 1) for k in range(40)]), out, buckets=8)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "out").rglob("part-*")}
+    sinks.replace_records(_numbered(spark, ("3", 2), ("99", 2)), out)
+    want = {str(k): 1 for k in range(40)} | {"3": 2, "99": 2}
+    assert dict(_held(spark, out)) == want and len(_held(spark, out)) == 41
+    kept = {f for f in (tmp_path / "out").rglob("part-*") if before.get(f) == f.stat().st_mtime_ns}
+    assert len({f.parent for f in before} - {f.parent for f in kept}) <= 2  # other buckets are as they were
+    # keys of the run without a record: they keep their old one, or lose it
+    ids = spark.createDataFrame([("3",), ("4",), ("5",)], "paper_id string")
+    sinks.replace_records(_numbered(spark, ("4", 3)), out, ids=ids)
+    assert dict(_held(spark, out)) == want | {"4": 3}
+    sinks.replace_records(_numbered(spark, ("4", 4)), out, ids=ids, vanish=True)
+    assert dict(_held(spark, out)) == {k: v for k, v in (want | {"4": 4}).items() if k not in ("3", "5")}
+    every = spark.createDataFrame([(k,) for k in want], "paper_id string")
+    sinks.replace_records(_numbered(spark, ("7", 9)), out, ids=every, vanish=True)  # buckets run empty
+    assert _held(spark, out) == [("7", 9)]
+    sinks.replace_records(_numbered(spark).limit(0), out)
+    assert _held(spark, out) == [("7", 9)]
+
+
+def test_a_flat_folder_is_laid_out_in_buckets(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    sinks.write_records(_numbered(spark, ("1", 1), ("2", 1)), out)
+    sinks.replace_records(_numbered(spark, ("2", 2), ("3", 2)), out)
+    assert _held(spark, out) == [("1", 1), ("2", 2), ("3", 2)] and not list((tmp_path / "out").glob("part-*"))
+
+
+def test_replacing_computes_records_once(spark, tmp_path):
+    out, seen = f"{tmp_path}/out", spark.sparkContext.accumulator(0)
+
+    def costly(pdfs):
+        for pdf in pdfs:
+            seen.add(len(pdf))
+            yield pdf
+
+    ids = _numbered(spark, *[(str(k), k) for k in range(20)])
+    for k in range(3):
+        df = ids.mapInPandas(costly, ids.schema)
+        sinks.replace_records(df, out, ids=None if k == 2 else ids)
+        assert seen.value == 20 * (k + 1)
+    assert len(_held(spark, out)) == 20
