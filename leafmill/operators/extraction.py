@@ -7,8 +7,10 @@ never stops a batch.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,28 +109,128 @@ def text_records(files: DataFrame, reader: PageReader, ocr: Ocr | None = None, e
     return done.withColumn("extractor", F.lit(extractor)).withColumn("extracted_at_utc", utc_iso(F.current_timestamp()))
 
 
-def extract(records: DataFrame, extractor: Extractor, prompt: str | Column, dry_run: bool = False) -> DataFrame:
-    """paper_id, status (`processed`, `validated` in a dry run, `failed`), error, extractions of records with pages; a prompt for all or a column."""
+@dataclass(frozen=True)
+class Chunking:
+    """How an extractor is asked: spans of at most max_chars that end at sentence ends, batch_length of them at once, `passes` times; 0 tasks: as many as shuffle partitions."""
+
+    max_chars: int = 1200
+    batch_length: int = 8
+    passes: int = 2
+    tasks: int = 0
+
+
+#: A sentence's end with the white space after it, or a line's end.
+_SENTENCE_END = re.compile(r"""[.!?\u2026\u3002]+["'\u201d\u2019)\]]*\s+|\n+""")
+
+
+def text_spans(text: str, max_chars: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of spans that cover the text in order: as many whole sentences as fit; a longer sentence is cut at its last blank that fits, or hard."""
+    start = fits = 0
+    for end in [m.end() for m in _SENTENCE_END.finditer(text)] + [len(text)]:
+        if end - start > max_chars and fits > start:
+            yield start, fits
+            start = fits
+        while end - start > max_chars:
+            cut = max(text.rfind(" ", start + 1, start + max_chars), text.rfind("\n", start + 1, start + max_chars)) + 1
+            cut = cut if cut > start + 1 else start + max_chars
+            yield start, cut
+            start = cut
+        fits = end
+    if start < len(text):
+        yield start, len(text)
+
+
+def _located(items: list[dict], span: str, base: int) -> list[dict]:
+    """Finds with their offsets in the document: of a text that is found again the next occurrence; none where the span does not hold it."""
+    out, after = [], {}
+    for x in items:
+        e = {k: (None if x.get(k) is None else str(x[k])) for k in ("extraction_class", "extraction_text", "alignment_status")}
+        t = e["extraction_text"] or ""
+        at = span.find(t, after.get(t, 0)) if t else -1
+        at = span.find(t) if t and at < 0 else at
+        after[t] = at + len(t)
+        out.append(e | {"char_start": base + at if at >= 0 else None, "char_end": base + at + len(t) if at >= 0 else None})
+    return out
+
+
+def first_finds(passes: list[list[dict]]) -> list[tuple[int, dict]]:
+    """(pass, find) of the first pass's finds, and of later ones that overlap none kept before; without offsets, that equal none."""
+    kept: list[tuple[int, dict]] = []
+    for n, items in enumerate(passes):
+        before = [e for _, e in kept]
+        spans = sorted((e["char_start"], e["char_end"]) for e in before if e["char_start"] is not None)
+        starts, ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))  # furthest end of all that start no later
+        known = {(e["extraction_class"], e["extraction_text"]) for e in before}
+        for e in items:
+            if n and e["char_start"] is None and (e["extraction_class"], e["extraction_text"]) in known:
+                continue
+            if n and e["char_start"] is not None and (i := bisect_left(starts, e["char_end"])) and ends[i - 1] > e["char_start"]:
+                continue
+            kept.append((n, e))
+    return kept
+
+
+def ask(extractor: Extractor, spans: list[tuple[str, str]]) -> list[list[dict] | Exception]:
+    """Answers to (text, prompt)s. An extractor with a method `batch` is asked for all at once, and for each alone if that fails."""
+    if hasattr(extractor, "batch"):
+        try:
+            return list(extractor.batch(spans))
+        except Exception:  # noqa: BLE001  one span's error is not that of its neighbours
+            pass
+    out: list[list[dict] | Exception] = []
+    for text, prompt in spans:
+        try:
+            out.append(list(extractor(text, prompt)))
+        except Exception as exc:  # noqa: BLE001
+            out.append(exc)
+    return out
+
+
+def extract(records: DataFrame, extractor: Extractor, prompt: str | Column, dry_run: bool = False, chunking: Chunking = Chunking()) -> DataFrame:
+    """paper_id, status (`processed`, `validated` in a dry run, `failed`), error, extractions of records with pages; a prompt for all or a column.
+
+    Texts are cut into spans, and spans, not documents, are dealt to tasks, so that a volume is asked by many. Finds carry their offsets
+    in the page-marked text; those of a later pass that overlap an earlier find are dropped; order is by pass, span and answer. A document
+    whose text is blank fails, and so does one with a failing span, with the error of the first. Texts, prompts and answers of one document
+    are bounded by the document; nothing else meets in one task.
+    """
     asked = F.lit(prompt) if isinstance(prompt, str) else prompt
     texts = records.select("paper_id", page_marked_text(F.coalesce("pages", F.array().cast("array<struct<page_index:int,text:string>>"))).alias("text"), asked.alias("prompt"))
     if dry_run:
         empty = F.col("text") == ""
         return texts.select("paper_id", F.when(empty, "failed").otherwise("validated").alias("status"), F.when(empty, "no extractable text").alias("error"), F.array().cast(f"array<{EXTRACTION}>").alias("extractions"))
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            rows = []
             for pid, text, asked in zip(pdf["paper_id"], pdf["text"], pdf["prompt"], strict=True):
-                try:
-                    if not text:
-                        raise ValueError("no extractable text")
-                    items = [{k: (None if x.get(k) is None else str(x[k])) for k in ("extraction_class", "extraction_text", "alignment_status")} for x in extractor(text, asked)]
-                    rows.append((pid, "processed", None, items))
-                except Exception as exc:  # noqa: BLE001
-                    rows.append((pid, "failed", str(exc) or type(exc).__name__, []))
-            yield pd.DataFrame(rows, columns=["paper_id", "status", "error", "extractions"])
-
-    return texts.mapInPandas(run, f"paper_id string, status string, error string, extractions array<{EXTRACTION}>")
+                spans = list(text_spans(text, chunking.max_chars)) if text else []
+                for lo in range(0, len(spans), 1000):
+                    part = spans[lo : lo + 1000]
+                    yield pd.DataFrame({"paper_id": pid, "span": range(lo, lo + len(part)), "start": [s for s, _ in part], "text": [text[s:e] for s, e in part], "prompt": asked})
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for lo in range(0, len(pdf), chunking.batch_length):
+                part = pdf.iloc[lo : lo + chunking.batch_length]
+                asked = list(zip(part["text"], part["prompt"], strict=True))
+                answers = [ask(extractor, asked) for _ in range(chunking.passes)]
+                rows = []
+                for i, (pid, span, start, text) in enumerate(zip(part["paper_id"], part["span"], part["start"], part["text"], strict=True)):
+                    mine = [a[i] for a in answers]
+                    error = next((str(x) or type(x).__name__ for x in mine if isinstance(x, Exception)), None)
+                    found = [] if error is not None else first_finds([_located(x, text, start) for x in mine])
+                    rows.append((pid, span, error, [{"pass": n, "k": k, "e": e} for k, (n, e) in enumerate(found)]))
+                yield pd.DataFrame(rows, columns=["paper_id", "span", "error", "found"])
+
+    spans = texts.mapInPandas(cut, "paper_id string, span int, start int, text string, prompt string")
+    dealt = spans.repartition(chunking.tasks or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "paper_id", "span")
+    answers = dealt.mapInPandas(run, f"paper_id string, span int, error string, found array<struct<pass:int,k:int,e:{EXTRACTION}>>")
+    ordered = F.array_sort(F.flatten(F.collect_list(F.transform("found", lambda f: F.struct(f["pass"].alias("pass"), F.col("span"), f["k"].alias("k"), f["e"].alias("e"))))))
+    told = answers.groupBy("paper_id").agg(F.min_by(F.when(F.col("error").isNotNull(), F.col("error")), F.when(F.col("error").isNotNull(), F.col("span"))).alias("_error"), ordered.alias("_found"))
+    both = texts.select("paper_id", (F.col("text") == "").alias("_empty")).join(told, "paper_id", "left")
+    error = F.when(F.col("_empty"), F.lit("no extractable text")).otherwise(F.col("_error"))
+    found = F.when(error.isNull(), F.transform("_found", lambda f: f["e"])).otherwise(F.array().cast(f"array<{EXTRACTION}>"))
+    return both.select("paper_id", F.when(error.isNull(), "processed").otherwise("failed").alias("status"), error.alias("error"), found.alias("extractions"))
 
 
 def exploded(extracted: DataFrame) -> DataFrame:

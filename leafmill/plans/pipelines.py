@@ -86,7 +86,7 @@ def _skipped(records: DataFrame, done: DataFrame) -> DataFrame:
 
 def run_extract(
     records: DataFrame, extractor: extraction.Extractor, prompts: dict[str, str], done: DataFrame | None = None, force: bool = False, dry_run: bool = False, individual_only: bool = False, group_only: bool = False,
-    out: str | None = None, raw_out: str | None = None, model_id: str = "",
+    out: str | None = None, raw_out: str | None = None, model_id: str = "", chunking: extraction.Chunking = extraction.Chunking(),
 ) -> tuple[DataFrame, DataFrame]:
     """(summaries for each paper and mode, statuses). Finished papers are left out before the extractor runs.
 
@@ -96,7 +96,7 @@ def run_extract(
     todo = records if done is None else sinks.pending(records, done, force=force)
     results, statuses, raw = None, None, None
     for mode, labels in summaries.modes(individual_only, group_only).items():
-        got = tables.once(extraction.extract(todo, extractor, prompts.get(mode, ""), dry_run))  # each text meets the extractor once
+        got = tables.once(extraction.extract(todo, extractor, prompts.get(mode, ""), dry_run, chunking))  # each span meets the extractor once a pass
         sections = summaries.section_snippets(extraction.exploded(got), list(labels))
         counts = got.where("status = 'processed'").select("paper_id", F.size("extractions").alias("extraction_count"))
         told = summaries.render(sections, counts, labels).join(counts, "paper_id").withColumn("mode", F.lit(mode))
@@ -122,7 +122,7 @@ def run_extract(
 
 def run_quality(
     records: DataFrame, specs: DataFrame, extractor: extraction.Extractor, schema: dict | None = None, override: str | None = None,
-    done: DataFrame | None = None, out: str | None = None, raw_out: str | None = None, model_id: str = "",
+    done: DataFrame | None = None, out: str | None = None, raw_out: str | None = None, model_id: str = "", chunking: extraction.Chunking = extraction.Chunking(),
 ) -> DataFrame:
     """Quality records with status and error.
 
@@ -135,12 +135,12 @@ def run_quality(
     done = None if done is None else tables.once(done.select("paper_id").distinct())  # stays as it is while out grows
     todo = records if done is None else sinks.pending(records, done)
     texts = todo.select("paper_id", page_marked_text(F.col("pages")).alias("text"))
-    detected = tables.once(extraction.extract(todo, extractor, assessment.type_prompt(types), dry_run=override is not None))  # only blank texts fail where no type is sought
+    detected = tables.once(extraction.extract(todo, extractor, assessment.type_prompt(types), override is not None, chunking))  # only blank texts fail where no type is sought
     failed = detected.select("paper_id", F.col("error").alias("_failed"))
     typed = assessment.detect_type(extraction.exploded(detected), texts, types, override).join(failed, "paper_id").withColumn("error", F.coalesce("_failed", "error")).drop("_failed")
     typed = tables.once(typed)
     asked = typed.where("error is null").join(assessment.quality_prompts(specs), "publication_type").select("paper_id", "prompt")
-    got = tables.once(extraction.extract(todo.select("paper_id", "pages").join(asked, "paper_id"), extractor, F.col("prompt")))
+    got = tables.once(extraction.extract(todo.select("paper_id", "pages").join(asked, "paper_id"), extractor, F.col("prompt"), chunking=chunking))
     known = typed.where("error is null").join(got.where("error is null").select("paper_id", "extractions"), "paper_id")
     told = assessment.quality_records(assessment.structured_values(known.select("paper_id", "publication_type"), extraction.exploded(got), specs))
     if schema is not None:
@@ -235,6 +235,10 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--ocr", help="OCR provider as module:attribute")
     p.add_argument("--extractor", help="extractor as module:attribute")
     p.add_argument("--model-id", default="", help="name of the extractor's model, for the records")
+    p.add_argument("--max-char-buffer", type=int, default=1200, help="longest span the extractor is asked about")
+    p.add_argument("--batch-length", type=int, default=8, help="spans asked at once")
+    p.add_argument("--extraction-passes", type=int, default=2)
+    p.add_argument("--max-workers", type=int, default=0, help="tasks that ask; 0: as many as shuffle partitions")
     p.add_argument("--prompt", action="append", default=[], metavar="MODE=FILE", help="prompt of an extraction mode")
     p.add_argument("--dictionary", help="quality dictionary CSV")
     p.add_argument("--schema", help="JSON schema of quality records; none: no validation")
@@ -262,6 +266,10 @@ def _inputs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return tables.prefer_trimmed(records, tables.json_records(spark, a.trimmed, schemas.TRIMMED_RECORD_DDL))
 
 
+def _chunking(a: argparse.Namespace) -> extraction.Chunking:
+    return extraction.Chunking(a.max_char_buffer, a.batch_length, a.extraction_passes, a.max_workers)
+
+
 def _step(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.command == "text":
         run_text(spark, a.files, a.out, provider(a.reader), provider(a.ocr) if a.ocr else None, a.pattern)
@@ -281,7 +289,7 @@ def _step(spark: SparkSession, a: argparse.Namespace) -> None:
         prompts = {m: tables.prompt_text(f, "") for m, f in _pairs(a.prompt).items()}
         one = a.include_individual != a.include_group
         _, statuses = run_extract(
-            _inputs(spark, a), provider(a.extractor), prompts, done, a.force, a.dry_run, one and a.include_individual, one and a.include_group, a.out, a.raw_out, a.model_id
+            _inputs(spark, a), provider(a.extractor), prompts, done, a.force, a.dry_run, one and a.include_individual, one and a.include_group, a.out, a.raw_out, a.model_id, _chunking(a)
         )
         print("Run summary:", sinks.finish(statuses))
     elif a.command == "quality":
@@ -292,7 +300,7 @@ def _step(spark: SparkSession, a: argparse.Namespace) -> None:
             return
         done = None if a.force else tables.json_records(spark, a.out, schemas.QUALITY_RECORD_DDL).select("paper_id")
         schema = tables.read_json_schema(a.schema) if a.schema else None
-        print("Run summary:", sinks.finish(run_quality(records, specs, provider(a.extractor), schema, a.publication_type, done, a.out, a.raw_out, a.model_id)))
+        print("Run summary:", sinks.finish(run_quality(records, specs, provider(a.extractor), schema, a.publication_type, done, a.out, a.raw_out, a.model_id, _chunking(a))))
 
 
 def _checkpoints(spark: SparkSession) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmill.config import DEFAULT, Config
 from leafmill.functions import fuzzy, text, values
-from leafmill.operators import acquisition, assessment, proceedings, quality, registry, screening, summaries, validation
+from leafmill.operators import acquisition, assessment, extraction, proceedings, quality, registry, screening, summaries, validation
 from leafmill.sources import sinks, tables
 from leafmill.streaming import manifest as manifest_stream
 
@@ -310,6 +310,17 @@ def q_pending_documents(spark, sf):
     return sinks.pending(docs, lab.where("quality = 1"), lab.where("toxic = 0"))
 
 
+#: Words that end a sentence: a find that no span cuts.
+WORD_RULE = extraction.RuleExtractor((("ending", r"(?<!\S)[A-Z][a-z]+\.(?!\S)"),))
+
+
+def q_chunked_extraction(spark, sf):
+    """Words that end a sentence, found span by span, with their offsets in the page-marked text."""
+    r = extraction.extract(_records(spark, sf), WORD_RULE, "")
+    chars = F.aggregate("extractions", F.lit(0).cast("bigint"), lambda a, e: a + e["char_end"] - e["char_start"])
+    return r.select("paper_id", "status", F.size("extractions").cast("bigint").alias("n"), chars.alias("n_chars"), F.md5(F.array_join(F.transform("extractions", lambda e: e["extraction_text"]), " ")).alias("found_md5"))
+
+
 def q_replaced_records(spark, sf):
     """A folder of all documents' records, after a second run over the labelled ones: good ones are replaced, the others vanish."""
     out = tables.scratch(spark, "records")
@@ -561,6 +572,9 @@ e as (select o_orderkey, list_filter([case when o_orderstatus not in ('F', 'O')
 select o_orderkey, len(e)::bigint as n_errors, case when len(e) > 0 then 'Schema validation failed: ' || array_to_string(e, '; ') end as error from e""",
         "content_hash": "select doc_id, sha256(text) as sha256 from documents",
         "run_status": "select status, count(*) as n from (select case when l.doc_id is not null then 'skipped' when trim(coalesce(d.text, '')) = '' then 'failed' else 'run' end as status from documents d left join (select distinct doc_id from labels) l using (doc_id)) group by status",
+    "chunked_extraction": r"""select paper_id, case when blank then 'failed' else 'processed' end as status, len(e)::bigint as n, coalesce(list_sum(list_transform(e, lambda x: length(x))), 0)::bigint as n_chars, md5(array_to_string(e, ' ')) as found_md5
+  from (select doc_id::varchar as paper_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' as blank,
+    list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: regexp_full_match(x, '[A-Z][a-z]+[.]')) as e from documents)""",
     "replaced_records": """select d.doc_id::varchar as paper_id, md5(coalesce(d.text, '')) as text_md5, l.toxic::int as toxic from documents d left join labels l using (doc_id) where l.quality is distinct from 0""",
     "pending_documents": "select doc_id::varchar as paper_id from documents where doc_id not in (select a.doc_id from labels a where quality = 1 intersect select doc_id from labels where toxic = 0)",
         "cascade_match": rf"""with a as (select p_partkey as id, case when p_partkey % 2 = 0 then 'd' || p_partkey else '' end as doi, {_norm("p_name || ' ' || p_partkey")} as t from part),

@@ -21,7 +21,7 @@ TRIMMED_RECORD_DDL = (
     " title string, authors string, matched_block_code string, matched_block_title string, match_score double, title_score double, author_score double,"
     f" start_page_index int, end_page_index int, original_n_pages int, n_pages int, page_char_counts array<int>, trimmed_at_utc string, {PAGES}"
 )
-EXTRACTION = "struct<extraction_class string, extraction_text string, alignment_status string>"
+EXTRACTION = "struct<extraction_class: string, extraction_text: string, alignment_status: string, char_start: int, char_end: int>"
 _PROVENANCE = "paper_id string, source_filename string, source_sha256 string, source_text_json_path string, used_trimmed_text boolean, model_id string, generated_at_utc string"
 _RAW_MODE = f"struct<extraction_count int, extractions array<{EXTRACTION}>>"
 _SUMMARY_MODE = "struct<section_summaries map<string,string>, overall_summary string, extraction_count int>"

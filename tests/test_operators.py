@@ -155,8 +155,9 @@ def test_each_text_meets_the_extractor_once(spark, tmp_path):
         return [{"extraction_class": "group_design", "extraction_text": text, "alignment_status": None}]
 
     records = spark.createDataFrame([("1", [(0, "one")]), ("2", [(0, "two")])], PAGES)
-    told, status = pipelines.run_extract(records, counted, {}, group_only=True)
-    assert told.count() == 2 and status.count() == 2 and len(list(calls.iterdir())) == 2
+    for n, passes in ((2, 1), (6, 2)):
+        told, status = pipelines.run_extract(records, counted, {}, group_only=True, chunking=extraction.Chunking(passes=passes))
+        assert told.count() == 2 and status.count() == 2 and len(list(calls.iterdir())) == n
 
 
 def test_quality_records(spark):
