@@ -91,31 +91,61 @@ def proceedings_rule(n_pages: Column, starts: Column, titles: Column, authors: C
 
 
 def block_lines(classified: DataFrame) -> DataFrame:
-    """Lines with block_no (from 1 for each volume; lines before the first start are dropped), idx in the volume and rn in the block."""
-    order = [c for c in ("page_pos", "page_index", "line_index") if c in classified.columns]
-    w = Window.partitionBy("paper_id").orderBy(*order)
-    numbered = classified.withColumn("block_no", F.sum(F.col("is_start").cast("int")).over(w)).withColumn("idx", F.row_number().over(w) - 1).where("block_no > 0")
-    return numbered.withColumn("rn", F.row_number().over(Window.partitionBy("paper_id", "block_no").orderBy("idx")))
+    """Lines with block_no (from 1 for each volume; lines before the first start are dropped), idx in the volume and rn in the block.
+
+    Numbers come from a scan of two levels: lines are numbered within their page, the pages of a volume, a row each, carry what went
+    before them (lines, starts and the last start), and both are added. No window takes the lines of a whole volume.
+    """
+    page = [c for c in ("page_pos", "page_index") if c in classified.columns]
+    within = Window.partitionBy("paper_id", *page).orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
+    lines = (
+        classified.withColumn("_line", F.row_number().over(Window.partitionBy("paper_id", *page).orderBy("line_index")))
+        .withColumn("_starts", F.sum(F.col("is_start").cast("int")).over(within))
+        .withColumn("_own", F.max(F.when(F.col("is_start"), F.col("_line"))).over(within))
+    )
+    pages = lines.groupBy("paper_id", *page).agg(F.max("_line").alias("_lines"), F.max("_starts").alias("_all"), F.max("_own").alias("_last"))
+    before = Window.partitionBy("paper_id").orderBy(*page).rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.withColumn("_line0", F.coalesce(F.sum("_lines").over(before), F.lit(0))).withColumn("_block0", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    pages = pages.withColumn("_open", F.max(F.col("_line0") + F.col("_last")).over(before)).select("paper_id", *page, "_line0", "_block0", "_open")
+    numbered = lines.join(pages, ["paper_id", *page]).withColumn("block_no", F.col("_block0") + F.col("_starts")).where("block_no > 0")
+    numbered = numbered.withColumn("idx", F.col("_line0") + F.col("_line") - 1)
+    numbered = numbered.withColumn("rn", (F.col("idx") + 2 - F.coalesce(F.col("_line0") + F.col("_own"), F.col("_open"))).cast("int"))
+    return numbered.select(*classified.columns, "block_no", "idx", "rn")
+
+
+#: Lines of a block that make its preview, and its title at most.
+PREVIEW_LINES, TITLE_LINES = 12, 5
 
 
 def blocks(numbered: DataFrame) -> DataFrame:
-    """One row a block: code, title, preview and extents. The title goes on for up to 4 lines, until another kind of line."""
-    stop = F.when(F.col("rn") > 1, F.col("is_start") | F.col("is_author") | F.col("is_institution") | F.col("is_footer")).otherwise(F.lit(False))
-    w = Window.partitionBy("paper_id", "block_no").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    marked = numbered.withColumn("_stopped", F.max(stop.cast("int")).over(w))
+    """One row a block: code, title, preview and extents. The title goes on for up to 4 lines, until another kind of line.
+
+    Only a block's first lines are collected; its extents are partial minima and maxima.
+    """
+    stop = (F.col("rn") > 1) & (F.col("is_start") | F.col("is_author") | F.col("is_institution") | F.col("is_footer"))
     own = F.when(F.col("rn") == 1, strip(F.regexp_extract("text", ABSTRACT_START, 2))).otherwise(F.col("text"))
-    title = F.when((F.col("rn") <= 5) & (F.col("_stopped") == 0), F.struct("rn", own.alias("t")))
-    shown = F.when((F.col("rn") <= 12) & ~F.col("is_footer"), F.struct("rn", F.col("text").alias("t")))
-    text = lambda c: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), lambda x: x != ""), " ")
-    return marked.groupBy("paper_id", "block_no").agg(
-        F.max(F.when(F.col("rn") == 1, F.regexp_extract("text", ABSTRACT_START, 1))).alias("code"),
-        text(title).alias("title_text"),
-        text(shown).alias("preview_text"),
+    head = F.when(F.col("rn") <= PREVIEW_LINES, F.struct("rn", stop.alias("stop"), own.alias("own"), "text", F.col("is_footer").alias("footer")))
+    told = numbered.groupBy("paper_id", "block_no").agg(
+        F.array_sort(F.collect_list(head)).alias("_head"),
         F.min("idx").alias("start_index"),
         (F.max("idx") + 1).alias("end_index"),
         F.min_by("page_index", "idx").alias("start_page_index"),
         F.max_by("page_index", "idx").alias("end_page_index"),
     )
+    told = told.withColumn("_stop", F.coalesce(F.array_min(F.transform(F.filter("_head", lambda x: x["stop"]), lambda x: x["rn"])), F.lit(TITLE_LINES + 1)))
+    title = F.filter("_head", lambda x: (x["rn"] <= TITLE_LINES) & (x["rn"] < F.col("_stop")))
+    joined = lambda lines, field: F.array_join(F.filter(F.transform(lines, lambda x: x[field]), lambda x: x != ""), " ")
+    return told.select(
+        "paper_id",
+        "block_no",
+        F.regexp_extract(F.get("_head", F.lit(0))["text"], ABSTRACT_START, 1).alias("code"),
+        joined(title, "own").alias("title_text"),
+        joined(F.filter("_head", lambda x: ~x["footer"]), "text").alias("preview_text"),
+        "start_index",
+        "end_index",
+        "start_page_index",
+        "end_page_index",
+    )
 
 
 _HELPERS = ("_ref", "_own", "_names", "_overlap", "_ratio", "_ref_title", "_ref_authors")

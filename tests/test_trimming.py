@@ -1,5 +1,8 @@
 """The trimming queries row by row against the standard library, from blocks that test_queries.py compares with SQL."""
 
+import random
+import re
+
 import plain
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +96,30 @@ def test_long_integers(spark):
     v = rows.select(values.normalise_value(F.col("raw"), F.col("k"), F.array().cast("array<string>")).alias("v")).select("v.*").collect()
     assert [(r["s"], r["i"]) for r in v] == [(digits, None), (digits, None), (None, -12)]
     assert DEFAULT.thresholds.title_weight == 0.75
+
+
+def test_segmentation_scans_pages(spark):
+    """Blocks over pages, pages without starts or lines, page indexes that repeat; no window takes the lines of a volume."""
+    r = random.Random(4)
+    line = lambda k: r.choice([f"{100 + k}. Title of {k}", "Smith J, MD", "more words of a title here", "University of X", "plain body", "", "  "])
+    volumes = {str(v): [(r.choice((i, i, max(0, i - 1))), "\n".join(line(100 * v + 7 * i + k) for k in range(r.randrange(0, 9)))) for i in range(30)] for v in range(4)}
+    df = spark.createDataFrame(list(volumes.items()), "paper_id string, pages array<struct<page_index int, text string>>")
+    lines = proceedings.classify(proceedings.flatten_lines(df))
+    want = {}
+    for v, pages in volumes.items():
+        block = rn = idx = 0
+        for pos, (_, text) in enumerate(pages):
+            for k, raw in enumerate(text.split("\n")):
+                t = " ".join(raw.split())
+                if not t:
+                    continue
+                start = t[:1].isdigit()
+                block, rn = (block + 1, 1) if start else (block, rn + 1)
+                if block:
+                    want[v, pos, k] = (block, idx, rn)
+                idx += 1
+    numbered = proceedings.block_lines(lines)
+    assert {(x["paper_id"], x["page_pos"], x["line_index"]): (x["block_no"], x["idx"], x["rn"]) for x in numbered.collect()} == want
+    plan = proceedings.blocks(numbered)._jdf.queryExecution().optimizedPlan().toString()
+    specs = [re.search(r", \[([^\[\]]*)\], \[([^\[\]]*)\]$", w).groups() for w in plan.split("\n") if "Window [" in w]
+    assert len(specs) >= 4 and all("page_pos" in by if "line_index" in order or "_line" in order else "page_pos" in order for by, order in specs)
