@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.config import DEFAULT, Thresholds
-from leafmill.functions.text import normalize_text, strip, token_set
+from leafmill.functions.text import let, normalize_text, strip, token_set
 
 
 @F.pandas_udf(T.DoubleType())
@@ -64,13 +64,13 @@ def surnames(authors: Column, most: int = DEFAULT.thresholds.surnames) -> Column
 
 def score_authors(names: Column, block_text: Column) -> Column:
     """Share of the surnames that stand in the block as a substring, or with all their tokens of 3 letters or more."""
-    text, tokens = normalize_text(block_text), token_set(block_text, 3)
-
-    def found(n: Column) -> Column:
+    def found(n: Column, text: Column, tokens: Column) -> Column:
         own = F.filter(F.split(n, " "), lambda w: F.length(w) >= 3)
         return F.contains(text, n) | ((F.size(own) > 0) & (F.size(F.array_except(own, tokens)) == 0))
 
-    return F.when(F.size(names) > 0, F.size(F.filter(names, found)) / F.size(names)).otherwise(F.lit(0.0))
+    # the block is normalised once, not once for each surname
+    hits = let(normalize_text(block_text), lambda text: let(token_set(text, 3, normalized=True), lambda tokens: F.size(F.filter(names, lambda n: found(n, text, tokens)))))
+    return F.when(F.size(names) > 0, hits / F.size(names)).otherwise(F.lit(0.0))
 
 
 def match_score(title: Column, author: Column, t: Thresholds = DEFAULT.thresholds) -> Column:

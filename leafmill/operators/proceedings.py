@@ -61,8 +61,8 @@ def classify(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
         .withColumn("is_institution", is_institution_like(F.col("_norm"), config))
         .withColumn("is_footer", is_footer_like(F.col("_norm"), config))
     )
-    parts = F.split("text", " ")
-    n, alpha = F.size(parts), F.size(F.filter(parts, lambda w: w.rlike("[A-Za-z]")))
+    n = F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1
+    alpha = F.regexp_count("text", F.lit("(?<![^ ])[^ A-Za-z]*+[A-Za-z]"))  # words with a letter; a match begins at a word's start only
     other = F.col("is_start") | F.col("is_author") | F.col("is_institution") | F.col("is_footer")
     return told.withColumn("is_title", ~other & n.between(4, 24) & (alpha >= F.greatest(F.lit(3), n - 2))).drop("_norm")
 
@@ -151,9 +151,14 @@ def blocks(numbered: DataFrame) -> DataFrame:
 _HELPERS = ("_ref", "_own", "_names", "_overlap", "_ratio", "_ref_title", "_ref_authors")
 
 
+def _dealt(b: DataFrame) -> DataFrame:
+    """Blocks over all tasks: scoring is long for its bytes, so neither a volume nor what looks small is left to one task."""
+    return b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), "paper_id", "block_no")
+
+
 def _with_reference(found: DataFrame, references: DataFrame) -> DataFrame:
     """Blocks with the reference of their volume and what of the scores needs no sequence ratio."""
-    b = found.join(references.select("paper_id", F.col("title").alias("_ref_title"), F.col("authors").alias("_ref_authors")), "paper_id", "left")
+    b = _dealt(found).join(references.select("paper_id", F.col("title").alias("_ref_title"), F.col("authors").alias("_ref_authors")), "paper_id", "left")
     b = b.withColumn("_ref", normalize_text(F.col("_ref_title"))).withColumn("_own", normalize_text(F.col("title_text"))).withColumn("_names", surnames(F.col("_ref_authors")))
     return b.withColumn("author_score", score_authors(F.col("_names"), F.col("preview_text"))).withColumn("_overlap", token_overlap(F.col("_ref"), F.col("_own")))
 
@@ -191,7 +196,7 @@ def best_match(found: DataFrame, references: DataFrame) -> DataFrame:
     wanted = (F.col("_reached") - (1 - t) * F.col("author_score")) / t
     least = F.least(wanted, (wanted - 0.35 * F.col("_overlap")) / 0.65) - 1e-9
     again = (F.col("_rank") > 1) & (F.col("_most") >= F.col("_reached") - 1e-9)
-    b = b.withColumn("_later", sequence_ratio_from(F.when(again, F.col("_ref")), F.col("_own"), least))
+    b = _dealt(b).withColumn("_later", sequence_ratio_from(F.when(again, F.col("_ref")), F.col("_own"), least))
     b = b.withColumn("title_score", _title(F.when(F.col("_rank") == 1, F.col("_first")).otherwise(F.col("_later"))))
     scored = b.withColumn("match_score", match_score(F.col("title_score"), F.col("author_score")))
     return best_blocks(scored.drop(*_HELPERS, "_most", "_rank", "_first", "_reached", "_later"))
