@@ -270,8 +270,23 @@ def q_unmatched_extractions(spark, sf):
     return assessment.unmatched(_papers(spark, sf), _extractions(spark, sf), _specs(spark)).select("paper_id", "pos", "extraction_class")
 
 
+def _part_specs(spark, sf):
+    """A dictionary with a field for each part, by brand; sizes of 50 have a blank type, which the reader drops, and cells have blanks around them."""
+    size, pad = F.col("p_size"), F.lit("  ")
+    kinds = F.array(*[F.lit(i) for i in INFERRED])
+    accepted = F.when(size % 4 == 0, "NA; none").when(size % 4 == 1, "poor;fair ; good;").when(size % 4 == 2, "").otherwise(" ; x; ")
+    return tables.field_specs(_t(spark, sf, "part").select(
+        F.col("p_partkey").alias("ord"), F.when(size != 50, F.concat(pad, "p_brand", pad)).otherwise(pad).alias("publication_type"), F.concat("p_name", F.lit(" "), "p_partkey", pad).alias("field"), F.col("p_type").alias("section"),
+        F.when(size % 3 != 0, F.concat(F.lit("Is it "), "p_name", F.lit("?"))).alias("criterion_text"), F.concat(F.lit("Size "), size).alias("entry_guidance"), F.get(kinds, size % len(INFERRED)).alias("inferred_type"), accepted.alias("accepted"),
+    ))
+
+
+def q_field_dictionary(spark, sf):
+    return _part_specs(spark, sf).withColumn("accepted", F.array_join("accepted", "|"))
+
+
 def q_quality_prompt(spark, sf):
-    return assessment.quality_prompts(_specs(spark))
+    return assessment.quality_prompts(_part_specs(spark, sf))
 
 
 ORDER_SCHEMA = {
@@ -294,6 +309,21 @@ def q_schema_errors(spark, sf):
     return o.select("o_orderkey", F.size(e).cast("bigint").alias("n_errors"), validation.error_text(e).alias("error"))
 
 
+ITEMS_SCHEMA = {
+    "type": "object",
+    "properties": {"items": {"type": "array", "items": {"type": "object", "required": ["n"], "properties": {"flag": {"enum": ["N", "R"]}, "quantity": {"type": "integer", "maximum": 45}}}}},
+}
+
+
+def q_nested_schema_errors(spark, sf):
+    """Each order with its items as one JSON text."""
+    item = F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("long").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    items = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    texts = _t(spark, sf, "orders").select("o_orderkey").join(items, "o_orderkey", "left").select("o_orderkey", F.to_json(F.struct("o_orderkey", "items")).alias("j"))
+    e = validation.nested_errors(texts, "j", ITEMS_SCHEMA)
+    return e.select("o_orderkey", F.size("errors").cast("bigint").alias("n_errors"), F.md5(F.array_join("errors", "; ")).alias("errors_md5"))
+
+
 def q_content_hash(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
@@ -360,7 +390,7 @@ def q_reference_cards(spark, sf):
 
 
 def q_few_shot_examples(spark, sf):
-    e = assessment.few_shot_examples(_specs(spark))
+    e = assessment.few_shot_examples(_part_specs(spark, sf))
     return e.select("publication_type", F.col("extractions")[0]["extraction_class"].alias("first_field"), F.col("extractions")[1]["extraction_class"].alias("second_field"))
 
 
@@ -418,6 +448,9 @@ blocks as (select paper_id, block_no::bigint as block_no, max(case when rn = 1 t
   min(idx)::bigint as start_index, (max(idx) + 1)::bigint as end_index, min_by(page_index, idx) as start_page_index, max_by(page_index, idx) as end_page_index
   from b2 group by all)"""
 )
+_PART_SPECS = """specs as (select p_partkey as ord, p_brand as publication_type, p_name || ' ' || p_partkey as field, p_type as section, case when p_size % 3 <> 0 then 'Is it ' || p_name || '?' else '' end as criterion,
+  'Size ' || p_size as guidance, ['binary_ordinal', 'categorical', 'integer', 'integer_or_string_id', 'string', 'other'][p_size % 6 + 1] as inferred,
+  case p_size % 4 when 0 then ['NA', 'none'] when 1 then ['poor', 'fair', 'good'] when 2 then [] else ['x'] end as accepted from part where p_size <> 50)"""
 _EXTRACTIONS = """e0 as (select conv_id::varchar as paper_id, turn as pos, role as cls, trim(text) as txt from conversations),
 e as (select paper_id, cls, txt, min(pos) as pos from e0 where txt <> '' group by all),
 s as (select paper_id, cls, list(txt order by pos) as snippets from e group by all)"""
@@ -562,7 +595,7 @@ x as (select o_orderkey, raw, unnest({list(INFERRED)}) as inferred, ['low', 'hig
         "structured_record": f"with {_VALUES} select paper_id, field, md5(coalesce(vi::varchar, vt)) as value_md5, vi is not null as is_int, least(3, coalesce(len(snippets), 0))::bigint as n_evidence, snippets is null as missing from vals",
         "quality_records": f"with {_VALUES} select paper_id, publication_type, string_agg(field, ',' order by ord) as field_order, coalesce(string_agg(field, ',' order by ord) filter (snippets is null), '') as missing_fields, md5(string_agg(coalesce(vi::varchar, vt), '|' order by ord)) as values_md5 from vals group by all",
         "unmatched_extractions": f"with {_SPECS} select conv_id::varchar as paper_id, turn as pos, role as extraction_class from conversations c where not exists (select 1 from specs where publication_type = case when conv_id % 2 = 0 then 'even' else 'odd' end and field = c.role)",
-        "quality_prompt": f"""with {_SPECS}, b as (select publication_type, string_agg('- ' || field || ' | type: ' || inferred || ' | accepted: ' || case when len(accepted) > 0 then array_to_string(accepted, ', ') else 'as reported' end || ' | criterion: ' || case when criterion <> '' then criterion else guidance end, chr(10) order by ord) as f from specs group by publication_type)
+        "quality_prompt": f"""with {_PART_SPECS}, b as (select publication_type, string_agg('- ' || field || ' | type: ' || inferred || ' | accepted: ' || case when len(accepted) > 0 then array_to_string(accepted, ', ') else 'as reported' end || ' | criterion: ' || case when criterion <> '' then criterion else guidance end, chr(10) order by ord) as f from specs group by publication_type)
             select publication_type, replace(replace('{assessment.QUALITY_PROMPT.replace("'", "''")}', '{{publication_type}}', publication_type), '{{field_block}}', f) as prompt from b""",
         "schema_errors": r"""with o as (select o_orderkey, o_orderstatus, trunc(o_totalprice)::bigint as p, o_orderpriority as pr, o_custkey as c from orders),
 e as (select o_orderkey, list_filter([case when o_orderstatus not in ('F', 'O') then '$.o_orderstatus: value ''' || o_orderstatus || ''' not in enum [''F'', ''O'']' end,
@@ -572,11 +605,16 @@ e as (select o_orderkey, list_filter([case when o_orderstatus not in ('F', 'O')
 select o_orderkey, len(e)::bigint as n_errors, case when len(e) > 0 then 'Schema validation failed: ' || array_to_string(e, '; ') end as error from e""",
         "content_hash": "select doc_id, sha256(text) as sha256 from documents",
         "run_status": "select status, count(*) as n from (select case when l.doc_id is not null then 'skipped' when trim(coalesce(d.text, '')) = '' then 'failed' else 'run' end as status from documents d left join (select distinct doc_id from labels) l using (doc_id)) group by status",
-    "chunked_extraction": r"""select paper_id, case when blank then 'failed' else 'processed' end as status, len(e)::bigint as n, coalesce(list_sum(list_transform(e, lambda x: length(x))), 0)::bigint as n_chars, md5(array_to_string(e, ' ')) as found_md5
+        "field_dictionary": f"with {_PART_SPECS} select ord, publication_type, field, section, criterion as criterion_text, guidance as entry_guidance, inferred as inferred_type, array_to_string(accepted, '|') as accepted from specs",
+        "nested_schema_errors": """with i as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_returnflag) - 1 as i, l_quantity::bigint as q, l_returnflag as f from lineitem),
+e as (select l_orderkey, i, 1 as k, '$.items[' || i || '].quantity: value ' || q || ' > maximum 45' as m from i where q > 45
+  union all select l_orderkey, i, 2, '$.items[' || i || '].flag: value ''' || f || ''' not in enum [''N'', ''R'']' from i where f not in ('N', 'R'))
+select o_orderkey, count(m) as n_errors, md5(coalesce(string_agg(m, '; ' order by i, k), '')) as errors_md5 from orders left join e on l_orderkey = o_orderkey group by o_orderkey""",
+        "chunked_extraction": r"""select paper_id, case when blank then 'failed' else 'processed' end as status, len(e)::bigint as n, coalesce(list_sum(list_transform(e, lambda x: length(x))), 0)::bigint as n_chars, md5(array_to_string(e, ' ')) as found_md5
   from (select doc_id::varchar as paper_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' as blank,
     list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: regexp_full_match(x, '[A-Z][a-z]+[.]')) as e from documents)""",
-    "replaced_records": """select d.doc_id::varchar as paper_id, md5(coalesce(d.text, '')) as text_md5, l.toxic::int as toxic from documents d left join labels l using (doc_id) where l.quality is distinct from 0""",
-    "pending_documents": "select doc_id::varchar as paper_id from documents where doc_id not in (select a.doc_id from labels a where quality = 1 intersect select doc_id from labels where toxic = 0)",
+        "replaced_records": """select d.doc_id::varchar as paper_id, md5(coalesce(d.text, '')) as text_md5, l.toxic::int as toxic from documents d left join labels l using (doc_id) where l.quality is distinct from 0""",
+        "pending_documents": "select doc_id::varchar as paper_id from documents where doc_id not in (select a.doc_id from labels a where quality = 1 intersect select doc_id from labels where toxic = 0)",
         "cascade_match": rf"""with a as (select p_partkey as id, case when p_partkey % 2 = 0 then 'd' || p_partkey else '' end as doi, {_norm("p_name || ' ' || p_partkey")} as t from part),
 b as (select p_partkey + 1000000 as id, case when p_partkey % 4 = 0 and p_partkey % 3 <> 0 then 'd' || p_partkey else '' end as doi, case when p_partkey % 3 <> 0 then {_norm("p_name || ' ' || p_partkey")} else '' end as t from part),
 d as (select a.id as left_id, min(b.id) as right_id from a join b on a.doi = b.doi and a.doi <> '' group by a.id),
@@ -596,7 +634,7 @@ k as (select *, regexp_replace(trim(regexp_replace(raw, '[<>:"/\\|?*]', '_', 'g'
 select id, pos, text, href, url, case when lower(clean) like '%.pdf' then clean else clean || '.pdf' end as filename, regexp_matches(text, '(?i)\.pdf\b') or regexp_matches(href, '(?i)(\.pdf\b|application%2fpdf)') as is_pdf from k""",
         "reference_cards": r"""with c as (select doc_id, (doc_id % 700 + 10)::varchar as cid, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '' and not regexp_matches(x, '(?i)^#\s*\d+|^view full text$|\.pdf$|^\d{4}$')) as l from documents)
 select cid as covidence_id, md5(min_by(coalesce(substr(l[1], 1, 240), ''), doc_id)) as label_md5 from c group by cid""",
-        "few_shot_examples": f"""with {_SPECS}, f as (select publication_type, min_by(field, ord) filter (inferred = 'binary_ordinal') as b, min_by(field, ord) filter (inferred = 'categorical') as c, min_by(field, ord) filter (inferred = 'string') as s from specs group by publication_type)
+        "few_shot_examples": f"""with {_PART_SPECS}, f as (select publication_type, min_by(field, ord) filter (inferred = 'binary_ordinal') as b, min_by(field, ord) filter (inferred = 'categorical') as c, min_by(field, ord) filter (inferred = 'string') as s from specs group by publication_type)
             select publication_type, b as first_field, c as second_field from f where b is not null and c is not null union all select publication_type, b, s from f where b is not null and s is not null""",
         "id_order": "select distinct case when user_id % 3 = 0 then 'u' || user_id else user_id::varchar end as id from events",
     }
