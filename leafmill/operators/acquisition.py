@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import strip
+from leafmill.functions.text import strip, utc_iso
+from leafmill.schemas import MANIFEST_DDL
+
+#: id, label -> what is known of the file: status and any of the manifest's other fields
+Fetcher = Callable[[str, str], dict]
 
 LINK_TEXT = r"(?i)\.pdf\b"
 LINK_HREF = r"(?i)(\.pdf\b|application%2fpdf)"
@@ -75,3 +82,24 @@ def skipped_rows(cards_df: DataFrame, present: DataFrame) -> DataFrame:
     """Manifest rows of cards whose file is already there."""
     first = present.select(F.col("id").alias("covidence_id"), F.element_at("paths", 1).alias("saved_path"))
     return cards_df.join(first, "covidence_id").select("covidence_id", "label", F.lit("skipped_existing").alias("status"), "saved_path", F.substring_index("saved_path", "/", -1).alias("source_filename"), F.lit("").alias("download_url"), F.lit("").alias("error"))
+
+
+def attempts(cards_df: DataFrame, fetcher: Fetcher) -> DataFrame:
+    """A manifest row for each of (covidence_id, label), of a table or a stream. An exception of the fetcher is a failed row with its text."""
+    fields = ("status", "saved_path", "source_filename", "download_url", "method", "error")
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            rows = []
+            for i, label in zip(pdf["covidence_id"], pdf["label"], strict=True):
+                begun = pd.Timestamp.now("UTC")
+                try:
+                    told = fetcher(i, label)
+                except Exception as exc:  # noqa: BLE001  an attempt's error is its result
+                    told = {"status": "failed", "error": str(exc) or type(exc).__name__}
+                rows.append((i, label, *[told.get(f) if f == "method" else told.get(f, "") for f in fields], begun, pd.Timestamp.now("UTC")))
+            yield pd.DataFrame(rows, columns=["covidence_id", "label", *fields, "started", "finished"])
+
+    out = cards_df.select("covidence_id", "label").mapInPandas(run, "covidence_id string, label string, " + ", ".join(f"{f} string" for f in fields) + ", started timestamp, finished timestamp")
+    out = out.withColumn("started_at_utc", utc_iso(F.col("started"))).withColumn("finished_at_utc", utc_iso(F.col("finished")))
+    return out.select(*[c.split()[0] for c in MANIFEST_DDL.split(", ")])

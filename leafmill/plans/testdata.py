@@ -324,6 +324,50 @@ def q_nested_schema_errors(spark, sf):
     return e.select("o_orderkey", F.size("errors").cast("bigint").alias("n_errors"), F.md5(F.array_join("errors", "; ")).alias("errors_md5"))
 
 
+def q_preferred_records(spark, sf):
+    """Documents' records, and the first line alone of those with a good label, as if they had been trimmed."""
+    r = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("_stem"), "text", F.col("n_chars").cast("int").alias("n_pages"))
+    good = _t(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("_stem"))
+    trimmed = r.join(good, "_stem").select("_stem", F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("text"), F.lit(None).cast("int").alias("n_pages"))
+    return tables.prefer_trimmed(r, trimmed).select(F.col("_stem").alias("paper_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "n_pages", "used_trimmed_text")
+
+
+def q_ris_records(spark, sf):
+    """A tagged bibliographic file of all documents, written and read again."""
+    out = tables.scratch(spark, "ris")
+    tag = lambda t, c: F.concat(F.lit(f"{t}  - "), c)
+    record = F.concat_ws("\n", F.lit("TY  - JOUR"), tag("ID", F.col("doc_id").cast("string")), tag("TI", F.md5(F.coalesce("text", F.lit("")))), tag("AU", F.coalesce("lang", F.lit(""))), tag("AU", F.coalesce("source", F.lit(""))), F.lit("ER  - "))
+    _docs(spark, sf).select(record.alias("value")).write.text(out)
+    tags = tables.read_ris(spark, out).select("tags")
+    return tags.select(F.col("tags")["ID"][0].alias("id"), F.col("tags")["TI"][0].alias("title"), F.array_join(F.col("tags")["AU"], "; ").alias("authors"))
+
+
+def q_event_log(spark, sf):
+    """Attempts appended in two runs, failed ones first; the latest of each id by time."""
+    out = tables.scratch(spark, "log")
+    e = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("status"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("finished_at"), "event_id")
+    for part in (F.col("status") == "error", F.col("status") != "error"):
+        sinks.append_events(e.where(part), out)
+    return manifest_stream.latest(spark.read.schema(e.schema).json(out), "id", ["finished_at", "event_id"])
+
+
+def q_registry_csv(spark, sf):
+    """All documents through the registry's CSV form: texts with quotes, commas, line breaks and blanks."""
+    out = tables.scratch(spark, "registry")
+    d = _docs(spark, sf).select(F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").cast("string").alias("paper_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sinks.write_registry(d, out, ["paper_id", "text", "source"])
+    back = tables.keyed_csv(spark, out, "paper_id")
+    return back.select("paper_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.coalesce("source", F.lit("")).alias("source"))
+
+
+def q_detected_types(spark, sf):
+    """Each document's type: from what its conversation's assistant turns name, else from its whole text, else an error."""
+    named = F.get(F.array(*[F.lit(t) for t in [*TYPES, "something else", ""]]), ((F.col("conv_id") * 3 + F.col("turn")) % 7).cast("int"))
+    found = _t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("paper_id"), F.col("turn").alias("pos"), F.when(F.col("role") == "assistant", "publication_type").otherwise("note").alias("extraction_class"), named.alias("extraction_text"))
+    texts = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("paper_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return assessment.detect_type(found, texts, TYPES).select("paper_id", "publication_type", "method", F.col("error").isNotNull().alias("failed"))
+
+
 def q_content_hash(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
@@ -610,6 +654,15 @@ select o_orderkey, len(e)::bigint as n_errors, case when len(e) > 0 then 'Schema
 e as (select l_orderkey, i, 1 as k, '$.items[' || i || '].quantity: value ' || q || ' > maximum 45' as m from i where q > 45
   union all select l_orderkey, i, 2, '$.items[' || i || '].flag: value ''' || f || ''' not in enum [''N'', ''R'']' from i where f not in ('N', 'R'))
 select o_orderkey, count(m) as n_errors, md5(coalesce(string_agg(m, '; ' order by i, k), '')) as errors_md5 from orders left join e on l_orderkey = o_orderkey group by o_orderkey""",
+        "preferred_records": """select d.doc_id::varchar as paper_id, md5(case when l.doc_id is not null then string_split(coalesce(text, ''), chr(10))[1] else coalesce(text, '') end) as text_md5, case when l.doc_id is null then n_chars::int end as n_pages, l.doc_id is not null as used_trimmed_text
+  from documents d left join (select doc_id from labels where quality = 1) l using (doc_id)""",
+        "ris_records": "select doc_id::varchar as id, md5(coalesce(text, '')) as title, coalesce(lang, '') || '; ' || coalesce(source, '') as authors from documents",
+        "event_log": "select user_id::varchar as id, arg_max(event_type, (ts, event_id)) as status, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as finished_at, arg_max(event_id, (ts, event_id)) as event_id from events group by user_id",
+        "registry_csv": "select doc_id::varchar as paper_id, md5(coalesce(text, '')) as text_md5, coalesce(source, '') as source from documents",
+        "detected_types": f"""with n as (select conv_id, turn, {[*TYPES, "something else", ""]}[(conv_id * 3 + turn) % 7 + 1] as text from conversations where role = 'assistant'),
+h as (select conv_id, arg_min(t, turn) as t from (select conv_id, turn, {sql_type} as t from n) where t is not null group by conv_id),
+d as (select doc_id, {sql_type} as own from (select doc_id, coalesce(text, '') as text from documents))
+select doc_id::varchar as paper_id, coalesce(h.t, own) as publication_type, 'auto_detected' as method, coalesce(h.t, own) is null as failed from d left join h on h.conv_id = d.doc_id""",
         "chunked_extraction": r"""select paper_id, case when blank then 'failed' else 'processed' end as status, len(e)::bigint as n, coalesce(list_sum(list_transform(e, lambda x: length(x))), 0)::bigint as n_chars, md5(array_to_string(e, ' ')) as found_md5
   from (select doc_id::varchar as paper_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' as blank,
     list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: regexp_full_match(x, '[A-Z][a-z]+[.]')) as e from documents)""",
