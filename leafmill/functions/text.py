@@ -44,11 +44,6 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value computed once however often `then` uses it, in lambdas too."""
-    return F.transform(F.array(value), then)[0]
-
-
 def collapse_space(c: Column) -> Column:
     """Runs of white space become one space; single spaces are passed over."""
     return F.trim(F.regexp_replace(c, rf"{SPACE}{{2,}}|[\t-\r\x1c-\x1f\x85\p{{Z}}&&[^ ]]", " "))
