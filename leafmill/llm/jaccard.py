@@ -45,7 +45,7 @@ BROADCAST_COUNTS = 100_000
 SLACK = 0.2
 MOST_LEFT_OUT = 2
 #: A shingle counts as frequent if it stands in one of FREQUENT distinct sets or more. With sets of 500 shingles in the mean that is true
-#: of FREQUENT * 500 shingles at most; the share rises with longer sets, so that TOLD shingles (4 MB) bound what is told to all tasks.
+#: of FREQUENT * 500 shingles at most; the share rises with longer sets, so that TOLD shingles (4 MB) bound what is told to all tasks (a set may be counted once for each task, so the list is cut there; it decides what is compared, never the result).
 FREQUENT, TOLD = 1000, 500_000
 #: Shingles that are counted at once before counts leave a task, and the least count that does.
 COUNTED, LEAST_COUNT = 1 << 20, 4
@@ -352,7 +352,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     if not total["classes"]:
         return told.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     least = max(LEAST_COUNT, total["classes"] / FREQUENT, total["elements"] / TOLD)
-    often = measured.where("e is not null").groupBy("e").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).select("e").toArrow()
+    often = measured.where("e is not null").groupBy("e").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).orderBy(F.desc("seen"), "e").limit(TOLD).select("e").toArrow()
     frequent = np.sort(often["e"].to_numpy().view(np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,27 +89,15 @@ def _read_cache(spark: SparkSession, cache: str) -> DataFrame | None:
     return spark.read.schema("digest binary, n_tokens long").parquet(cache)
 
 
-def count_tokens(df: DataFrame, tokenizer_path: str, cache: str, normalise: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, digest, n_tokens for every row of df; counts that the cache lacks are appended to it.
+def store_counts(keyed: DataFrame, tokenizer_path: str, cache: str, by_piece: bool) -> None:
+    """Encodes the texts of (digest, _text) whose digests the cache lacks, each once, and appends their counts.
 
-    The misses' texts are grouped by digest, partial minimum first, so that a hot text is shuffled once a task and
-    encoded once. A job that dies half way leaves the cache as it was or with whole files; a count that is stored twice
-    is the same number, and the lookup takes one.
+    Texts are grouped by digest, partial minimum first, so that a hot text is shuffled once a task and encoded once. A job that dies half
+    way leaves the cache as it was or with whole files; a count that is stored twice is the same number, and the lookup takes one.
     """
-    spark = df.sparkSession
-    version = tokenizer_version(tokenizer_path, normalise)
-    text = normalised(F.col(text_col), normalise)
-    keyed = df.select(
-        F.col(id_col).alias("doc_id"),
-        F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
-        F.unhex(F.sha2(F.concat(F.lit(version), text), 256)).alias("digest"),
-        text.alias("_text"),
-    )
-    rows = materialise(keyed.drop("_text"), "keyed")
     distinct = keyed.groupBy("digest").agg(F.min("_text").alias("_text"))
-    stored = _read_cache(spark, cache)
+    stored = _read_cache(keyed.sparkSession, cache)
     misses = distinct if stored is None else distinct.join(stored, "digest", "left_anti")
-    by_piece = normalise == "blank"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
@@ -120,6 +108,27 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache: str, normalise: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(counter.counts(texts), pa.int64())], ["digest", "n_tokens"])
 
     misses.select("digest", F.col("_text").cast("binary").alias("t")).mapInArrow(encode, "digest binary, n_tokens long").write.mode("append").parquet(cache)
+
+
+def count_tokens(df: DataFrame, tokenizer_path: str, cache: str, normalise: str = "none", id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> DataFrame:
+    """doc_id, n_bytes, digest, n_tokens for every row of df; counts that the cache lacks are appended to it.
+
+    df is taken in batches by a hash of the id, one after the other: what a batch repeats of earlier ones is found in the cache, not
+    encoded. Counts are looked up once, after the last batch.
+    """
+    spark = df.sparkSession
+    version = tokenizer_version(tokenizer_path, normalise)
+    text = normalised(F.col(text_col), normalise)
+    keyed = df.select(
+        F.col(id_col).alias("doc_id"),
+        F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
+        F.unhex(F.sha2(F.concat(F.lit(version), text), 256)).alias("digest"),
+        text.alias("_text"),
+        F.pmod(F.xxhash64(F.lit("batch"), F.col(id_col)), F.lit(batches)).alias("_batch"),
+    )
+    rows = materialise(keyed.drop("_text", "_batch"), "keyed")
+    for k in range(batches):
+        store_counts(keyed.where(F.col("_batch") == k) if batches > 1 else keyed, tokenizer_path, cache, normalise == "blank")
     counts = spark.read.schema("digest binary, n_tokens long").parquet(cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     copies = rows.groupBy("digest").count()
     often = max(HUB_LEAST, rows.count() // HUB_SHARE)
@@ -134,12 +143,16 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache: str, normalise: str
 
 #: Names a folder in which counts are kept for later runs; where it is unset, a run has its own cache.
 CACHE_CONF = "leafmill.tokens.cache"
+#: Tokenizers, by file name, that drop white space, so that texts may be normalised; others take texts as they are.
+NORMALISE = {"word_bpe_49k.json": "blank"}
+#: Batches of the registered query.
+BATCHES = 2
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, limit: int = 2048) -> DataFrame:
     import public_tokenizers
 
-    path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    path = str(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
     cache = spark.conf.get(CACHE_CONF, None) or f"{scratch_root(spark)}/token-cache-{uuid.uuid4().hex}"
-    counts = count_tokens(table(spark, sf_dir, "documents"), str(path), cache, "blank")
+    counts = count_tokens(table(spark, sf_dir, "documents"), path, cache, NORMALISE.get(path.rsplit("/", 1)[-1], "none"), batches=BATCHES)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -111,3 +111,13 @@ def test_sql_splits_at_every_blank(spark, tmp_path):
         duckdb.sql(f"copy (select 1 as x) to '{folder}/{t}.parquet'")
     assert_same(jaccard.op2_ngram_jaccard_join(spark, str(folder)), jaccard.OP2_SQL, str(folder))
     assert rows(jaccard.op2_ngram_jaccard_join(spark, str(folder)))[0] == (3, 0)
+
+
+def test_the_list_told_to_tasks_is_bounded(spark, monkeypatch):
+    """Many copies in many tasks: the driver gets no more shingles than TOLD, and the result stays the same."""
+    rows_ = [(k, prose(500 + k % 40, 60)) for k in range(4000)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(16)
+    want = rows(jaccard.near_components(df, 3, 90))
+    monkeypatch.setattr(jaccard, "TOLD", 50)
+    monkeypatch.setattr(jaccard, "LEAST_COUNT", 1)
+    assert rows(jaccard.near_components(df, 3, 90)) == want == brute.jaccard(rows_, 3, 90)

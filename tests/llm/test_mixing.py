@@ -54,3 +54,14 @@ def test_odd_and_empty(odd, empty):
     assert keys == sorted(keys)
     assert {r["_mix_copies"] for r in rows if r["doc_id"] == 8} in (set(), *({k} for k in range(1, 9)))
     assert mixing.mix(empty).count() == 0
+
+
+def test_many_sources_are_joined_by_a_shuffle(spark, docs, monkeypatch):
+    """Beyond the bound on broadcast sources the same copies come out, null sources among them."""
+    from pyspark.sql import functions as F
+
+    df = docs.withColumn("source", F.when(F.col("doc_id") % 9 != 0, F.col("source")))
+    rows = lambda: sorted((r["doc_id"], r["_mix_copy"], r["_mix_copies"], r["_mix_key"]) for r in mixing.replicate(df).collect())
+    want = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert rows() == want

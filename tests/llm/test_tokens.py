@@ -79,3 +79,27 @@ def test_query_with_a_warm_cache(spark, sf, tmp_path, monkeypatch):
     finally:
         spark.conf.unset(tokens.CACHE_CONF)
     assert got == sorted(map(tuple, registry.queries()["op7_token_counts"](spark, sf).collect()))
+
+
+def test_a_batch_finds_the_counts_of_earlier_ones(spark, sf, tmp_path, monkeypatch):
+    """Copies in a later batch are not encoded again; every batch adds only what no earlier one held."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    every, seen = docs.unionByName(docs.withColumn("doc_id", docs["doc_id"] + 10_000)), []
+    one = tokens.store_counts
+
+    def stored(keyed, path, cache, by_piece):
+        one(keyed, path, cache, by_piece)
+        seen.append((spark.read.parquet(cache).count(), keyed.select("digest").distinct().count()))
+
+    monkeypatch.setattr(tokens, "store_counts", stored)
+    got = tokens.count_tokens(every, WORD, f"file://{tmp_path}/cache", "blank", batches=2)
+    assert got.where("n_tokens is not null").count() == every.count()
+    (first, texts), (both, later) = seen
+    assert first == texts and both == docs.select("text").distinct().count() and both - first < later
+
+
+def test_other_tokenizers_take_texts_as_they_are(spark, sf, doc_rows):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.op7_token_counts(spark, sf, tokenizer=path).collect()}
+    assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in doc_rows}
