@@ -47,7 +47,7 @@ def replace_records(df: DataFrame, path: str, key: str = "paper_id", ids: DataFr
         if stale:
             old = spark.read.schema(df.schema).json(path).withColumn(BUCKET, bucket_of(F.col(key), buckets))
         else:
-            old = spark.read.schema(df.schema.add(BUCKET, "string") if BUCKET not in df.columns else df.schema).json(path).where(F.col(BUCKET).isin(touched))
+            old = spark.read.schema(fresh.drop("_old").schema).json(path).where(F.col(BUCKET).isin(touched))
         if vanish:
             old = old.join(ids, key, "left_anti")
             emptied = touched
