@@ -1,13 +1,13 @@
 """Op 5. Sharding by a hierarchical weighted hash tree, with DataFrame functions only.
 
 A node of weight W has a draw for each unit of its weight, -ln(u), u from a hash of the key, the region's name and the unit's
-number (a last part of a unit divides its draw by its size); the node's own draw is the least of these. A key goes to the
-region with the least draw, and the unit that won leads down: units belong to racks, and within them to shards, in order. So
-each level gets keys in proportion to weight, and a node whose weight stays keeps its draw: movement stays within the
-subtrees whose weights change. Racks and regions are filled one after the other; a new shard brings its region's last
-units, and wins only keys that go to it (law `key`), at every level and for any number of shards.
+number (a last part of a unit divides its draw by its size); the node's own draw is the least of these. A key descends: from
+the regions to the one with the least draw, from that one's racks to the one with the least, and so from that one's shards
+(`descend`). So each level gets keys in proportion to weight, and a node whose weight stays keeps its draw: movement stays
+within the subtrees whose weights change. Racks and regions are filled one after the other; a new shard brings its region's
+last units, and wins only keys that go to it (law `key`), at every level and for any number of shards.
 
-The tree is data: one expression walks its units, whatever their number.
+The tree is data: one expression walks its levels, whatever the number of nodes.
 
 Defined cases: a null key hashes as a null and has a place like any other; a null text has no bytes (size 1, crc 0); an
 empty text the same; rows that repeat a key go to the same shard and take slots of their own; an empty table gives an
@@ -16,6 +16,7 @@ empty result; further columns of the input, whatever their names, are left out.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,7 +74,7 @@ def units(tree: Tree) -> list[tuple[str, float, int]]:
 
 
 def draws(key: Column, tree: Tree) -> Column:
-    """array<struct<draw, shard>> of a key, one for each unit of the tree in order; the least tells the key's shard."""
+    """array<struct<draw, shard>> of a key, one for each unit of the tree in order."""
     found = units(tree)
     told = lambda values: F.split(F.lit(",".join(map(str, values))), ",")  # noqa: E731  one literal, however many units
     paths, sizes, shards = (told(c) for c in zip(*found, strict=True))
@@ -81,9 +82,48 @@ def draws(key: Column, tree: Tree) -> Column:
     return F.transform(paths, lambda p, i: F.struct((-F.log(uniform(key, p)) / F.get(sizes, i)).alias("draw"), F.get(shards, i).alias("shard")))
 
 
+#: A node: its first unit (from 1), how many it has, its name and its children; nodes without weight are left out.
+_SHARDS = "array<struct<first:int,units:int,shard:int>>"
+_RACKS = f"array<struct<first:int,units:int,name:string,children:{_SHARDS}>>"
+_REGIONS = f"array<struct<first:int,units:int,name:string,children:{_RACKS}>>"
+
+
+def nodes(tree: Tree) -> list[dict]:
+    """The tree with the units of each node: a region's are those of its racks, a rack's those of its shards."""
+
+    def node(children: list[dict], **named) -> list[dict]:
+        return [{"first": children[0]["first"], "units": sum(c["units"] for c in children), **named, "children": children}] if children else []
+
+    first, regions = 1, []
+    for region, racks in tree:
+        inner = []
+        for rack, shards in racks:
+            leaves = []
+            for shard, weight in shards:
+                n = math.ceil(weight)
+                leaves += [{"first": first, "units": n, "shard": shard}] if n else []
+                first += n
+            inner += node(leaves, name=rack)
+        regions += node(inner, name=region)
+    return regions
+
+
+def _pick(race: Column, children: Column) -> Column:
+    """The child with the least draw; a child's draw is the least of its units'."""
+    drawn = F.transform(children, lambda c: F.struct(F.array_min(F.slice(race, c["first"], c["units"]))["draw"].alias("draw"), c.alias("child")))
+    return F.array_min(drawn)["child"]
+
+
+def descend(race: Column, tree: Tree) -> Column:
+    """struct<region, rack, shard>: from a key's draws down the tree, a pick at each level among the children of the node picked before. Draws beyond the tree's units are not looked at."""
+    top = F.from_json(F.lit(json.dumps(nodes(tree))), _REGIONS)  # one literal
+    path = lambda g, k, s: F.struct(g["name"].alias("region"), k["name"].alias("rack"), s["shard"].alias("shard"))
+    return let(_pick(race, top), lambda g: let(_pick(race, g["children"]), lambda k: let(_pick(race, k["children"]), lambda s: path(g, k, s))))
+
+
 def shard_of(key: Column, tree: Tree) -> Column:
     """The shard of a key under a tree, an int."""
-    return F.array_min(draws(key, tree))["shard"]
+    return let(draws(key, tree), lambda race: descend(race, tree)["shard"])
 
 
 def _bucket(key: Column, buckets: int) -> Column:
@@ -98,6 +138,7 @@ def assign_shards(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text
     whatever the input, so it is broadcast.
     """
     tree = layout(n_shards) if tree is None else tree
+    grown = grow(tree)
     key = F.col(id_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.count()
@@ -107,7 +148,7 @@ def assign_shards(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
-        let(draws(key, grow(tree)), lambda d: F.struct(F.array_min(F.slice(d, 1, len(units(tree))))["shard"].alias("now"), F.array_min(d)["shard"].alias("grown"))).alias("_shards"),
+        let(draws(key, grown), lambda race: F.struct(descend(race, tree)["shard"].alias("now"), descend(race, grown)["shard"].alias("grown"))).alias("_shards"),
         _bucket(key, buckets).alias("_bucket"),
     )
     placed = placed.withColumns({"shard": F.col("_shards.now"), "grown_shard": F.col("_shards.grown")}).drop("_shards")  # a grown tree's new units come last

@@ -116,5 +116,23 @@ def test_tree_equals_brute_force(spark):
             assert r["s"] == descend(r["id"], tree)
 
 
+def test_a_key_descends_level_by_level(spark):
+    """At each level the child with the least draw among the children of the node before it, by draws of its own units only; no node without weight is entered."""
+    from pyspark.sql import functions as F
+
+    weighted = [("a", [("a/k", [(0, 1.0), (1, 2.5)]), ("a/e", [(7, 0.0)]), ("a/l", [(4, 0.5)])]), ("e", [("e/k", [(8, 0.0)])]), ("b", [("b/k", [(2, 4.0), (3, 0.0)])])]
+    for tree in (weighted, sharding.layout(8), sharding.layout(21)):
+        race = sharding.draws(F.col("id"), tree)
+        entered = set()
+        for r in spark.range(300).select(race.alias("race"), sharding.descend(race, tree).alias("p")).collect():
+            least = lambda shards, r=r: min((x["draw"] for x in r["race"] if x["shard"] in shards), default=float("inf"))
+            region = min(tree, key=lambda g: least({s for _, shards in g[1] for s, _ in shards}))
+            rack = min(region[1], key=lambda k: least({s for s, _ in k[1]}))
+            shard = min(rack[1], key=lambda s: least({s[0]}))[0]
+            assert (r["p"]["region"], r["p"]["rack"], r["p"]["shard"]) == (region[0], rack[0], shard)
+            entered |= {region[0], rack[0], shard}
+        assert entered == {x for g, racks in tree for k, shards in racks for s, w in shards if w for x in (g, k, s)}
+
+
 def test_query_equals_sql(spark, sf):
     assert_same(registry.queries()["op5_sharding"](spark, sf), registry.oracle_sql()["op5_sharding"], sf)
