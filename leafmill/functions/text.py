@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: What Python counts as white space, for Java's regular expressions.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The same, one by one.
+SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
@@ -41,7 +43,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))  # looks at the ends only, which a pattern for the right one doesn't
 
 
 def collapse_space(c: Column) -> Column:

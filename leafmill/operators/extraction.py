@@ -13,10 +13,11 @@ from dataclasses import dataclass
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import id_prefix, page_marked_text, strip, utc_iso
+from leafmill.functions.text import SPACE, id_prefix, page_marked_text, strip, utc_iso
 from leafmill.operators.quality import finish_record, ocr_decision
 from leafmill.schemas import EXTRACTION
 
@@ -186,6 +187,17 @@ def ask(extractor: Extractor, spans: list[tuple[str, str]]) -> list[list[dict] |
     return out
 
 
+_FIND = pa.struct([("extraction_class", pa.string()), ("extraction_text", pa.string()), ("alignment_status", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())])
+_SPANS = pa.schema([("paper_id", pa.string()), ("span", pa.int32()), ("start", pa.int32()), ("text", pa.string()), ("prompt", pa.string())])
+_ANSWERS = pa.schema([("paper_id", pa.string()), ("span", pa.int32()), ("error", pa.string()), ("found", pa.list_(pa.struct([("pass", pa.int32()), ("k", pa.int32()), ("e", _FIND)])))])
+#: Characters and rows of a batch of spans.
+_BATCH_CHARS, _BATCH_ROWS = 1 << 22, 5000
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def extract(records: DataFrame, extractor: Extractor, prompt: str | Column, dry_run: bool = False, chunking: Chunking = Chunking()) -> DataFrame:
     """paper_id, status (`processed`, `validated` in a dry run, `failed`), error, extractions of records with pages; a prompt for all or a column.
 
@@ -195,39 +207,48 @@ def extract(records: DataFrame, extractor: Extractor, prompt: str | Column, dry_
     are bounded by the document; nothing else meets in one task.
     """
     asked = F.lit(prompt) if isinstance(prompt, str) else prompt
-    texts = records.select("paper_id", page_marked_text(F.coalesce("pages", F.array().cast("array<struct<page_index:int,text:string>>"))).alias("text"), asked.alias("prompt"))
+    pages = F.coalesce("pages", F.array().cast("array<struct<page_index:int,text:string>>"))
+    blank = ~F.exists(pages, lambda p: F.coalesce(p["text"], F.lit("")).rlike(f"(?!{SPACE})(?s:.)"))  # ends at the first character shown; the page-marked text is made once
+    empties = records.select("paper_id", blank.alias("_empty"))
     if dry_run:
-        empty = F.col("text") == ""
-        return texts.select("paper_id", F.when(empty, "failed").otherwise("validated").alias("status"), F.when(empty, "no extractable text").alias("error"), F.array().cast(f"array<{EXTRACTION}>").alias("extractions"))
-
-    def cut(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for pid, text, asked in zip(pdf["paper_id"], pdf["text"], pdf["prompt"], strict=True):
-                spans = list(text_spans(text, chunking.max_chars)) if text else []
-                for lo in range(0, len(spans), 1000):
-                    part = spans[lo : lo + 1000]
-                    yield pd.DataFrame({"paper_id": pid, "span": range(lo, lo + len(part)), "start": [s for s, _ in part], "text": [text[s:e] for s, e in part], "prompt": asked})
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for lo in range(0, len(pdf), chunking.batch_length):
-                part = pdf.iloc[lo : lo + chunking.batch_length]
-                asked = list(zip(part["text"], part["prompt"], strict=True))
+        return empties.select("paper_id", F.when(F.col("_empty"), "failed").otherwise("validated").alias("status"), F.when(F.col("_empty"), "no extractable text").alias("error"), F.array().cast(f"array<{EXTRACTION}>").alias("extractions"))
+    texts = records.select(F.col("paper_id").cast("string").alias("paper_id"), page_marked_text(pages).alias("text"), asked.cast("string").alias("prompt"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
+        for batch in batches:
+            for pid, text, asked in zip(*(batch.column(c).to_pylist() for c in ("paper_id", "text", "prompt")), strict=True):
+                for n, (s, e) in enumerate(text_spans(text, chunking.max_chars) if text else ()):
+                    rows.append((pid, n, s, text[s:e], asked))
+                    chars += e - s + len(asked or "")
+                    if chars > _BATCH_CHARS or len(rows) >= _BATCH_ROWS:  # many short documents fill a batch, a long one several
+                        yield _batch(rows, _SPANS)
+                        rows, chars = [], 0
+        if rows:
+            yield _batch(rows, _SPANS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = list(zip(*(batch.column(c).to_pylist() for c in _SPANS.names), strict=True))
+            rows = []
+            for lo in range(0, len(told), chunking.batch_length):
+                part = told[lo : lo + chunking.batch_length]
+                asked = [(text, prompt) for _, _, _, text, prompt in part]
                 answers = [ask(extractor, asked) for _ in range(chunking.passes)]
-                rows = []
-                for i, (pid, span, start, text) in enumerate(zip(part["paper_id"], part["span"], part["start"], part["text"], strict=True)):
+                for i, (pid, span, start, text, _) in enumerate(part):
                     mine = [a[i] for a in answers]
                     error = next((str(x) or type(x).__name__ for x in mine if isinstance(x, Exception)), None)
                     found = [] if error is not None else first_finds([_located(x, text, start) for x in mine])
                     rows.append((pid, span, error, [{"pass": n, "k": k, "e": e} for k, (n, e) in enumerate(found)]))
-                yield pd.DataFrame(rows, columns=["paper_id", "span", "error", "found"])
+            if rows:
+                yield _batch(rows, _ANSWERS)
 
-    spans = texts.mapInPandas(cut, "paper_id string, span int, start int, text string, prompt string")
+    spans = texts.mapInArrow(cut, "paper_id string, span int, start int, text string, prompt string")
     dealt = spans.repartition(chunking.tasks or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "paper_id", "span")
-    answers = dealt.mapInPandas(run, f"paper_id string, span int, error string, found array<struct<pass:int,k:int,e:{EXTRACTION}>>")
+    answers = dealt.mapInArrow(run, f"paper_id string, span int, error string, found array<struct<pass:int,k:int,e:{EXTRACTION}>>")
     ordered = F.array_sort(F.flatten(F.collect_list(F.transform("found", lambda f: F.struct(f["pass"].alias("pass"), F.col("span"), f["k"].alias("k"), f["e"].alias("e"))))))
     told = answers.groupBy("paper_id").agg(F.min_by(F.when(F.col("error").isNotNull(), F.col("error")), F.when(F.col("error").isNotNull(), F.col("span"))).alias("_error"), ordered.alias("_found"))
-    both = texts.select("paper_id", (F.col("text") == "").alias("_empty")).join(told, "paper_id", "left")
+    both = empties.join(told, "paper_id", "left")
     error = F.when(F.col("_empty"), F.lit("no extractable text")).otherwise(F.col("_error"))
     found = F.when(error.isNull(), F.transform("_found", lambda f: f["e"])).otherwise(F.array().cast(f"array<{EXTRACTION}>"))
     return both.select("paper_id", F.when(error.isNull(), "processed").otherwise("failed").alias("status"), error.alias("error"), found.alias("extractions"))

@@ -122,3 +122,12 @@ def test_a_volume_is_spread_over_tasks(spark, tmp_path):
     assert sum(n for _, n in asked) == 2 * spans and max(n for _, n in asked) == 8
     by_task = {t: sum(n for x, n in asked if x == t) for t, _ in asked}
     assert len(by_task) == 4 and max(by_task.values()) < spans
+
+
+def test_the_page_marked_text_is_made_once(spark):
+    """Blank documents are told apart without it, and the spans of many short documents share a batch."""
+    rows = [(str(i), [(0, "Ab. " if i % 3 else " \u2003\n")]) for i in range(60)] + [("n", None), ("z", [(0, None), (1, "x")])]
+    got = extraction.extract(spark.createDataFrame(rows, PAGES).coalesce(1), extraction.RuleExtractor((("w", "Ab"),)), "", chunking=Chunking(tasks=1))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[Page ") == 1
+    told = {r["paper_id"]: (r["status"], len(r["extractions"])) for r in got.collect()}
+    assert told == {str(i): ("processed", 1) if i % 3 else ("failed", 0) for i in range(60)} | {"n": ("failed", 0), "z": ("processed", 0)}

@@ -123,3 +123,14 @@ def test_falsy_and_paths(spark):
     assert [tuple(r) for r in got] == [("True", "", ""), ("", "3", "x"), ("", "", "")]
     p = spark.createDataFrame([("/r/a/12_x y.v2.pdf",)], "p string").select(text.stem(F.col("p")), text.id_prefix(F.col("p")), text.relative_path(F.col("p"), "/r"), text.relative_path(F.col("p"), "/q")).first()
     assert tuple(p) == ("12_x y.v2", "12", "a/12_x y.v2.pdf", "/r/a/12_x y.v2.pdf")
+
+
+def test_strip_is_linear_and_knows_every_white_space(spark):
+    """Blanks inside a text cost no time of their own: a pattern for the right end tries a run from each of its characters."""
+    import time
+
+    spaces = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
+    rows = [(f"{s}{s}a{s}b\u200b{s}\n{s}",) for s in spaces] + [("".join(spaces),), ("",), (None,), ("a" + " " * 100_000 + "b ",)]
+    began = time.monotonic()
+    got = [r["t"] for r in spark.createDataFrame(rows, "t string").select(text.strip(F.col("t")).alias("t")).collect()]
+    assert got == [None if t is None else t.strip() for (t,) in rows] and time.monotonic() - began < 10
