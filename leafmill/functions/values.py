@@ -71,14 +71,17 @@ def value_text(v: Column) -> Column:
 
 def resolve_type(c: Column, types: Sequence[str], aliases: Sequence[tuple[str, str]] = PUBLICATION_ALIASES) -> Column:
     """Exact match, else the first type that contains the candidate or is contained in it, else the first alias; null if none."""
-    cand = F.lower(strip(F.coalesce(c, F.lit(""))))
     none = F.lit(None).cast("string")
-    out = none
-    for key, target in reversed([a for a in aliases if a[1] in types]):
-        out = F.when(F.contains(cand, F.lit(key)), F.lit(target)).otherwise(out)
-    for t in reversed(types):
-        out = F.when(F.contains(cand, F.lit(t.lower())) | F.contains(F.lit(t.lower()), cand), F.lit(t)).otherwise(out)
-    exact = {t.lower(): t for t in types}
-    for low, t in reversed(exact.items()):
-        out = F.when(cand == low, F.lit(t)).otherwise(out)
-    return F.when(cand == "", none).otherwise(out)
+
+    def told(cand: Column) -> Column:
+        out = none
+        for key, target in reversed([a for a in aliases if a[1] in types]):
+            out = F.when(F.contains(cand, F.lit(key)), F.lit(target)).otherwise(out)
+        for t in reversed(types):
+            out = F.when(F.contains(cand, F.lit(t.lower())) | F.contains(F.lit(t.lower()), cand), F.lit(t)).otherwise(out)
+        exact = {t.lower(): t for t in types}
+        for low, t in reversed(exact.items()):
+            out = F.when(cand == low, F.lit(t)).otherwise(out)
+        return F.when(cand == "", none).otherwise(out)
+
+    return let(F.lower(strip(F.coalesce(c, F.lit("")))), told)  # the candidate can be a whole text: it is made once, not for each comparison

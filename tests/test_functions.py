@@ -134,3 +134,9 @@ def test_strip_is_linear_and_knows_every_white_space(spark):
     began = time.monotonic()
     got = [r["t"] for r in spark.createDataFrame(rows, "t string").select(text.strip(F.col("t")).alias("t")).collect()]
     assert got == [None if t is None else t.strip() for (t,) in rows] and time.monotonic() - began < 10
+
+
+def test_resolve_type_makes_its_candidate_once(spark):
+    """Whole texts are resolved: stripping and lower-casing belong to the row, not to each of the comparisons."""
+    plan = spark.createDataFrame([("x",)], "t string").select(values.resolve_type(F.col("t"), ["Case Control", "Cohort"]).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
