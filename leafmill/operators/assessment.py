@@ -60,7 +60,8 @@ def detect_type(detections: DataFrame, texts: DataFrame, types: Sequence[str], o
         return texts.select("paper_id", F.lit(override).alias("publication_type"), F.lit("user_override").alias("method"), F.lit(None).cast("string").alias("error"))
     hit = detections.where("extraction_class = 'publication_type'").withColumn("r", resolve_type(F.col("extraction_text"), types)).where("r is not null")
     first = hit.groupBy("paper_id").agg(F.min_by("r", "pos").alias("r"))
-    j = texts.join(first, "paper_id", "left").withColumn("publication_type", F.coalesce("r", resolve_type(F.col("text"), types)))
+    own = texts.select("paper_id", resolve_type(F.col("text"), types).alias("_own"))  # before the join: types are shuffled, not texts
+    j = own.join(first, "paper_id", "left").withColumn("publication_type", F.coalesce("r", "_own"))
     return j.select("paper_id", "publication_type", F.lit("auto_detected").alias("method"), F.when(F.col("publication_type").isNull(), "publication type could not be determined").alias("error"))
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.config import DEFAULT
-from leafmill.operators import acquisition, extraction, proceedings, quality, registry, screening, summaries, validation
+from leafmill.operators import acquisition, assessment, extraction, proceedings, quality, registry, screening, summaries, validation
 from leafmill.plans import pipelines
 
 PAGES = "paper_id string, pages array<struct<page_index:int,text:string>>"
@@ -257,3 +257,12 @@ def test_markers_compat():
     from dataclasses import replace
 
     assert "home login" in screening.markers(DEFAULT.chrome_markers, replace(DEFAULT, compat=False))
+
+
+def test_detect_type_joins_types_not_texts(spark):
+    found = spark.createDataFrame([("1", 0, "publication_type", "cohort")], "paper_id string, pos int, extraction_class string, extraction_text string")
+    texts = spark.createDataFrame([("1", "a case control study"), ("2", "a case control study"), ("3", "none")], "paper_id string, text string")
+    told = assessment.detect_type(found, texts, ["Case Control", "Cohort"])
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(" in plan and "contains(" not in plan.split("Join ")[0]
+    assert {(r["paper_id"], r["publication_type"]) for r in told.collect()} == {("1", "Cohort"), ("2", "Case Control"), ("3", None)}
