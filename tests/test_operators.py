@@ -261,8 +261,8 @@ def test_markers_compat():
 
 def test_detect_type_joins_types_not_texts(spark):
     found = spark.createDataFrame([("1", 0, "publication_type", "cohort")], "paper_id string, pos int, extraction_class string, extraction_text string")
-    texts = spark.createDataFrame([("1", "a case control study"), ("2", "a case control study"), ("3", "none")], "paper_id string, text string")
+    texts = spark.createDataFrame([("1", "a case control study"), ("2", "a case control study"), ("3", "none")], "paper_id string, text string").repartition(2)
     told = assessment.detect_type(found, texts, ["Case Control", "Cohort"])
     plan = told._jdf.queryExecution().optimizedPlan().toString()
-    assert "contains(" in plan and "contains(" not in plan.split("Join ")[0]
+    assert "Contains(" in plan and "Contains(" not in plan.split("Join ")[0]
     assert {(r["paper_id"], r["publication_type"]) for r in told.collect()} == {("1", "Cohort"), ("2", "Case Control"), ("3", None)}
