@@ -40,8 +40,9 @@ def is_start(line: Column) -> Column:
 
 
 def is_author_like(line: Column) -> Column:
+    """With a credential, several commas or a list; credentials are sought only where one of their first letters stands."""
     commas = F.length(line) - F.length(F.replace(line, F.lit(",")))
-    return line.rlike("(?iU)" + AUTHOR_CREDENTIAL) | (commas >= 3) | (F.contains(line, F.lit(";")) & (commas >= 1))
+    return line.rlike("(?=[MDPBRFmdpbrf])(?iU)" + AUTHOR_CREDENTIAL) | (commas >= 3) | (F.contains(line, F.lit(";")) & (commas >= 1))
 
 
 def is_institution_like(normalized: Column, config: Config = DEFAULT) -> Column:
@@ -52,19 +53,25 @@ def is_footer_like(normalized: Column, config: Config = DEFAULT) -> Column:
     return any_marker(normalized, markers(config.footer_markers, config))
 
 
+def starts(lines: DataFrame) -> DataFrame:
+    """Adds is_start alone, all that block_lines() needs."""
+    return lines.withColumn("is_start", is_start(F.col("text")))
+
+
+def _kinds(lines: DataFrame, line: Column, config: Config = DEFAULT) -> DataFrame:
+    """Adds is_author, is_institution and is_footer of a text."""
+    norm = lines.withColumn("_line", line).withColumn("_norm", normalize_text(F.col("_line")))
+    told = norm.withColumn("is_author", is_author_like(F.col("_line"))).withColumn("is_institution", is_institution_like(F.col("_norm"), config))
+    return told.withColumn("is_footer", is_footer_like(F.col("_norm"), config)).drop("_line", "_norm")
+
+
 def classify(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Adds is_start, is_author, is_institution, is_footer and is_title."""
-    norm = lines.withColumn("_norm", normalize_text(F.col("text")))
-    told = (
-        norm.withColumn("is_start", is_start(F.col("text")))
-        .withColumn("is_author", is_author_like(F.col("text")))
-        .withColumn("is_institution", is_institution_like(F.col("_norm"), config))
-        .withColumn("is_footer", is_footer_like(F.col("_norm"), config))
-    )
+    told = _kinds(starts(lines), F.col("text"), config)
     n = F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1
     alpha = F.regexp_count("text", F.lit("(?<![^ ])[^ A-Za-z]*+[A-Za-z]"))  # words with a letter; a match begins at a word's start only
     other = F.col("is_start") | F.col("is_author") | F.col("is_institution") | F.col("is_footer")
-    return told.withColumn("is_title", ~other & n.between(4, 24) & (alpha >= F.greatest(F.lit(3), n - 2))).drop("_norm")
+    return told.withColumn("is_title", ~other & n.between(4, 24) & (alpha >= F.greatest(F.lit(3), n - 2)))
 
 
 def signals(classified: DataFrame, volumes: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -120,8 +127,11 @@ PREVIEW_LINES, TITLE_LINES = 12, 5
 def blocks(numbered: DataFrame) -> DataFrame:
     """One row a block: code, title, preview and extents. The title goes on for up to 4 lines, until another kind of line.
 
-    Only a block's first lines are collected; its extents are partial minima and maxima.
+    Only a block's first lines are collected; its extents are partial minima and maxima. Lines of starts() are classified here, the
+    first ones of each block only.
     """
+    if "is_author" not in numbered.columns:
+        numbered = _kinds(numbered, F.when(F.col("rn") <= PREVIEW_LINES, F.col("text")))
     stop = (F.col("rn") > 1) & (F.col("is_start") | F.col("is_author") | F.col("is_institution") | F.col("is_footer"))
     own = F.when(F.col("rn") == 1, strip(F.regexp_extract("text", ABSTRACT_START, 2))).otherwise(F.col("text"))
     head = F.when(F.col("rn") <= PREVIEW_LINES, F.struct("rn", stop.alias("stop"), own.alias("own"), "text", F.col("is_footer").alias("footer")))

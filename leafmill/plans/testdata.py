@@ -46,15 +46,20 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return proceedings.classify(proceedings.lines_of_pages(_volume_pages(spark, sf)))
 
 
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return proceedings.blocks(proceedings.block_lines(proceedings.starts(proceedings.lines_of_pages(_volume_pages(spark, sf)))))
+
+
 def _volumes(spark: SparkSession, sf: str) -> DataFrame:
     return _volume_pages(spark, sf).groupBy("paper_id").agg(F.count("*").cast("int").alias("n_pages"), F.lit("").alias("source_filename"))
 
 
 def _volume_references(spark: SparkSession, sf: str) -> DataFrame:
     """For each volume the first line of its last page, and that page's first two words as authors."""
-    last = _docs(spark, sf).groupBy(F.floor(F.col("doc_id") / VOLUME_PAGES).alias("v")).agg(F.max_by("text", "doc_id").alias("text"))
-    w = F.split(F.col("text"), "[ \n]+")
-    return last.select(F.col("v").cast("string").alias("paper_id"), F.split("text", "\n")[0].alias("title"), F.concat(F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.lit(", A; "), F.coalesce(F.get(w, F.lit(1)), F.lit("")), F.lit(", B")).alias("authors"))
+    w = F.split(F.col("text"), "[ \n]+", 3)
+    page = F.struct(F.substring_index("text", "\n", 1).alias("title"), F.concat(F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.lit(", A; "), F.coalesce(F.get(w, F.lit(1)), F.lit("")), F.lit(", B")).alias("authors"))
+    last = _docs(spark, sf).groupBy(F.floor(F.col("doc_id") / VOLUME_PAGES).alias("v")).agg(F.max_by(page, "doc_id").alias("p"))  # no whole text is aggregated
+    return last.select(F.col("v").cast("string").alias("paper_id"), "p.title", "p.authors")
 
 
 def _extractions(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,13 +176,13 @@ def q_proceedings_signals(spark, sf, config: Config = DEFAULT):
 
 
 def q_abstract_blocks(spark, sf):
-    b = proceedings.blocks(proceedings.block_lines(_lines(spark, sf)))
+    b = _blocks(spark, sf)
     return b.select("paper_id", F.col("block_no").cast("bigint").alias("block_no"), "code", F.md5("title_text").alias("title_md5"), F.md5("preview_text").alias("preview_md5"), F.col("start_index").cast("bigint").alias("start_index"), F.col("end_index").cast("bigint").alias("end_index"), "start_page_index", "end_page_index")
 
 
 def q_block_scores(spark, sf):
     """Token overlap and author scores, which need no sequence ratio."""
-    b = proceedings.blocks(proceedings.block_lines(_lines(spark, sf))).join(_volume_references(spark, sf).withColumnsRenamed({"title": "rt", "authors": "ra"}), "paper_id")
+    b = _blocks(spark, sf).join(_volume_references(spark, sf).withColumnsRenamed({"title": "rt", "authors": "ra"}), "paper_id")
     overlap = fuzzy.token_overlap(text.normalize_text(F.col("rt")), text.normalize_text(F.col("title_text")))
     return b.select("paper_id", F.col("block_no").cast("bigint").alias("block_no"), F.round(overlap, 6).alias("overlap"), F.round(fuzzy.score_authors(fuzzy.surnames(F.col("ra")), F.col("preview_text")), 6).alias("author_score"))
 

@@ -123,3 +123,12 @@ def test_segmentation_scans_pages(spark):
     plan = proceedings.blocks(numbered)._jdf.queryExecution().optimizedPlan().toString()
     specs = [re.search(r", \[([^\[\]]*)\], \[([^\[\]]*)\]$", w).groups() for w in plan.split("\n") if "Window [" in w]
     assert len(specs) >= 4 and all("page_pos" in by if "line_index" in order or "_line" in order else "page_pos" in order for by, order in specs)
+
+
+def test_blocks_classify_their_first_lines_only(spark):
+    """Lines of starts() give the blocks of classified ones, whatever stands in lines that no title or preview takes."""
+    kinds = ["A. Doe, B. Roe, C. Poe, D", "University of X", "terms and conditions", "A plain title line here", "Jane Roe, m.d.", "x"]
+    rows = [("v", p, i, "P-101. A title of some words" if i % 17 == 2 else kinds[(i * 7 + p) % 6]) for p in range(3) for i in range(40)]
+    lines = spark.createDataFrame(rows, "paper_id string, page_index int, line_index int, text string")
+    short = proceedings.blocks(proceedings.block_lines(proceedings.starts(lines)))
+    assert sorted(short.collect()) == sorted(proceedings.blocks(proceedings.block_lines(proceedings.classify(lines))).collect()) and short.count() == 9
