@@ -42,9 +42,12 @@ def ratio_bound(a: Column, b: Column) -> Column:
 
 def token_overlap(ref: Column, block: Column) -> Column:
     """Share of the reference's tokens of 4 letters or more in the block, at least 0.95 if one text contains the other; both are normalised."""
-    tokens = token_set(ref, 4, normalized=True)
-    share = F.size(F.array_intersect(tokens, token_set(block, 4, normalized=True))) / F.greatest(F.lit(1), F.size(tokens))
-    return F.when(F.contains(block, ref) | F.contains(ref, block), F.greatest(share, F.lit(0.95))).otherwise(share)
+
+    def told(ref: Column, block: Column) -> Column:
+        share = let(token_set(ref, 4, normalized=True), lambda tokens: F.size(F.array_intersect(tokens, token_set(block, 4, normalized=True))) / F.greatest(F.lit(1), F.size(tokens)))
+        return let(share, lambda s: F.when(F.contains(block, ref) | F.contains(ref, block), F.greatest(s, F.lit(0.95))).otherwise(s))
+
+    return let(ref, lambda r: let(block, lambda b: told(r, b)))  # given as expressions, both are normalised once
 
 
 def combine_title(ref: Column, block: Column, ratio: Column, overlap: Column) -> Column:
@@ -68,9 +71,12 @@ def score_authors(names: Column, block_text: Column) -> Column:
         own = F.filter(F.split(n, " "), lambda w: F.length(w) >= 3)
         return F.contains(text, n) | ((F.size(own) > 0) & (F.size(F.array_except(own, tokens)) == 0))
 
-    # the block is normalised once, not once for each surname
-    hits = let(normalize_text(block_text), lambda text: let(token_set(text, 3, normalized=True), lambda tokens: F.size(F.filter(names, lambda n: found(n, text, tokens)))))
-    return F.when(F.size(names) > 0, hits / F.size(names)).otherwise(F.lit(0.0))
+    def share(names: Column) -> Column:
+        # the block is normalised once, not once for each surname
+        hits = let(normalize_text(block_text), lambda text: let(token_set(text, 3, normalized=True), lambda tokens: F.size(F.filter(names, lambda n: found(n, text, tokens)))))
+        return F.when(F.size(names) > 0, hits / F.size(names)).otherwise(F.lit(0.0))
+
+    return let(names, share)
 
 
 def match_score(title: Column, author: Column, t: Thresholds = DEFAULT.thresholds) -> Column:

@@ -140,3 +140,13 @@ def test_resolve_type_makes_its_candidate_once(spark):
     """Whole texts are resolved: stripping and lower-casing belong to the row, not to each of the comparisons."""
     plan = spark.createDataFrame([("x",)], "t string").select(values.resolve_type(F.col("t"), ["Case Control", "Cohort"]).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1
+
+
+def test_scores_make_their_texts_once(spark):
+    """Overlap and author scores of expressions: each text and each list of names is normalised once."""
+    d = spark.createDataFrame([("Héllo world", "hello World again", "Doe, J; Roe, K")], "a string, b string, n string")
+    plan = lambda c: d.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    overlap = fuzzy.token_overlap(text.normalize_text(F.col("a")), text.normalize_text(F.col("b")))
+    author = fuzzy.score_authors(fuzzy.surnames(F.col("n")), F.col("b"))
+    assert plan(overlap).count("lower(") == 2 and plan(author).count("lower(") == 2
+    assert d.select(overlap, author).first()[:] == (1.0, 0.0)
