@@ -170,7 +170,7 @@ _SHOWN, _ENOUGH = 80, 600
 def _variant_kind(v: Column, text: Column) -> Column:
     """The first word of a variant's schema; a whole number beyond 64 bits is kept as a decimal, which its text tells."""
     told = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    return F.when((told == "DECIMAL") & text.rlike("^-?[0-9]+$"), _INTEGER).otherwise(told)
+    return let(told, lambda t: F.when((t == "DECIMAL") & text.rlike("^-?[0-9]+$"), _INTEGER).otherwise(t))
 
 
 def _float_text(text: Column) -> Column:
@@ -310,7 +310,7 @@ def _object_errors(v: Column, text: Column, schema: dict, at: Column) -> Column:
             parts.append(F.flatten(F.transform(F.array_sort(F.array(*children)), lambda c: c["e"])))
         return F.concat(*parts) if parts else none
 
-    return let(F.struct(F.json_object_keys(text).alias("keys"), F.from_json(text, "map<string,string>").alias("m")), told)
+    return let(F.from_json(text, "map<string,string>"), lambda m: let(F.struct(F.map_keys(m).alias("keys"), m.alias("m")), told))  # one parse; the map keeps the order of keys
 
 
 def _array_errors(v: Column, text: Column, schema: dict, at: Column) -> Column:
