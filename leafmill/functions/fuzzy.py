@@ -67,13 +67,13 @@ def surnames(authors: Column, most: int = DEFAULT.thresholds.surnames) -> Column
 
 def score_authors(names: Column, block_text: Column) -> Column:
     """Share of the surnames that stand in the block as a substring, or with all their tokens of 3 letters or more."""
-    def found(n: Column, text: Column, tokens: Column) -> Column:
+    def found(n: Column, text: Column) -> Column:
         own = F.filter(F.split(n, " "), lambda w: F.length(w) >= 3)
-        return F.contains(text, n) | ((F.size(own) > 0) & (F.size(F.array_except(own, tokens)) == 0))
+        return F.contains(text, n) | ((F.size(own) > 0) & F.forall(own, lambda w: F.contains(text, F.concat(F.lit(" "), w, F.lit(" ")))))
 
     def share(names: Column) -> Column:
-        # the block is normalised once, not once for each surname
-        hits = let(normalize_text(block_text), lambda text: let(token_set(text, 3, normalized=True), lambda tokens: F.size(F.filter(names, lambda n: found(n, text, tokens)))))
+        # the block is normalised once, not once for each surname; between spaces its words are found without a set of them
+        hits = let(F.concat(F.lit(" "), normalize_text(block_text), F.lit(" ")), lambda text: F.size(F.filter(names, lambda n: found(n, text))))
         return F.when(F.size(names) > 0, hits / F.size(names)).otherwise(F.lit(0.0))
 
     return let(names, share)

@@ -13,14 +13,22 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 #: The same, one by one.
 SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_LOW_SPACES, _HIGH_SPACES = ("".join(x for x in SPACES if x != " " and (x < "\u0100") == low) for low in (True, False))
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+#: What is no letter or digit of a normalised text; a class that names its characters is looked up, not compared range by range.
+_GAP = "[^abcdefghijklmnopqrstuvwxyz0123456789]"
+#: Runs of these but for single spaces, which stay.
+_GAPS = rf"{_GAP}(?:(?<! )|{_GAP}){_GAP}*"
 
 
 @lru_cache
 def _ascii_table() -> tuple[str, str, dict[str, str]]:
-    """Compatibility decompositions within the basic plane: single characters by translate(), the others (ligatures, fractions) one by one."""
-    single_from, single_to, several = [], [], {}
+    """Compatibility decompositions within the basic plane: single characters by translate(), the others (ligatures, fractions) one by one.
+
+    Letters of the first alphabets that have none end the first text, so that translate() drops them.
+    """
+    single_from, single_to, several, dropped = [], [], {}, []
     for code in range(0x80, 0x10000):
         if 0xD800 <= code < 0xE000:
             continue
@@ -33,7 +41,9 @@ def _ascii_table() -> tuple[str, str, dict[str, str]]:
             single_to.append(" ")
         elif plain and (code < 0x250 or 0xFB00 <= code <= 0xFB06 or 0x2100 <= code < 0x2190):
             several[chr(code)] = plain
-    return "".join(single_from), "".join(single_to), several
+        elif not plain and code < 0x530:
+            dropped.append(chr(code))
+    return "".join(single_from + dropped), "".join(single_to), several
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -47,8 +57,22 @@ def strip(c: Column) -> Column:
 
 
 def collapse_space(c: Column) -> Column:
-    """Runs of white space become one space; single spaces are passed over."""
-    return F.trim(F.regexp_replace(c, rf"{SPACE}{{2,}}|[\t-\r\x1c-\x1f\x85\p{{Z}}&&[^ ]]", " "))
+    """Runs of white space become one space; the pattern is run only over texts that hold anything but single spaces."""
+    wide = F.octet_length(c) != F.char_length(c)
+    odd = F.contains(c, F.lit("  ")) | c.rlike(f"[{_LOW_SPACES}]") | (wide & c.rlike(f"(?=[^\\x00-\\xff])[{_HIGH_SPACES}]"))
+    return F.trim(F.when(odd, F.regexp_replace(c, rf"{SPACE}{{2,}}|[\t-\r\x1c-\x1f\x85\p{{Z}}&&[^ ]]", " ")).otherwise(c))
+
+
+def split_lines(c: Column) -> Column:
+    """The text's lines by LINE_BREAK, which is sought only in texts that hold a break other than a line feed."""
+    wide = F.octet_length(c) != F.char_length(c)
+    other = c.rlike(r"[\r\x0b\x0c\x1c\x1d\x1e\x85]") | (wide & c.rlike(r"(?=[^\x00-\xff])[\u2028\u2029]"))
+    return F.when(other, F.split(c, LINE_BREAK)).otherwise(F.split(c, "\n"))
+
+
+def is_blank(c: Column) -> Column:
+    """Whether nothing but white space is in it; looks no further than the first other character."""
+    return F.ltrim(c, F.lit(SPACES)) == ""
 
 
 def normalize_text(c: Column) -> Column:
@@ -59,13 +83,17 @@ def normalize_text(c: Column) -> Column:
 
     table = F.str_to_map(F.lit("\x01".join(f"{char}\x02{plain}" for char, plain in several.items())), F.lit("\x01"), F.lit("\x02"))
 
+    def letters(c: Column) -> Column:
+        return F.transform(F.split(c, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.try_element_at(table, x), F.lit(""))))
+
     def spelled(c: Column) -> Column:
-        letters = F.transform(F.split(c, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.try_element_at(table, x), F.lit(""))))
-        return F.when(ascii_only(c), c).otherwise(F.array_join(letters, ""))
+        # what has no spelling goes at once; letters are looked up one by one only where one that has is left
+        known = F.regexp_replace(c, "(?=[^\\x00-\\x7f])[^" + "".join(several) + "]", "")
+        return F.when(ascii_only(c), c).otherwise(let(known, lambda k: F.when(ascii_only(k), k).otherwise(F.array_join(letters(k), ""))))
 
     # the lambda keeps the translated text from being computed for each use
     folded = F.when(ascii_only(text), text).otherwise(F.get(F.transform(F.array(F.translate(text, source, target)), spelled), F.lit(0)))
-    return F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(folded), _GAPS, " "))
 
 
 def words(c: Column) -> Column:

@@ -6,12 +6,15 @@ rows; the text of lines goes along only where titles and previews are built.
 
 from __future__ import annotations
 
+import re
+from string import ascii_letters, digits
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.config import ABSTRACT_START, AUTHOR_CREDENTIAL, DEFAULT, TRIM_METHOD, TRIM_REASONS, Config, Thresholds
 from leafmill.functions.fuzzy import accepted, combine_title, match_score, ratio_bound, score_authors, sequence_ratio, sequence_ratio_from, surnames, token_overlap
-from leafmill.functions.text import LINE_BREAK, any_marker, bool_text, collapse_space, count_markers, normalize_text, strip, utc_iso
+from leafmill.functions.text import any_marker, bool_text, collapse_space, count_markers, is_blank, normalize_text, split_lines, strip, utc_iso
 from leafmill.operators.screening import markers
 
 # The registry's columns in order.
@@ -24,15 +27,15 @@ DECISION_COLUMNS = [
 
 def lines_of_pages(pages: DataFrame) -> DataFrame:
     """Of (paper_id, page_index, text): (paper_id, page_index, line_index, text) without blank lines, white space collapsed."""
-    exploded = pages.select("paper_id", F.coalesce("page_index", F.lit(0)).alias("page_index"), F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_BREAK)).alias("line_index", "raw"))
-    return exploded.withColumn("text", collapse_space(F.col("raw"))).where("text <> ''").select("paper_id", "page_index", "line_index", "text")
+    exploded = pages.select("paper_id", F.coalesce("page_index", F.lit(0)).alias("page_index"), F.posexplode(split_lines(F.coalesce("text", F.lit("")))).alias("line_index", "raw"))
+    return exploded.where(~is_blank(F.col("raw"))).select("paper_id", "page_index", "line_index", collapse_space(F.col("raw")).alias("text"))
 
 
 def flatten_lines(records: DataFrame) -> DataFrame:
     """Lines of records with an array of pages; a page keeps its place if two share an index."""
     pages = records.select("paper_id", F.posexplode("pages").alias("page_pos", "p")).select("paper_id", "page_pos", F.coalesce("p.page_index", F.lit(0)).alias("page_index"), F.col("p.text").alias("text"))
-    exploded = pages.select("paper_id", "page_pos", "page_index", F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_BREAK)).alias("line_index", "raw"))
-    return exploded.withColumn("text", collapse_space(F.col("raw"))).where("text <> ''").select("paper_id", "page_pos", "page_index", "line_index", "text")
+    exploded = pages.select("paper_id", "page_pos", "page_index", F.posexplode(split_lines(F.coalesce("text", F.lit("")))).alias("line_index", "raw"))
+    return exploded.where(~is_blank(F.col("raw"))).select("paper_id", "page_pos", "page_index", "line_index", collapse_space(F.col("raw")).alias("text"))
 
 
 def is_start(line: Column) -> Column:
@@ -40,9 +43,10 @@ def is_start(line: Column) -> Column:
 
 
 def is_author_like(line: Column) -> Column:
-    """With a credential, several commas or a list; credentials are sought only where one of their first letters stands."""
-    commas = F.length(line) - F.length(F.replace(line, F.lit(",")))
-    return line.rlike("(?=[MDPBRFmdpbrf])(?iU)" + AUTHOR_CREDENTIAL) | (commas >= 3) | (F.contains(line, F.lit(";")) & (commas >= 1))
+    """With several commas, a list or a credential; these are sought last, and only where one of their first letters begins a word."""
+    commas = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(",")))
+    begins = f"(?=[MDPBRFmdpbrf])(?<![{ascii_letters}{digits}_])"
+    return (commas >= 3) | (F.contains(line, F.lit(";")) & (commas >= 1)) | line.rlike(begins + "(?iU)" + AUTHOR_CREDENTIAL)
 
 
 def is_institution_like(normalized: Column, config: Config = DEFAULT) -> Column:
@@ -53,29 +57,46 @@ def is_footer_like(normalized: Column, config: Config = DEFAULT) -> Column:
     return any_marker(normalized, markers(config.footer_markers, config))
 
 
+def _may_be_footer(line: Column, config: Config = DEFAULT) -> Column:
+    """False for ASCII lines that do not hold the longest word of any marker: these need not be normalised to tell that they are no footers."""
+    longest = {max(re.findall("[a-z0-9]+", m) or [""], key=len) for m in markers(config.footer_markers, config)}
+    return (F.octet_length(line) != F.char_length(line)) | any_marker(F.lower(line), sorted(longest))
+
+
 def starts(lines: DataFrame) -> DataFrame:
     """Adds is_start alone, all that block_lines() needs."""
     return lines.withColumn("is_start", is_start(F.col("text")))
 
 
-def _kinds(lines: DataFrame, line: Column, config: Config = DEFAULT) -> DataFrame:
-    """Adds is_author, is_institution and is_footer of a text."""
-    norm = lines.withColumn("_line", line).withColumn("_norm", normalize_text(F.col("_line")))
-    told = norm.withColumn("is_author", is_author_like(F.col("_line"))).withColumn("is_institution", is_institution_like(F.col("_norm"), config))
-    return told.withColumn("is_footer", is_footer_like(F.col("_norm"), config)).drop("_line", "_norm")
+def _kinds(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Adds is_author, is_institution and is_footer."""
+    norm = lines.withColumn("_norm", normalize_text(F.col("text"))).withColumn("is_author", is_author_like(F.col("text")))
+    return norm.withColumn("is_institution", is_institution_like(F.col("_norm"), config)).withColumn("is_footer", is_footer_like(F.col("_norm"), config)).drop("_norm")
+
+
+def _worded() -> Column:
+    """Of 4 to 24 words, nearly all with a letter; words are looked into only where their number fits."""
+    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "))) + 1
+    alpha = F.regexp_count("text", F.lit(f"(?<![^ ])[^ {ascii_letters}]*+[{ascii_letters}]"))  # words with a letter; a match begins at a word's start only
+    return n.between(4, 24) & (alpha >= F.greatest(F.lit(3), n - 2))
 
 
 def classify(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Adds is_start, is_author, is_institution, is_footer and is_title."""
-    told = _kinds(starts(lines), F.col("text"), config)
-    n = F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1
-    alpha = F.regexp_count("text", F.lit("(?<![^ ])[^ A-Za-z]*+[A-Za-z]"))  # words with a letter; a match begins at a word's start only
     other = F.col("is_start") | F.col("is_author") | F.col("is_institution") | F.col("is_footer")
-    return told.withColumn("is_title", ~other & n.between(4, 24) & (alpha >= F.greatest(F.lit(3), n - 2)))
+    return _kinds(starts(lines), config).withColumn("is_title", ~other & _worded())
+
+
+def classify_early(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Adds is_start, and of the pages that signals() counts is_author and is_title: only lines that could be titles are normalised."""
+    early = F.col("page_index") < config.thresholds.signal_pages
+    told = starts(lines).withColumn("is_author", early & is_author_like(F.col("text")))
+    told = told.withColumn("_may", early & ~F.col("is_start") & ~F.col("is_author") & _worded()).withColumn("_norm", normalize_text(F.when(F.col("_may"), F.col("text"))))
+    return told.withColumn("is_title", F.col("_may") & ~(is_institution_like(F.col("_norm"), config) | is_footer_like(F.col("_norm"), config))).drop("_may", "_norm")
 
 
 def signals(classified: DataFrame, volumes: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Of classified lines and (paper_id, source_filename, n_pages): counts for each volume and whether it is a proceedings volume."""
+    """Of lines of classify() or classify_early() and (paper_id, source_filename, n_pages): counts for each volume and whether it is a proceedings volume."""
     t = config.thresholds
     early = F.col("page_index") < t.signal_pages
     order = [c for c in ("page_pos", "page_index", "line_index") if c in classified.columns]
@@ -124,14 +145,17 @@ def block_lines(classified: DataFrame) -> DataFrame:
 PREVIEW_LINES, TITLE_LINES = 12, 5
 
 
-def blocks(numbered: DataFrame) -> DataFrame:
+def blocks(numbered: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row a block: code, title, preview and extents. The title goes on for up to 4 lines, until another kind of line.
 
-    Only a block's first lines are collected; its extents are partial minima and maxima. Lines of starts() are classified here, the
-    first ones of each block only.
+    Only a block's first lines are collected; its extents are partial minima and maxima. Lines of starts() are classified here, only
+    those that can end a title; of the others of the preview footers are told.
     """
-    if "is_author" not in numbered.columns:
-        numbered = _kinds(numbered, F.when(F.col("rn") <= PREVIEW_LINES, F.col("text")))
+    if "is_footer" not in numbered.columns:
+        ends = F.col("rn").between(2, TITLE_LINES)
+        told = numbered.withColumn("is_author", ends & is_author_like(F.col("text"))).withColumn("_open", ends & ~F.col("is_author"))
+        norm = told.withColumn("_norm", normalize_text(F.when((F.col("rn") <= PREVIEW_LINES) & (F.col("_open") | _may_be_footer(F.col("text"), config)), F.col("text"))))
+        numbered = norm.withColumn("is_institution", F.col("_open") & is_institution_like(F.col("_norm"), config)).withColumn("is_footer", is_footer_like(F.col("_norm"), config))
     stop = (F.col("rn") > 1) & (F.col("is_start") | F.col("is_author") | F.col("is_institution") | F.col("is_footer"))
     own = F.when(F.col("rn") == 1, strip(F.regexp_extract("text", ABSTRACT_START, 2))).otherwise(F.col("text"))
     head = F.when(F.col("rn") <= PREVIEW_LINES, F.struct("rn", stop.alias("stop"), own.alias("own"), "text", F.col("is_footer").alias("footer")))
@@ -228,11 +252,13 @@ def decide(signalled: DataFrame, best: DataFrame, config: Config = DEFAULT) -> D
     return d.select(*[F.when(seen, F.col(c)).alias(c) if c in best.columns and c != "paper_id" else F.col(c) for c in d.columns])
 
 
-def trimmed_pages(numbered: DataFrame, decided: DataFrame) -> DataFrame:
+def trimmed_pages(numbered: DataFrame, decided: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(paper_id, page_index, text) of the matched block of each volume that is trimmed, footers and blank pages left out."""
     wanted = decided.where("trim_status = 'trimmed_auto'").select("paper_id", "block_no")
-    kept = numbered.join(wanted, ["paper_id", "block_no"], "left_semi").where(~F.col("is_footer"))
-    pages = kept.groupBy("paper_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    footer = F.col("is_footer") if "is_footer" in numbered.columns else _may_be_footer(F.col("text"), config) & is_footer_like(normalize_text(F.col("text")), config)
+    line = F.when(~footer, F.struct("idx", "text"))  # not in a filter, which would be made before the join, for all lines
+    kept = numbered.join(wanted, ["paper_id", "block_no"], "left_semi")
+    pages = kept.groupBy("paper_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n").alias("text"))
     return pages.withColumn("text", strip(F.col("text"))).where("text <> ''")
 
 

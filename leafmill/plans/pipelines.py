@@ -51,13 +51,13 @@ def run_trim(records: DataFrame, references: DataFrame, out: str | None = None,
 
     Decisions are made once for both outputs. In out, records of these papers are replaced, and go if a paper is no longer trimmed.
     """
-    lines = tables.once(proceedings.classify(proceedings.flatten_lines(records), config))
+    lines = tables.once(proceedings.classify_early(proceedings.flatten_lines(records), config))
     told = tables.once(proceedings.signals(lines, records.select("paper_id", "source_filename", F.coalesce("n_pages", F.lit(0)).alias("n_pages")), config))
     # only volumes are segmented and scored
-    numbered = proceedings.block_lines(lines.join(told.where("proceedings_detected").select("paper_id"), "paper_id", "left_semi"))
-    best = proceedings.best_match(proceedings.blocks(numbered), references)
+    numbered = proceedings.block_lines(lines.drop("is_author", "is_title").join(told.where("proceedings_detected").select("paper_id"), "paper_id", "left_semi"))
+    best = proceedings.best_match(proceedings.blocks(numbered, config), references)
     decided = tables.once(proceedings.decide(told, best, config))
-    trimmed = proceedings.trimmed_records(proceedings.trimmed_pages(numbered, decided), decided, records, references)
+    trimmed = proceedings.trimmed_records(proceedings.trimmed_pages(numbered, decided, config), decided, records, references)
     rows = proceedings.decision_rows(decided, references)
     if out:
         sinks.replace_records(trimmed, out, ids=records.select("paper_id"), vanish=True)

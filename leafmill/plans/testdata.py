@@ -58,7 +58,9 @@ def _volume_references(spark: SparkSession, sf: str) -> DataFrame:
     """For each volume the first line of its last page, and that page's first two words as authors."""
     w = F.split(F.col("text"), "[ \n]+", 3)
     page = F.struct(F.substring_index("text", "\n", 1).alias("title"), F.concat(F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.lit(", A; "), F.coalesce(F.get(w, F.lit(1)), F.lit("")), F.lit(", B")).alias("authors"))
-    last = _docs(spark, sf).groupBy(F.floor(F.col("doc_id") / VOLUME_PAGES).alias("v")).agg(F.max_by(page, "doc_id").alias("p"))  # no whole text is aggregated
+    v = F.floor(F.col("doc_id") / VOLUME_PAGES).alias("v")
+    ids = _t(spark, sf, "documents").groupBy(v).agg(F.max("doc_id").alias("doc_id"))
+    last = _docs(spark, sf).join(ids.select("doc_id"), "doc_id", "left_semi").groupBy(v).agg(F.max_by(page, "doc_id").alias("p"))  # only last pages are looked into
     return last.select(F.col("v").cast("string").alias("paper_id"), "p.title", "p.authors")
 
 
@@ -188,11 +190,11 @@ def q_block_scores(spark, sf):
 
 
 def _decided(spark, sf, config: Config = DEFAULT):
-    lines = tables.once(_lines(spark, sf))
+    lines = tables.once(proceedings.classify_early(proceedings.lines_of_pages(_volume_pages(spark, sf)), config))
     told = tables.once(proceedings.signals(lines, _volumes(spark, sf), config))
-    numbered = proceedings.block_lines(lines.join(told.where("proceedings_detected").select("paper_id"), "paper_id", "left_semi"))  # only volumes are segmented
+    numbered = proceedings.block_lines(lines.drop("is_author", "is_title").join(told.where("proceedings_detected").select("paper_id"), "paper_id", "left_semi"))  # only volumes are segmented
     refs = _volume_references(spark, sf)
-    best = proceedings.best_match(proceedings.blocks(numbered), refs)
+    best = proceedings.best_match(proceedings.blocks(numbered, config), refs)
     return proceedings.decide(told, best, config), numbered, refs
 
 
