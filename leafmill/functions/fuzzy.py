@@ -74,7 +74,10 @@ def score_authors(names: Column, block_text: Column) -> Column:
     def share(names: Column) -> Column:
         # the block is normalised once, not once for each surname; between spaces its words are found without a set of them
         hits = let(F.concat(F.lit(" "), normalize_text(block_text), F.lit(" ")), lambda text: F.size(F.filter(names, lambda n: found(n, text))))
-        return F.when(F.size(names) > 0, hits / F.size(names)).otherwise(F.lit(0.0))
+        # a name of one word stands in an ASCII text as in the normalised one, which only puts spaces for what is between words
+        simple = (F.octet_length(block_text) == F.char_length(block_text)) & ~F.exists(names, lambda n: F.contains(n, F.lit(" ")))
+        same = let(F.lower(block_text), lambda low: F.size(F.filter(names, lambda n: F.contains(low, n))))
+        return F.when(F.size(names) > 0, F.when(simple, same).otherwise(hits) / F.size(names)).otherwise(F.lit(0.0))
 
     return let(names, share)
 

@@ -65,3 +65,11 @@ def test_references_look_into_last_pages_only(spark, sf):
         v = str(d["doc_id"] // testdata.VOLUME_PAGES)
         last[v] = max(last.get(v, (-1, "")), (d["doc_id"], d["text"] or ""))
     assert {x["paper_id"]: x["title"] or "" for x in refs.collect()} == {v: t.split("\n")[0] for v, (_, t) in last.items()}
+
+
+def test_ascii_blocks_are_not_normalised_for_names_of_one_word(spark):
+    rows = [("Roe, A; Poe, B", "A HEROES' poem. PØE"), ("Roe, A; Poe, B", "R-oe, r oe; POE"), ("Roe, A; Poe, B", "ROE(poe)"), ("Roe, A", ""), ("Roe, A", None), ("Li, B", "a li"), ("Van Poe, C; Li, B", "poe van li")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a string, t string")
+    score = fuzzy.score_authors(fuzzy.surnames(F.col("a")), F.col("t"))
+    assert [x["s"] for x in df.select("i", score.alias("s")).orderBy("i").collect()] == [plain.author_score(a, t or "") for a, t in rows]
+    assert "lower(t" in re.sub(r"#\d+", "", df.select(score)._jdf.queryExecution().optimizedPlan().toString())
