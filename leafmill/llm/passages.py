@@ -34,6 +34,8 @@ HOT_RUNS = 2000
 DEALT, CHECKED = 8, 100
 #: Bytes of distinct texts, and rows of 64 bytes that name one, that are indexed and looked up at once.
 INDEX_BYTES, ROW_BYTES = 2 << 20, 64
+#: Windows whose answers are told at once.
+FLAGS = 1 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
@@ -265,9 +267,9 @@ def classify(batches: Iterator[pa.RecordBatch], same_document: bool, hot_runs: i
     yield from close()
 
 
-#: Of texts in the order of (doc_id, start), all that can share a window at once: for each window the document and the start of its
-#: first occurrence; see substring.py and suffix_family.py.
-Search = Callable[[np.ndarray, np.ndarray, list[bytes]], list[tuple[np.ndarray, np.ndarray]]]
+#: Of texts in the order of (doc_id, start), all that can share a window at once: each text's number of windows, and for each window, text
+#: after text, the document and the start of its first occurrence; see substring.py and suffix_family.py.
+Search = Callable[[np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 _PIECES = "route long, whole long, doc_id long, pos long, windows long, t binary"
 
@@ -349,33 +351,57 @@ def repeated_spans(docs: DataFrame, units, length: int, gram: int, search: Searc
         def go(part: pa.Table) -> pa.RecordBatch:
             part = part.sort_by([("doc_id", "ascending"), ("pos", "ascending")])
             route, whole, doc, pos, many = (part[c].to_numpy() for c in ("route", "whole", "doc_id", "pos", "windows"))
-            texts, once, seen = part["t"].to_pylist(), [], set()  # a row that repeats an id and its text is cut again: its pieces are the same ones
-            for i, t in enumerate(texts):
-                if not i or doc[i] != doc[i - 1] or pos[i] != pos[i - 1]:
-                    seen.clear()
-                if t is not None and (route[i], t) not in seen:
-                    seen.add((route[i], t))
-                    once.append(i)
-            earliest = search(doc[once], pos[once], [texts[i] for i in once]) if once else []
-            number = {}
-            for k, i in enumerate(once):
-                number.setdefault((route[i], whole[i]), k)
-            asked = [(i, k) for k, i in enumerate(once)] + [(i, number.get((route[i], whole[i]))) for i, t in enumerate(texts) if t is None]
-            d, s, e = [], [], []
-            for i, k in asked:
-                if k is None:  # its text repeats another one of its batch, or its group is hot and was taken apart
-                    flags = np.ones(many[i], bool)
-                else:
-                    first_doc, first_start = earliest[k]
-                    flags = first_doc < doc[i]
-                    if same_document:
-                        flags |= (first_doc == doc[i]) & (first_start < pos[i] + np.arange(len(first_start)))
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-                for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    d.append(doc[i])
-                    s.append(pos[i] + lo)
-                    e.append(pos[i] + hi - 1 + length)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, s, e)], ["doc_id", "s", "e"])
+            given = part["t"].is_valid().to_numpy()
+            same = (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])
+            keep, near = given.copy(), np.zeros(len(part), bool)
+            near[1:] = same
+            near[:-1] |= same
+            seen = set()  # a row that repeats an id and its text is cut again: its pieces are the same ones
+            for i in np.flatnonzero(given & near).tolist():
+                piece = (doc[i], pos[i], route[i], part["t"][i].as_py())
+                keep[i] = piece not in seen
+                seen.add(piece)
+            once, rest = np.flatnonzero(keep), np.flatnonzero(~given)
+            counts = first_doc = first_start = np.zeros(0, np.int64)
+            if once.size:
+                counts, first_doc, first_start = search(doc[once], pos[once], part["t"].filter(pa.array(keep)).to_pylist())
+            # rows without text ask for the first text of their route and name
+            both = np.concatenate([once, rest])
+            order = np.lexsort((whole[both], route[both]))
+            r, w = route[both][order], whole[both][order]
+            head = np.ones(len(both), bool)
+            head[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
+            number = np.empty(len(both), np.int64)
+            number[order] = order[head][np.cumsum(head) - 1]
+            number[: len(once)] = np.arange(len(once))
+            known = number < len(once)
+            alone = both[~known]  # their text repeats another one of its batch, or their group is hot and was taken apart
+            out = [(doc[alone], pos[alone], pos[alone] + many[alone] - 1 + length)]
+            row, number = both[known], number[known]
+            size, base = counts[number], np.cumsum(counts) - counts
+            ends = np.cumsum(size)
+            lo = 0
+            while lo < len(row):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FLAGS, "right")))
+                out.append(spans(doc[row[lo:hi]], pos[row[lo:hi]], size[lo:hi], base[number[lo:hi]], first_doc, first_start))
+                lo = hi
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc_id", "s", "e"])
+
+        def spans(doc: np.ndarray, pos: np.ndarray, size: np.ndarray, base: np.ndarray, first_doc: np.ndarray, first_start: np.ndarray) -> tuple[np.ndarray, ...]:
+            """What the windows cover that stand earlier: of rows with `size` windows each, whose answers start at `base`."""
+            begin = np.cumsum(size) - size
+            nth = np.arange(int(size.sum())) - np.repeat(begin, size)
+            at, own = np.repeat(base, size) + nth, np.repeat(doc, size)
+            flags = first_doc[at] < own
+            if same_document:
+                flags |= (first_doc[at] == own) & (first_start[at] < np.repeat(pos, size) + nth)
+            inner = nth[1:] > 0
+            on, off = flags.copy(), flags.copy()
+            on[1:] &= ~(flags[:-1] & inner)
+            off[:-1] &= ~(flags[1:] & inner)
+            starts, stops = np.flatnonzero(on), np.flatnonzero(off)
+            i = np.searchsorted(begin, starts, "right") - 1
+            return doc[i], pos[i] + starts - begin[i], pos[i] + stops - begin[i] + length
 
         for b in batches:
             held.append(pa.Table.from_batches([b]))

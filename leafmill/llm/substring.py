@@ -174,14 +174,16 @@ class FMIndex:
 
 
 def search(length: int):
-    def run(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def run(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids: dict[bytes, int] = {}
         sequences = [np.array([ids.setdefault(w, len(ids) + 1) for w in t.split()], np.int64) for t in texts]
         first: dict[bytes, int] = {}  # a text is indexed once, for its first document
         once = [i for i, t in enumerate(texts) if first.setdefault(t, i) == i]
         index = FMIndex([sequences[i] for i in once], doc[once], length)
         found = dict(zip(once, index.earliest([sequences[i] for i in once]), strict=True))
-        return [(least, np.zeros(len(least), np.int64)) for least in (found[first[t]] for t in texts)]
+        least = [found[first[t]] for t in texts]
+        every = np.concatenate(least)
+        return np.array([len(x) for x in least]), every, np.zeros(len(every), np.int64)
 
     return run
 

@@ -59,27 +59,33 @@ class IndexFamily:
         return out >> np.uint64(64 - 8 * rest) if rest < 8 else out
 
     def _sorted(self, positions: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions sorted by their windows, equal ones by position; their first words; whether each differs from the one before."""
+        """Positions sorted by their windows, equal ones as they came; their first words; whether each differs from the one before.
+        Of windows that share their first words only those are sorted by the next one that differ in it."""
         word = self._word(positions, 0) if first is None else first
         order = np.argsort(word, kind="stable")
         positions, word = positions[order], word[order]
         new = np.ones(len(positions), bool)
         new[1:] = word[1:] != word[:-1]
+        at = np.arange(len(positions))
         for k in range(1, (self.length + 7) // 8):
-            tied = ~new
-            tied[:-1] |= ~new[1:]
-            at = np.flatnonzero(tied)
+            tied = ~new[at]
+            tied[:-1] |= tied[1:]
+            at = at[tied]
             if not at.size:
                 break
-            group, own = np.cumsum(new)[at], self._word(positions[at], k)
-            order = np.lexsort((own, group))
-            own = own[order]
-            positions[at] = positions[at][order]
-            new[at[1:]] |= (own[1:] != own[:-1]) | (group[1:] != group[:-1])
-        starts = np.flatnonzero(new)
-        if starts.size < len(new):
-            group = np.cumsum(new)
-            positions = positions[np.lexsort((positions, group))]
+            own, head = self._word(positions[at], k), new[at]
+            differs = own[1:] != own[:-1]
+            differs &= ~head[1:]
+            if not differs.any():
+                continue
+            group = np.cumsum(head) - 1
+            mixed = np.zeros(group[-1] + 1, bool)
+            mixed[group[1:][differs]] = True
+            pick = np.flatnonzero(mixed[group])
+            order = pick[np.lexsort((own[pick], group[pick]))]
+            positions[at[pick]] = positions[at[order]]
+            own[pick] = own[order]
+            new[at[1:]] |= own[1:] != own[:-1]
         return positions, word, new
 
     def _scan(self, level: tuple[np.ndarray, np.ndarray], positions: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +97,9 @@ class IndexFamily:
             return maybe, maybe
         depth = np.bincount(lo[maybe], minlength=len(held) + 1) - np.bincount(hi[maybe], minlength=len(held) + 1)
         stretch = np.flatnonzero(np.cumsum(depth)[:-1] > 0)
-        both, _, new = self._sorted(np.concatenate([held[stretch], positions[maybe]]))
+        both, _, new = self._sorted(np.concatenate([held[stretch], positions[maybe]]), np.concatenate([held_words[stretch], words[maybe]]))
         group = np.cumsum(new) - 1
-        first = both[np.flatnonzero(new)][group]  # what the level holds came before, so it has the lowest position
+        first = both[np.flatnonzero(new)][group]  # what the level holds came before, and stands before what is equal to it
         again = ~new
         number = np.searchsorted(np.sort(positions[maybe]), both[again])
         return maybe[np.argsort(positions[maybe], kind="stable")][number], first[again]
@@ -111,12 +117,12 @@ class IndexFamily:
         for level in self.levels:
             at, where = self._scan(level, fresh, fresh_words)
             first[at] = where
-        out = np.empty(len(arrived), np.int64)
-        out[np.searchsorted(arrived, positions)] = first[group]
+        by_position = np.empty(arrived[-1] - arrived[0] + 1, np.int64)
+        by_position[positions - arrived[0]] = first[group]
         unseen = first == fresh
         if unseen.any():
             self._join((fresh[unseen], fresh_words[unseen]))
-        return out
+        return by_position[arrived - arrived[0]]
 
     def _join(self, level: tuple[np.ndarray, np.ndarray]) -> None:
         while (k := next((k for k, x in enumerate(self.levels) if len(x[0]).bit_length() == len(level[0]).bit_length()), None)) is not None:
@@ -127,7 +133,7 @@ class IndexFamily:
 
 
 def search(length: int):
-    def run(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def run(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         family, found, part, size = IndexFamily(length), [], [], 0
         for t in texts:
             part.append(t)
@@ -140,9 +146,11 @@ def search(length: int):
         first = np.concatenate(found)
         sizes = np.array([len(t) for t in texts])
         base = np.cumsum(sizes) - sizes
-        text = np.searchsorted(base, first, "right") - 1
-        ends = np.cumsum(sizes - length + 1)[:-1]
-        return list(zip(np.split(doc[text], ends), np.split(start[text] + first - base[text], ends), strict=True))
+        many = sizes - length + 1
+        text = np.repeat(np.arange(len(texts)), many)
+        earlier = np.flatnonzero(first < np.arange(len(first)) + (base - (np.cumsum(many) - many))[text])
+        text[earlier] = np.searchsorted(base, first[earlier], "right") - 1
+        return many, doc[text], (start - base)[text] + first
 
     return run
 

@@ -186,6 +186,43 @@ def test_index_family_finds_the_first_position(length):
     assert sum(len(x[0]) for x in f.levels) == len(seen)
 
 
+def test_equal_windows_are_not_sorted_word_by_word(monkeypatch):
+    """What the sort is asked for does not grow with the copies of a text, nor with the words of a window."""
+    sizes, lexsort = [], np.lexsort
+    monkeypatch.setattr(suffix_family.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or lexsort(keys))
+    f, texts = suffix_family.IndexFamily(100), [prose(95, 100).encode()] * 40 + [prose(96, 100).encode()] * 40
+    first = f.add(texts)
+    many, size = [len(t) - 99 for t in texts], len(texts[0])
+    ends = np.cumsum([0, *many])
+    for k, lead in ((0, 0), (39, 0), (40, 40 * size), (79, 40 * size)):
+        assert first[ends[k] : ends[k + 1]].tolist() == list(range(lead, lead + many[k]))
+    assert sum(sizes) < len(first) / 2
+
+
+@pytest.mark.parametrize("batch", [1, 300, 1 << 17])
+def test_search_tells_where_each_window_stands_first(batch, monkeypatch):
+    monkeypatch.setattr(suffix_family, "BATCH_WINDOWS", batch)
+    rng = np.random.default_rng(12)
+    texts = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(9, 60, 40)]
+    doc, start = np.arange(40) // 3, np.arange(40) % 3 * 1000
+    seen, want = {}, []
+    for d, s, t in zip(doc.tolist(), start.tolist(), texts, strict=True):
+        want += [seen.setdefault(t[i : i + 9], (d, s + i)) for i in range(len(t) - 8)]
+    many, first_doc, first_start = suffix_family.search(9)(doc, start, texts)
+    assert many.tolist() == [len(t) - 8 for t in texts]
+    assert list(zip(first_doc.tolist(), first_start.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("flags", [1, 70])
+def test_spans_do_not_depend_on_how_many_windows_are_told_at_once(spark, flags, monkeypatch):
+    monkeypatch.setattr(passages, "FLAGS", flags)
+    p = prose(97, 80)
+    docs = [(i, f"{prose(700 + i, 20)} {p[i % 3 * 30 :]} {p if i % 2 else prose(800 + i, 9)}") for i in range(20)] + [(30, "abc" * 200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert words(substring.remove_repeats(df)) == brute.substring_words(docs)
+    assert bytes_(suffix_family.remove_repeats(df)) == brute.substring_bytes(docs)
+
+
 def test_index_family_memory():
     """3 MB of text need less than 100 MB beyond it."""
     import tracemalloc
