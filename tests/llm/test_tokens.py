@@ -1,3 +1,6 @@
+import json
+import random
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -56,6 +59,54 @@ def test_memo_generations(monkeypatch):
         assert c.counts([t.encode() for t in texts]) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+ATOMS = ["a", "B", "e", "s", "word", "Word", "STOP", "é", "É", "ß", "ÿ", "À", "×", "÷", "ª", "ñ", "7", "42", "²", "ٳ", ".", ",", "...", "!?", "$$$", "###", "&", "*", "%", "'", "'s", "'LL", "-", "“", "”", "—", "\u0301", "\u0331", "\u0338", "H", "İ", "Σ", "ς", "K", "ﬁ", "漢", "각", "\u1100", "\u200d", "\x00", "\x85", "\u2028", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>.", "<|", "|>", "<", "😀", "ǅ"]
+
+
+@pytest.mark.parametrize("pieces", [40, 300_000])
+def test_stems_and_marks_count_as_whole_pieces(pieces, monkeypatch):
+    """Pieces of everything that could combine, fold or be split otherwise with what is next to it."""
+    monkeypatch.setattr(tokens, "MEMO_PIECES", pieces)
+    tok, c, r = Tokenizer.from_file(WORD), tokens.PieceCounter(WORD, True), random.Random(5)
+    assert c.ends is not None
+    for _ in range(20):
+        texts = [" ".join("".join(r.choice(ATOMS) for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 60))) for _ in range(40)]
+        assert c.counts([t.encode() for t in texts]) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_its_case_and_marks():
+    c, asked = tokens.PieceCounter(WORD, True), []
+    encode, ids = c.encode, c.ids
+    c.encode = lambda texts: asked.extend(texts) or encode(texts)
+    c.ids = lambda texts: asked.extend(w for t in texts for w in t.split()) or ids(texts)
+    words = [f"{w}{m}" for w in ("Karvonel", "karvonel", "KARVONEL", "strean") for m in ("", ".", ",", "!?", "$$$")]
+    want = [len(x.ids) for x in Tokenizer.from_file(WORD).encode_batch(words, add_special_tokens=False)]
+    assert c.counts([w.encode() for w in words]) == want
+    assert sorted(x for x in asked if x) == sorted(["karvonel", "strean", ".", ",", "!?", "$$$"])
+
+
+def test_only_known_rules_split_at_marks(tmp_path):
+    rules = json.loads(Tokenizer.from_file(WORD).to_str())
+    assert tokens.splits_at_marks(rules)
+    assert not tokens.splits_at_marks(json.loads(Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).to_str()))
+    assert not tokens.splits_at_marks(rules | {"normalizer": None})
+    assert not tokens.splits_at_marks(rules | {"pre_tokenizer": None})
+    assert not tokens.splits_at_marks(rules | {"added_tokens": [{"content": "a."}]})
+
+
+def test_a_worker_keeps_its_memo_from_task_to_task():
+    version = tokens.tokenizer_version(WORD, "")
+    assert tokens.piece_counter(WORD, True, version) is tokens.piece_counter(WORD, True, version)
+    assert tokens.piece_counter(WORD, True, version) is not tokens.piece_counter(WORD, True, "other")
+
+
+def test_long_pieces_are_not_remembered():
+    c = tokens.PieceCounter(WORD, True)
+    for _ in range(2):
+        assert c.counts([b"x" * 1000 + b"! a"]) == [len(Tokenizer.from_file(WORD).encode("x" * 1000 + "! a", add_special_tokens=False).ids)]
+    c.counts([b"b"])
+    assert set(c.pieces.young) == {b"a", b"b"}
+
+
 def test_empty(spark, tmp_path, empty):
     assert tokens.count_tokens(empty, WORD, f"file://{tmp_path}/cache", "blank").count() == 0
 
